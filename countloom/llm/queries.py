@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from countloom.llm import decontaminate as _decon
+import public_tokenizers
+
+from countloom.llm import bpe as _bpe, decontaminate as _decon, quality as _quality, secrets as _secrets, sharding as _sharding, warc as _warc
+from countloom.session import scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,7 +28,49 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "shards")
+    _sharding.write_shards(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, 40, seed=42)
+    return _sharding.read_shards(spark, path).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = _bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(_bpe.ids_text(), "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = _quality.learn(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return _quality.judge(docs, rules).select("doc_id", *_quality.BASE, "base_failed", "kept")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    _warc.write(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return _warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("secret_spans", lambda s: s["kind"].isin(*_secrets.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, _secrets.BASE_KINDS), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secret_spans")).alias("spans"))
+
+
 QUERIES = {
+    "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
+    "op5_bpe": op5_bpe,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
+    "op10_secret_scans": op10_secret_scans,
 }
 SQL: dict[str, str] = {}
