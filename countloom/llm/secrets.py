@@ -49,6 +49,7 @@ ANY = frozenset([frozenset()])
 
 
 def _simplify(query) -> frozenset:
+    query = frozenset(query)
     return frozenset(a for a in query if not any(b < a for b in query))
 
 
