@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from countloom.llm import bpe as _bpe, decontaminate as _decon, quality as _quality, secrets as _secrets, sharding as _sharding, warc as _warc
+from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, quality as _quality, secrets as _secrets, sharding as _sharding, warc as _warc
 from countloom.session import scratch
 
 
@@ -28,6 +28,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
     _sharding.write_shards(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, 40, seed=42)
@@ -66,6 +70,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
