@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, quality as _quality, secrets as _secrets, sharding as _sharding, warc as _warc
+from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, quality as _quality, secrets as _secrets, sharding as _sharding, suffix_dedup as _suffix, warc as _warc
 from countloom.session import scratch
 
 
@@ -49,6 +49,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _suffix.kept_bytes(_suffix.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     rules = _quality.learn(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -74,6 +86,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
     "op10_secret_scans": op10_secret_scans,
