@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, quality as _quality, secrets as _secrets, sharding as _sharding, suffix_dedup as _suffix, warc as _warc
+from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, warc as _warc
 from countloom.session import scratch
 
 
@@ -73,6 +73,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _substring.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _secrets.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -89,6 +95,7 @@ QUERIES = {
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
 SQL: dict[str, str] = {}
