@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, warc as _warc
+from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, surrogates as _surrogates, warc as _warc
 from countloom.session import scratch
 
 
@@ -28,6 +28,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _surrogates.replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), b"public demonstration key").select("doc_id", "text", "n_entities")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,6 +92,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
