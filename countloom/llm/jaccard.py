@@ -290,3 +290,14 @@ def join(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (80, 100),
     label = placed.join(least, "root").select("node", "component_id", F.lit(True).alias("_set"))
     out = rows.join(label, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the documents that are linked, directly or through others, with one of smaller id.
+
+    Documents without words and those with a null id stay. Rows that repeat an id stay or go together, by the smallest
+    component that one of them is in.
+    """
+    labels = join(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    gone = labels.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
