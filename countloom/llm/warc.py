@@ -35,7 +35,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def plan(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_revisit: int, shard_bytes: int) -> DataFrame:
-    """One row per record: its range, digest, length, and for revisits the response's id (and no payload)."""
+    """One row per record with its range, digest and length; and for revisits a mark with the response's id.
+
+    Payloads are shuffled once, into their ranges; a mark has the keys of its record and sorts before it.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "length": F.octet_length("html").cast("long")})
@@ -51,10 +54,11 @@ def plan(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_revi
         shard.append(total // shard_bytes)
         total += weights.get(i, 0)
     shard = [sorted(set(shard)).index(x) for x in shard]
-    refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(firsts, "digest", "left").select(
-        F.element_at(F.lit(shard), bin_ + 1).alias("shard"), "page_id", "url", F.when(refers.isNull(), F.encode("html", "UTF-8")).alias("payload"), "digest", "length", refers.alias("refers_to")
-    )
+    placed = rows.withColumn("shard", F.element_at(F.lit(shard), bin_ + 1))
+    again = placed.select("shard", "page_id", "digest").join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
+    pages_ = placed.select("shard", "page_id", "url", F.encode("html", "UTF-8").alias("payload"), "digest", "length", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("mark"))
+    marks = again.select("shard", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.lit(0).cast("long").alias("length"), F.col("first").alias("refers_to"), F.lit(True).alias("mark"))
+    return pages_.unionByName(marks)
 
 
 def _urn(page_id: int | None, digest: str) -> str:
@@ -106,9 +110,15 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("temp", pa.string()), ("name", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
-        file, done = None, []
+        file, done, marked = None, [], None
         for batch in batches:
-            for shard, *record in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, page_id, url, payload, digest, length, refers_to, mark in zip(*(c.to_pylist() for c in batch.columns)):
+                if mark:
+                    marked = (page_id, digest, refers_to)
+                    continue
+                if marked and marked[:2] == (page_id, digest):
+                    payload, refers_to = None, marked[2]
+                record = (page_id, url, payload, digest, length, refers_to)
                 if file and (file.shard != shard or file.size >= roll_bytes):
                     done.append(file.close())
                     file = _File(root, shard, file.seq + 1 if file.shard == shard else 0, level)
@@ -121,7 +131,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
 
     rows = plan(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit, shard_bytes=shard_bytes)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", "url").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    rows.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", F.desc("mark"), "url").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
