@@ -96,30 +96,35 @@ def bound_holds(m: CountMatrix, axis: int, k: int) -> bool:
     return zeros < -(-n * k // d)
 
 
-def auto_stabilize(m: CountMatrix, step: int = 1, most: int = 1000) -> CountMatrix:
-    """Remove the ``step`` sparsest lines of a failing axis until the bound holds for every k of both axes."""
+def auto_stabilize(m: CountMatrix, step: int | None = None, most: int = 1000) -> CountMatrix:
+    """Remove the sparsest lines of a failing axis until the bound holds for every k up to half of either axis.
+
+    Without ``step``, as many lines go at once as the worst k needs.
+    """
+    m = stabilize(m, 1)
     for _ in range(most):
         rows, cols = m.shape
-        bad = [axis for axis, d in ((1, cols), (0, rows)) if not _all_bounds(m, axis, d)]
-        if not bad:
+        excess = {axis: e for axis, d in ((1, cols), (0, rows)) if (e := _excess(m, axis, d))}
+        if not excess:
             return m
-        for axis in bad:
+        for axis, e in excess.items():
             key = "row_id" if axis == 1 else "col_id"
-            gone = nnz(m, axis).orderBy("nnz", key).limit(step)
+            gone = nnz(m, axis).orderBy("nnz", key).limit(step or e)
             m = m.submatrix(rows=m.obs.join(gone, key, "left_anti")) if axis == 1 else m.submatrix(cols=m.var.join(gone, key, "left_anti"))
+        m = stabilize(m, 1)
         m = CountMatrix(cut(m.cells, "stable"), cut(m.obs, "stable"), cut(m.var, "stable"), m.uns)
     return m
 
 
-def _all_bounds(m: CountMatrix, axis: int, d: int) -> bool:
-    """The bound for all k at once, from the histogram of non-zeros (at most d rows)."""
+def _excess(m: CountMatrix, axis: int, d: int) -> int:
+    """How many lines have to go so that the bound may hold for all k at once; from the histogram of non-zeros (d rows at most)."""
     hist = dict(nnz(m, axis).groupBy("nnz").count().collect())
-    n, below = sum(hist.values()), 0
-    for k in range(1, d + 1):
-        below += hist.get(k, 0) + (hist.get(0, 0) if k == 1 else 0)
-        if k < d and below >= -(-n * k // d):
-            return False
-    return True
+    n, below, worst = sum(hist.values()), hist.get(0, 0), 0
+    for k in range(1, d // 2 + 1):
+        below += hist.get(k, 0)
+        if below >= -(-n * k // d):
+            worst = max(worst, -(-(below * d - n * k) // (d - k)), 1)
+    return min(worst, n)
 
 
 def common_columns(cells: DataFrame, sample: str) -> DataFrame:

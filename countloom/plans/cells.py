@@ -268,5 +268,5 @@ def seeded_subsample(spark, d):
 
 @register()
 def auto_stabilize(spark, d):
-    m = filters.auto_stabilize(user_hour(spark, d), step=5, most=20)
+    m = filters.auto_stabilize(user_hour(spark, d))
     return m.cells
