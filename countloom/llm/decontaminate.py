@@ -121,8 +121,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str =
     return out
 
 
-def _without(text: str, spans: list) -> str:
+def _without(text: str | None, spans: list) -> str | None:
     """``text`` without the words in ``spans``; what stands between two removed words goes with them."""
+    if not spans:
+        return text
     data = text.encode()
     at = [m.span() for m in _WORD.finditer(data)]
     kept, last = [], 0
