@@ -21,6 +21,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from countloom.session import cut
+
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -173,6 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, seed: int =
     key = key.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y", F.xxhash64(F.lit(seed), "_id").alias("_h"))
     chosen = key.orderBy("_h").limit(sample)  # a bounded table: at most `sample` rows of three numbers
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    rows = cut(rows, "labelled")  # else the filter below is pushed under the join and scores every document
     rows = statistics(rows).where(~base_failed()).groupBy("_id", "_y", "_h").agg(*(F.min(c).alias(c) for c in (*BASE, *MORE)))
     known = features()
     got = rows.orderBy("_h").limit(sample).select("_y", F.pmod("_h", F.lit(3)).alias("_part"), *(known[c].alias(f"f_{c}") for c in FEATURES)).collect()
