@@ -97,10 +97,10 @@ def _passes(n: int, rows: int, cols: int) -> str:
     return out
 
 
-@register(CM + _passes(2, 9, 30) + " SELECT row_id, col_id, value FROM k1")
+@register(CM + _passes(2, 7, 5) + " SELECT row_id, col_id, value FROM k1")
 def iterative_filter_2pass(spark, d):
     m = customer_month(spark, d)
-    return filters.iterative_filter(m, _annotate, {"nnz": {"min": 9}}, {"nnz": {"min": 30}}).cells
+    return filters.iterative_filter(m, _annotate, {"nnz": {"min": 7}}, {"nnz": {"min": 5}}).cells
 
 
 @register(CM + _passes(1, 9, 30) + " SELECT row_id, col_id, value FROM k0")

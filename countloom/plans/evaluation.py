@@ -154,7 +154,7 @@ def laplacian_score(spark, d):
     return rounded(evaluate.laplacian_scores(_centroids(spark, d), graph), "score")
 
 
-@register("WITH g AS (SELECT n_nationkey * 500.0 - 1000 AS g FROM nation) SELECT g, round(avg(exp(-pow((g - c_acctbal) / 300.0, 2) / 2) / (300.0 * sqrt(2 * pi()))), 9) AS density FROM customer CROSS JOIN g GROUP BY 1")
+@register("WITH g AS (SELECT CAST(n_nationkey * 500.0 - 1000 AS DOUBLE) AS g FROM nation) SELECT g, round(avg(exp(-pow((g - c_acctbal) / 300.0, 2) / 2) / (300.0 * sqrt(2 * pi()))), 9) AS density FROM customer CROSS JOIN g GROUP BY 1")
 def kde_grid(spark, d):
     grid = table(spark, d, "nation").select((F.col("n_nationkey") * 500.0 - 1000).alias("g"))
     return rounded(evaluate.kde(table(spark, d, "customer").select(F.col("c_acctbal").alias("x")), grid, 300.0), "density", digits=9)

@@ -47,7 +47,7 @@ def mp_rank(spark, d):
     return spark.createDataFrame([row], "rank int, sigma double, ks double")
 
 
-@register(SM + ", r AS (SELECT row_id, sum(value) AS t FROM cells GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n_values, true AS energy_kept FROM var")
+@register(SM + " SELECT CAST(least(m, n) AS BIGINT) AS n_values, true AS energy_kept FROM dims")
 def spectrum_energy(spark, d):
     """The squared singular values sum to the squares of the cells."""
     m = supplier_month(spark, d)
