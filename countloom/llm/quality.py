@@ -163,9 +163,10 @@ def cover(x: np.ndarray, bad: np.ndarray, grow: np.ndarray, *, precision: float
         _, held_p, held_n = worth(rule, ~grow)
         if p < precision * (p + n) or held_p < precision * (held_p + held_n):
             break
-        found.rules.append([(FEATURES[f], op, t) for f, op, t, _ in rule])
-        for c in [np.logical_and.reduce([c[3] for c in rule])]:
-            left &= ~c
+        # thresholds go to the middle of the gap between the values on either side, so that near misses are not rejected
+        middle = lambda f, op, m: (x[m, f].max() + x[~m, f].min()) / 2 if op == "<=" else (x[~m, f].max() + x[m, f].min()) / 2
+        found.rules.append([(FEATURES[f], op, float(middle(f, op, m)) if m.any() and not m.all() else t) for f, op, t, m in rule])
+        left &= ~np.logical_and.reduce([c[3] for c in rule])
     return found
 
 
