@@ -28,7 +28,7 @@ def _scaled(spark, d):
 
 @register()
 def spectrum_scaled(spark, d):
-    """Singular values and scaled eigenvalues of the biwhitened counts."""
+    """Singular values and scaled eigenvalues of the scaled counts."""
     m, y = _scaled(spark, d)
     f = spectrum.svd(y)
     small, large = sorted(m.shape)
