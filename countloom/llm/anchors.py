@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from countloom.llm.common import MULT, mix
+from countloom.llm.common import MULT, mix, spans_of
 
 _BITS = 23
 _LOW = np.uint64((1 << _BITS) - 1)
@@ -84,6 +84,27 @@ def counted(parts: DataFrame) -> DataFrame:
     return parts.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def covered(pieces: pa.ListArray, sizes: list[int], length: int) -> Iterator[list[list[int]]]:
+    """Sorted disjoint ranges that a text's marked windows cover, from its pieces (first, n, starts or null for all)."""
+    offsets, flat = pieces.offsets.to_numpy(), pieces.values
+    first, n, some = flat.field("first").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False), flat.field("starts")
+    whole = some.is_null().to_numpy(zero_copy_only=False)
+    for a, b, size in zip(offsets[:-1].tolist(), offsets[1:].tolist(), sizes):
+        if a == b:
+            yield []
+            continue
+        all_ = np.flatnonzero(whole[a:b]) + a
+        begin, end = [first[all_]], [first[all_] + n[all_] - 1 + length]
+        for i in (np.flatnonzero(~whole[a:b]) + a).tolist():
+            x = np.frombuffer(b"".join(some[i].as_py()), "<i4").astype(np.int64) + first[i]
+            begin.append(x)
+            end.append(x + length)
+        cover = np.zeros(size + 1, np.int64)
+        np.add.at(cover, np.concatenate(begin), 1)
+        np.add.at(cover, np.concatenate(end), -1)
+        yield spans_of(np.cumsum(cover[:-1]) > 0).tolist()
+
+
 class Bloom:
     """A Bloom filter of fixed size (``2**bits`` bits): what may be broadcast whatever the number of keys.
 

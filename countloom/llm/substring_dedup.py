@@ -9,6 +9,10 @@ smallest, as contexts come in order of ids. An automaton takes up to ``SHARD_WOR
 opens another, and documents are streamed against each, so memory stays bounded per automaton. Words are compared as
 they are, not as hashes. What is broadcast are Bloom filters of fixed size, which thin out the shuffles.
 
+A hot anchor (a line that very many documents hold, each going on differently) would bring all its contexts to one task:
+contexts of anchors with more than ``HOT_CONTEXTS`` of them are dealt window by window, by a 64-bit hash of anchor and
+window, and equal windows meet their smallest id there. This is the exact way for what a shard should not hold.
+
 A context that stands in several documents is looked up once, for its smallest id; the other documents repeat all of it.
 Null texts have no words; documents with a null id keep all words and are no reference. Rows that repeat an id keep what
 they hold (no smaller id). Windows are judged on the input. Other columns pass through, but for ``n_words``, ``removed``.
@@ -22,12 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from countloom.llm.anchors import COUNTS, Bloom, anchors, batch_counts, bloom, context_hash, counted
+from countloom.llm.anchors import COUNTS, Bloom, anchors, batch_counts, bloom, context_hash, counted, covered, run_hashes
 from countloom.llm.common import WordHashes, byte_column, spans_of
 from countloom.session import cut
 
 GRAM = 16
 SHARD_WORDS = 60_000
+#: Keys with more distinct contexts than this are dealt by the hash of each window.
+HOT_CONTEXTS = 256
 
 
 class Automaton:
@@ -135,7 +141,7 @@ def _texts(batch: pa.RecordBatch, window: int, hashes: WordHashes) -> Iterator[t
 
 
 def removals(keyed: DataFrame, *, window: int, k: int, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
-    """(_key, pieces) as (first start, number of starts, bits or null for all)."""
+    """(_key, pieces) as (first start, number of starts, marked ones or null for all)."""
     sc, parts = keyed.sparkSession.sparkContext, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed.select("_key", F.col(id_col).cast("long").alias("_id"), text_col)
 
@@ -152,18 +158,39 @@ def removals(keyed: DataFrame, *, window: int, k: int, id_col: str, text_col: st
                     rows, size = [], 0
             yield batch_counts(rows)
 
-    counts = counted(texts.mapInArrow(count, COUNTS))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("c"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("c > 1 AND l < h").select("key", F.lit(True).alias("mixed"))
+    counts = cut(counted(texts.mapInArrow(count, COUNTS)), "counts")  # used twice below
+    mixed = counts.groupBy("key").agg(F.count("*").alias("c"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("c > 1 AND l < h").select("key", "c", F.lit(True).alias("mixed"))
     known = cut(counts.join(mixed, "key", "left").where("lo < hi OR mixed"), "contexts")
     mixed_filter = sc.broadcast(bloom(known.where("mixed"), "key", filter_bits))
+    hot_filter = sc.broadcast(bloom(known.where(F.col("c") > HOT_CONTEXTS), "key", 20))
+    packed = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("data", pa.binary())])
+
+    def sent(found: dict[int, tuple], hashes: WordHashes) -> pa.RecordBatch:
+        """Cold contexts as they are, by key; hot ones as arrays of (hash, ctx, place, id), by hash."""
+        keys, ctxs = np.array([v[0] for v in found.values()], np.int64), list(found)
+        docs, data = [v[1] for v in found.values()], [v[2] for v in found.values()]
+        hot = Bloom(hot_filter.value, 20).may(keys)
+        cold = np.flatnonzero(~hot).tolist()
+        rows = [(keys[cold] % parts).tolist(), keys[cold].tolist(), [ctxs[i] for i in cold], [docs[i] for i in cold], [data[i] for i in cold]]
+        at = np.flatnonzero(hot).tolist()
+        for a in range(0, len(at), 2000):
+            some = at[a : a + 2000]
+            prints = [run_hashes(hashes.of(data[i].split(b" ")), window) for i in some]
+            n = np.array([len(x) for x in prints])
+            h = np.concatenate(prints) ^ np.repeat(keys[some], n).view(np.uint64)
+            where = (h % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            cols = (h.view(np.int64), np.repeat(np.array([ctxs[i] for i in some], np.int64), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.array([docs[i] for i in some], np.int64), n))
+            edge = np.searchsorted(where[order], np.arange(parts + 1))
+            for p in range(parts):
+                if edge[p] < edge[p + 1]:
+                    o = order[edge[p] : edge[p + 1]]
+                    for col, v in zip(rows, (p, None, None, None, b"".join(x[o].tobytes() for x in cols))):
+                        col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, packed)], schema=packed)
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may, hashes = Bloom(mixed_filter.value, filter_bits).may, WordHashes()
-
-        def rows(found: dict) -> pa.RecordBatch:
-            cols = ([v[0] for v in found.values()], list(found), [v[1] for v in found.values()])
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([v[2] for v in found.values()], pa.binary())], names=["key", "ctx", "doc", "data"])
-
         for batch in batches:
             found: dict[int, tuple] = {}
             held = 0
@@ -177,39 +204,64 @@ def removals(keyed: DataFrame, *, window: int, k: int, id_col: str, text_col: st
                         elif doc < old[1]:
                             found[ctx[i]] = (old[0], doc, old[2])
                 if held > 4 << 20:
-                    yield rows(found)
+                    yield sent(found, hashes)
                     found, held = {}, 0
-            yield rows(found)
+            yield sent(found, hashes)
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: list[np.ndarray] = []
+
         def groups() -> Iterator[list[tuple]]:
             held: list[tuple] = []
+            seen: set[int] = set()
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
-                    if held and held[-1][0] != row[0]:
+                for _, key, ctx, doc, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    if key is None:
+                        hot.append(np.frombuffer(data, np.int64).reshape(4, -1))
+                        continue
+                    if held and held[-1][0] != key:
                         yield held
-                        held = []
-                    if not held or held[-1][1] != row[1]:  # one row a context, that of smallest id
-                        held.append(row)
+                        held, seen = [], set()
+                    if ctx not in seen:  # the first is that of smallest id
+                        seen.add(ctx)
+                        held.append((key, ctx, doc, data))
             if held:
                 yield held
 
         out: tuple[list, list] = ([], [])
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["ctx", "starts"])
         for rows in groups():
             if len(rows) > 1 and rows[0][2] < rows[-1][2]:
                 for row, marked in zip(rows, repeated(((r[2], r[3].split(b" ")) for r in rows), window)):
                     if marked.any():
                         out[0].append(row[1])
-                        out[1].append(np.packbits(marked).tobytes())
+                        out[1].append(np.flatnonzero(marked).astype("<i4").tobytes())
             if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["ctx", "bits"])
+                yield batch()
                 out = ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["ctx", "bits"])
-
-    contexts = texts.mapInArrow(payloads, "key long, ctx long, doc long, data binary")
-    first = contexts.join(known.where("mixed").select("ctx", "lo"), "ctx").where("doc = lo").select("key", "ctx", "doc", "data")
-    found = first.repartition(parts, "key").sortWithinPartitions("key", "doc", "ctx").mapInArrow(shard, "ctx long, bits binary")
-    decided = cut(known.select("ctx", "lo", "hi").join(found, "ctx", "left").where("lo < hi OR bits IS NOT NULL").groupBy("ctx").agg(F.min("lo").alias("lo"), F.max("bits").alias("bits")), "decided")
+        yield batch()
+        if hot:
+            h, c, p, d = np.concatenate(hot, axis=1)
+            order = np.lexsort((d, p, c))
+            order = order[np.concatenate(([True], (np.diff(c[order]) != 0) | (np.diff(p[order]) != 0)))]
+            h, c, p, d = h[order], c[order], p[order], d[order]
+            order = np.lexsort((d, h))
+            first = np.concatenate(([True], np.diff(h[order]) != 0))
+            least = d[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
+            on = order[least < d[order]]
+            on = on[np.lexsort((p[on], c[on]))]
+            for a in np.split(on, np.flatnonzero(np.diff(c[on])) + 1) if len(on) else []:
+                out[0].append(int(c[a[0]]))
+                out[1].append(p[a].astype("<i4").tobytes())
+                if len(out[0]) > 20_000:
+                    yield batch()
+                    out = ([], [])
+            yield batch()
+
+    contexts = texts.mapInArrow(payloads, "part int, key long, ctx long, doc long, data binary")
+    found = contexts.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc", "ctx").mapInArrow(shard, "ctx long, starts binary")
+    found = found.groupBy("ctx").agg(F.collect_list("starts").alias("starts"))  # a context's own starts
+    decided = cut(known.select("ctx", "lo", "hi").join(found, "ctx", "left").where("lo < hi OR starts IS NOT NULL").select("ctx", "lo", "starts"), "decided")
     decided_filter = sc.broadcast(bloom(decided, "ctx", filter_bits))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +275,9 @@ def removals(keyed: DataFrame, *, window: int, k: int, id_col: str, text_col: st
                             col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["_key", "doc", "ctx", "first", "n"])
 
-    rows = texts.mapInArrow(places, "_key long, doc long, ctx long, first long, n long").join(decided, "ctx").where("doc > lo OR bits IS NOT NULL")
-    piece = F.struct("first", "n", F.when(F.col("doc") == F.col("lo"), F.col("bits")).alias("bits"))
-    return rows.groupBy("_key").agg(F.collect_set(piece).alias("pieces"))
+    rows = texts.mapInArrow(places, "_key long, doc long, ctx long, first long, n long").join(decided, "ctx").where("doc > lo OR starts IS NOT NULL")
+    piece = F.struct("first", "n", F.when(F.col("doc") == F.col("lo"), F.col("starts")).alias("starts"))
+    return rows.groupBy("_key").agg(F.collect_list(piece).alias("pieces"))
 
 
 def dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, filter_bits: int = 25) -> DataFrame:
@@ -242,16 +294,11 @@ def dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, spans, kept = [], [], []
-            for text, own in zip(byte_column(batch, text_col), batch.column(batch.schema.get_field_index("_pieces")).to_pylist()):
-                words = text.split() if text else []
-                n_words.append(len(words))
-                cover = np.zeros(len(words) + 1, np.int32)
-                for p in own or ():
-                    starts = np.arange(p["n"]) if p["bits"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(p["bits"], np.uint8))[: p["n"]])
-                    np.add.at(cover, starts + p["first"], 1)
-                    np.add.at(cover, starts + (p["first"] + window), -1)
-                found = spans_of(np.cumsum(cover[:-1]) > 0).tolist() if own else []
+            spans, kept = [], []
+            texts = [x.split() if x else [] for x in byte_column(batch, text_col)]
+            n_words = [len(x) for x in texts]
+            pieces = batch.column(batch.schema.get_field_index("_pieces"))
+            for words, found in zip(texts, covered(pieces, n_words, window)):
                 spans.append([{"start": a, "end": b} for a, b in found])
                 if found:
                     edges = [0, *(x for s in found for x in s), len(words)]

@@ -7,8 +7,11 @@ length counts; key and fingerprint together tell 128 bits). The array is merge-s
 shard holds, both sides of a match are marked, and the array becomes a level itself; levels of equal size class merge,
 so that a shard of n starts has O(log n) levels and each start is merged O(log n) times.
 
-Contexts that occur twice as a whole are known from counts; of mixed keys only the distinct contexts travel. Bloom
-filters of fixed size, which are broadcast, thin out what is shuffled. Strings are judged on the input; overlaps with
+Contexts that occur twice as a whole are known from counts; of mixed keys only the distinct contexts travel, to the shard
+of their key. A hot key (a line that very many texts hold, each going on differently) would bring all its contexts to one
+shard: contexts of keys with more than ``HOT_CONTEXTS`` of them are dealt window by window instead, to the shard of the
+window's fingerprint, where equal windows meet as well. Bloom filters of fixed size, which are broadcast, thin out what
+is shuffled and tell the hot keys (a false positive only takes the other way, with all contexts of its key). Strings are judged on the input; overlaps with
 themselves and repeats inside one text count. Null texts are empty. Rows that repeat are texts of their own (and so
 repeat each other). Matches never cross texts. Other columns pass through (but for ``removed``, which is replaced).
 """
@@ -21,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from countloom.llm.anchors import COUNTS, Bloom, anchors, batch_counts, bloom, context_hash, counted, run_hashes
-from countloom.llm.common import byte_column, spans_of
+from countloom.llm.anchors import COUNTS, Bloom, anchors, batch_counts, bloom, context_hash, counted, covered, run_hashes
+from countloom.llm.common import byte_column
 from countloom.session import cut
 
 GRAM = 80
 BATCH_STARTS = 400_000
+#: Keys with more distinct contexts than this are dealt by fingerprint, window by window.
+HOT_CONTEXTS = 256
 _TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -81,7 +86,7 @@ class Family:
 
 
 def removals(keyed: DataFrame, *, length: int, k: int, text_col: str, filter_bits: int) -> DataFrame:
-    """(_key, pieces): for each text its contexts with marks: (first start, number of starts, bits or null for all)."""
+    """(_key, pieces): for each text its contexts with marks: (first start, number of starts, marked ones or null for all)."""
     sc, parts = keyed.sparkSession.sparkContext, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed.select("_key", text_col)
 
@@ -98,10 +103,44 @@ def removals(keyed: DataFrame, *, length: int, k: int, text_col: str, filter_bit
                     rows, size = [], 0
             yield batch_counts(rows)
 
-    counts = counted(texts.mapInArrow(count, COUNTS))
+    counts = cut(counted(texts.mapInArrow(count, COUNTS)), "counts")  # used twice below
     mixed = counts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     known = cut(counts.select("key", "ctx", "n").join(mixed, "key", "left").where("n > 1 OR c > 1"), "contexts")
     mixed_filter = sc.broadcast(bloom(known.where("c > 1"), "key", filter_bits))
+    hot_filter = sc.broadcast(bloom(known.where(F.col("c") > HOT_CONTEXTS), "key", 20))
+    packed = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("ctx", pa.int64()), ("data", pa.binary())])
+
+    def prints_of(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of all window starts of some contexts, and how many each has."""
+        lens = np.array([len(d) for d in data])
+        n = lens - length + 1
+        h = run_hashes(_TABLE[np.frombuffer(b"".join(data), np.uint8)], length)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return h[np.repeat(np.cumsum(lens) - lens, n) + inner], n
+
+    def sent(found: dict[int, tuple]) -> pa.RecordBatch:
+        """Cold contexts as they are, by key; hot ones as arrays of (fingerprint, ctx, place), by fingerprint."""
+        keys = np.array([v[0] for v in found.values()], np.int64)
+        hot = Bloom(hot_filter.value, 20).may(keys)
+        ctxs, data = list(found), [v[1] for v in found.values()]
+        cold = np.flatnonzero(~hot).tolist()
+        rows = [(keys[cold] % parts).tolist(), keys[cold].tolist(), [ctxs[i] for i in cold], [data[i] for i in cold]]
+        at = np.flatnonzero(hot).tolist()
+        for a in range(0, len(at), 2000):
+            some = at[a : a + 2000]
+            h, n = prints_of([data[i] for i in some])
+            h = h ^ np.repeat(keys[some], n).view(np.uint64)  # tells the key as well
+            where = (h % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            ctx = np.repeat(np.array([ctxs[i] for i in some], np.int64), n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            edge = np.searchsorted(where[order], np.arange(parts + 1))
+            for p in range(parts):
+                if edge[p] < edge[p + 1]:
+                    o = order[edge[p] : edge[p + 1]]
+                    for col, v in zip(rows, (p, None, None, b"".join((h[o].tobytes(), ctx[o].tobytes(), place[o].astype(np.int64).tobytes())))):
+                        col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, packed)], schema=packed)
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = Bloom(mixed_filter.value, filter_bits).may
@@ -116,52 +155,64 @@ def removals(keyed: DataFrame, *, length: int, k: int, text_col: str, filter_bit
                                 found[ctx[i]] = (int(key[i]), text[first[i] : end[i] + length - 1])
                                 held += end[i] - first[i] + length
                 if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found.values()], pa.int64()), pa.array(list(found), pa.int64()), pa.array([v[1] for v in found.values()], pa.binary())], names=["key", "ctx", "data"])
+                    yield sent(found)
                     found, held = {}, 0
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in found.values()], pa.int64()), pa.array(list(found), pa.int64()), pa.array([v[1] for v in found.values()], pa.binary())], names=["key", "ctx", "data"])
+            yield sent(found)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, seen, names, sizes = Family(), set(), [], []
-        waiting: list[tuple[int, bytes]] = []
+        family, seen = Family(), set()
+        names: list[np.ndarray] = []  # context and place of each window start, in the family's order
+        places: list[np.ndarray] = []
+        waiting: list[tuple[int, int, bytes]] = []
 
         def flush() -> None:
             if waiting:
-                text = b"".join(d for _, d in waiting)
-                lens = np.array([len(d) for _, d in waiting])
-                n = lens - length + 1
-                h = run_hashes(_TABLE[np.frombuffer(text, np.uint8)], length)
-                base = np.repeat(np.cumsum(lens) - lens, n)
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                family.add(h[base + inner], np.repeat(np.array([x for x, _ in waiting], np.int64), n))
+                h, n = prints_of([w[2] for w in waiting])
+                family.add(h, np.repeat(np.array([w[0] for w in waiting], np.int64), n))
+                names.append(np.repeat(np.array([w[1] for w in waiting], np.int64), n))
+                places.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                 waiting.clear()
 
+        hot_seen: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for key, ctx, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if ctx not in seen:
+            for _, key, ctx, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if key is None:
+                    h, c, p = np.frombuffer(data, np.int64).reshape(3, -1)
+                    hot_seen.append(np.stack((h, c, p)))
+                elif ctx not in seen:
                     seen.add(ctx)
-                    names.append(ctx)
-                    sizes.append(len(data) - length + 1)
-                    waiting.append((key, data))
-                    size += sizes[-1]
+                    waiting.append((key, ctx, data))
+                    size += len(data) - length + 1
                     if size >= BATCH_STARTS:
                         flush()
                         size = 0
         flush()
-        out, at = ([], []), 0
-        marked = np.concatenate(family.marked) if family.marked else np.empty(0, bool)
-        for name, n in zip(names, sizes):
-            m = marked[at : at + n]
-            at += n
-            if m.any():
-                out[0].append(name)
-                out[1].append(np.packbits(m).tobytes())
-        for i in range(0, len(out[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(out[0][i : i + 50_000], pa.int64()), pa.array(out[1][i : i + 50_000], pa.binary())], names=["ctx", "bits"])
-
-    found = texts.mapInArrow(payloads, "key long, ctx long, data binary").repartition(parts, "key").mapInArrow(index, "ctx long, bits binary")
-    whole = known.where("n > 1").select("ctx", F.lit(None).cast("binary").alias("bits"), F.lit(True).alias("all"))
-    decided = whole.unionByName(found.select("ctx", "bits", F.lit(False).alias("all"))).groupBy("ctx").agg(F.max("bits").alias("bits"), F.max("all").alias("all"))
+        if hot_seen:  # one copy of each context's window
+            h, c, p = np.concatenate(hot_seen, axis=1)
+            order = np.lexsort((p, c))
+            once = order[np.concatenate(([True], (np.diff(c[order]) != 0) | (np.diff(p[order]) != 0)))]
+            for a in range(0, len(once), BATCH_STARTS):
+                o = once[a : a + BATCH_STARTS]
+                family.add(h[o].view(np.uint64), np.zeros(len(o), np.int64))
+                names.append(c[o])
+                places.append(p[o])
+        if family.n:
+            on = np.flatnonzero(np.concatenate(family.marked))
+            name, place = np.concatenate(names)[on], np.concatenate(places)[on]
+            order = np.lexsort((place, name))
+            name, place = name[order], place[order]
+            first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.empty(0, int)
+            end = np.concatenate((first[1:], [len(name)])).astype(int)
+            for a in range(0, len(first), 20_000):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[first[a : a + 20_000]]), pa.array([place[x:y].astype("<i4").tobytes() for x, y in zip(first[a : a + 20_000], end[a : a + 20_000])], pa.binary())], names=["ctx", "starts"]
+                )
+
+    found = texts.mapInArrow(payloads, "part int, key long, ctx long, data binary").repartitionById(parts, F.col("part")).mapInArrow(index, "ctx long, starts binary")
+    whole = known.where("n > 1").select("ctx", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("all"))
+    each = whole.unionByName(found.select("ctx", "starts", F.lit(False).alias("all")))
+    decided = each.groupBy("ctx").agg(F.collect_list("starts").alias("starts"), F.max("all").alias("all"))  # a context's own starts
     decided = cut(decided, "decided")
     return occurrences(texts, decided, length=length, k=k, text_col=text_col, filter_bits=filter_bits)
 
@@ -183,8 +234,8 @@ def occurrences(texts: DataFrame, decided: DataFrame, *, length: int, k: int, te
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["_key", "ctx", "first", "n"])
 
     rows = texts.mapInArrow(places, "_key long, ctx long, first long, n long").join(decided, "ctx")
-    piece = F.struct("first", "n", F.when(~F.col("all"), F.col("bits")).alias("bits"))
-    return rows.groupBy("_key").agg(F.collect_set(piece).alias("pieces"))
+    piece = F.struct("first", "n", F.when(~F.col("all"), F.col("starts")).alias("starts"))
+    return rows.groupBy("_key").agg(F.collect_list(piece).alias("pieces"))
 
 
 def dedup(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, filter_bits: int = 25) -> DataFrame:
@@ -199,19 +250,9 @@ def dedup(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_co
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            pieces = batch.column(batch.schema.get_field_index("_pieces")).to_pylist()
             sizes = [len(x) if x else 0 for x in byte_column(batch, text_col)]
-            for size, own in zip(sizes, pieces):
-                if not own:
-                    spans.append([])
-                    continue
-                cover = np.zeros(size + 1, np.int32)
-                for p in own:
-                    starts = np.arange(p["n"]) if p["bits"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(p["bits"], np.uint8))[: p["n"]])
-                    np.add.at(cover, starts + p["first"], 1)
-                    np.add.at(cover, starts + (p["first"] + length), -1)
-                spans.append([{"start": a, "end": b} for a, b in spans_of(np.cumsum(cover[:-1]) > 0).tolist()])
+            pieces = batch.column(batch.schema.get_field_index("_pieces"))
+            spans = [[{"start": a, "end": b} for a, b in found] for found in covered(pieces, sizes, length)]
             yield pa.RecordBatch.from_pydict({c: batch.column(batch.schema.get_field_index(c)) for c in names} | {"removed": pa.array(spans, spans_type)})
 
     return joined.mapInArrow(apply, schema)
