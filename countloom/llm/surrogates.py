@@ -42,8 +42,8 @@ PATTERN = regex.compile(
     r"|(?<![\w.-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     rf"|\b(?:(?P<title>{'|'.join(_GENDER)})\.? )(?P<name>\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}})"
 )
-#: What a text with an entity holds at least, for the scan by Spark (a digit run, an @, a form of address).
-TRIGGER = rf"@|[0-9]{{2}}|[0-9][.-][0-9]|(?:{'|'.join(_GENDER)})\.? \p{{Lu}}"
+#: What a text with an entity holds at least, for the scan by Spark: a digit, an @, a form of address.
+TRIGGER = rf"[0-9@]|[{''.join(sorted({t[0] for t in _GENDER}))}](?<=(?:^|\W).)(?:{'|'.join(sorted({t[1:] for t in _GENDER}))})\.? \p{{Lu}}"
 DIGITS = ("card", "phone", "ssn")
 
 
@@ -160,7 +160,7 @@ def entity_table(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             found = sorted({e[:2] for t in batch.column(0).to_pylist() for e in entities(t)})
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.string()), pa.array([e[1] for e in found], pa.string())], names=["kind", "value"])
 
-    return docs.select(text_col).where(F.col(text_col).rlike(TRIGGER)).mapInArrow(run, "kind string, value string").distinct()
+    return docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "kind string, value string").distinct()
 
 
 def surrogate_table(known: DataFrame, key: bytes, *, max_rounds: int = 64) -> DataFrame:
@@ -190,8 +190,8 @@ def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: st
     """``docs`` with every entity replaced by its surrogate, and ``n_entities`` (long)."""
     base = docs.drop("n_entities", "_key", "_map")
     may = F.coalesce(F.col(text_col).rlike(TRIGGER), F.lit(False))
-    table = surrogate_table(cut(entity_table(base, text_col=text_col), "entities"), key)
-    keyed = base.where(may).withColumn("_key", F.xxhash64(id_col, text_col))
+    keyed = cut(base.where(may).withColumn("_key", F.xxhash64(id_col, text_col)), "suspects")  # a small part, read three times
+    table = surrogate_table(cut(entity_table(keyed, text_col=text_col), "entities"), key)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
