@@ -1,13 +1,22 @@
 """Distances, neighbours, rank statistics and graph scores.
 
 Distances pair a stated set of queries with all points; a table of all pairs is quadratic by nature and meant for
-reduced (sampled or clustered) point sets.
+reduced (sampled or clustered) point sets. Scores of all points against all points come from pairs of blocks: the work is
+quadratic, but only the nearest points or the sums by class leave a block.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+#: Points of a query block and of a block that it is held against.
+QUERIES, POINTS = 4096, 16384
+#: Cells of a distance matrix that are in memory at once.
+_CELLS = 1 << 22
 
 def squared_distances(points: DataFrame, queries: DataFrame, col: str = "values") -> DataFrame:
     """(a, b, d2) of every query a with every other point b; both tables are (id, values, ...)."""
@@ -59,8 +68,93 @@ def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, silhouette) over Euclidean distances; points alone in their class get 0."""
     la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     mean = distances.join(la, "a").join(lb, "b").groupBy("a", "la", "lb").agg(F.avg(F.sqrt("d2")).alias("d"))
+    return _silhouette(mean)
+
+
+def _silhouette(mean: DataFrame) -> DataFrame:
     s = mean.groupBy("a").agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("d"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("d"))).alias("other"))
-    return s.select("a", F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other")).alias("silhouette"))
+    return s.select("a", F.when(F.col("own").isNull() | (F.greatest("own", "other") == 0), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other")).alias("silhouette"))
+
+
+def _values(t: pa.Table, name: str) -> np.ndarray:
+    col = t.column(name).combine_chunks()
+    return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
+
+
+def _approximate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances through products, and the size that their errors go by."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    return np.maximum(xx[:, None] + yy - 2 * (x @ y.T), 0), float(xx.max(initial=0) + yy.max(initial=0))
+
+
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of rows, summed in the order of the columns."""
+    d = (x - y).T
+    return (d * d).sum(0)
+
+
+def block_pairs(points: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+    """``run`` on each pair of a query block and a block of all points: (id, values, *columns) on both sides."""
+    n = points.count()
+    a, b = max(1, math.ceil(n / QUERIES)), max(1, math.ceil(n / POINTS))
+    block = lambda seed, k: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(k)).cast("int")
+    p = points.select("id", "values", *columns)
+    q = p.withColumn("i", block(1, a)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    r = p.toDF(*p.columns).withColumn("j", block(2, b)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+    return q.groupBy("i", "j").cogroup(r.groupBy("i", "j")).applyInArrow(run, schema)
+
+
+def nearest_in_folds(points: DataFrame, k: int) -> DataFrame:
+    """(a, la, fa, lb): labels of the k nearest points of other folds in order, ties by id; ``points`` are (id, values, label, fold)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = _values(left, "values"), _values(right, "values")
+        fx, fy, ids, labels = left.column("fold").to_numpy(), right.column("fold").to_numpy(), right.column("id").to_numpy(), right.column("label").to_numpy()
+        found = []
+        step = max(1, _CELLS // max(1, len(y)))
+        for at in range(0, len(x) if len(y) else 0, step):
+            d, size = _approximate(x[at : at + step], y)
+            d[fx[at : at + step, None] == fy] = np.inf
+            edge = (np.partition(d, k - 1, axis=1)[:, k - 1] if len(y) > k else np.full(len(d), np.inf)) + 1e-9 * size
+            for row, e in zip(range(at, at + len(d)), edge):
+                c = np.flatnonzero((d[row - at] <= e) & (d[row - at] < np.inf))
+                z = _exact(x[row], y[c])
+                order = np.lexsort((ids[c], z))[:k]
+                found.append((row, z[order], ids[c][order], labels[c][order]))
+        rows = np.array([f[0] for f in found], int)
+        lists = lambda i, kind: pa.array([f[i] for f in found], pa.list_(kind))
+        return pa.table({"a": left.column("id").take(rows), "la": left.column("label").take(rows), "fa": left.column("fold").take(rows), "d2": lists(1, pa.float64()), "b": lists(2, pa.int64()), "lb": lists(3, pa.int32())})
+
+    p = points.select(F.col("id").cast("long").alias("id"), "values", F.col("label").cast("int").alias("label"), "fold")
+    parts = block_pairs(p, ["label", "fold"], run, "a long, la int, fa int, d2 array<double>, b array<long>, lb array<int>")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("d2", "b", "lb")))), 1, k)
+    return parts.groupBy("a", "la", "fa").agg(best["lb"].alias("lb"))
+
+
+def silhouette_of_all(points: DataFrame) -> DataFrame:
+    """(a, silhouette) of every point against all others, from sums of distances by class; ``points`` are (id, values, label)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = _values(left, "values"), _values(right, "values")
+        names, code = np.unique(right.column("label").to_numpy(), return_inverse=True)
+        onehot = np.eye(len(names))[code]
+        sums = np.zeros((len(x), len(names)))
+        step = max(1, _CELLS // max(1, len(y)))
+        for at in range(0, len(x) if len(y) else 0, step):
+            d, size = _approximate(x[at : at + step], y)
+            near = np.argwhere(d < 1e-6 * size)  # products lose the digits of small distances
+            for some in np.array_split(near, len(near) // (1 << 16) + 1):
+                d[some[:, 0], some[:, 1]] = _exact(x[at + some[:, 0]], y[some[:, 1]])
+            sums[at : at + step] = np.sqrt(d, out=d) @ onehot
+        counts = np.broadcast_to(onehot.sum(0), sums.shape)
+        a, c = np.repeat(np.arange(len(x)), len(names)), np.tile(np.arange(len(names)), len(x))
+        return pa.table({"a": left.column("id").take(a), "la": left.column("label").take(a), "lb": pa.array(names[c], pa.int32()), "d": sums.ravel(), "n": counts.ravel()})
+
+    p = points.select(F.col("id").cast("long").alias("id"), "values", F.col("label").cast("int").alias("label"))
+    parts = block_pairs(p, ["label"], run, "a long, la int, lb int, d double, n double")
+    mean = parts.groupBy("a", "la", "lb").agg(F.sum("d").alias("d"), (F.sum("n") - (F.col("la") == F.col("lb")).cast("int")).alias("n"))  # without the point itself
+    mean = mean.where("n > 0").select("a", "la", "lb", (F.col("d") / F.col("n")).alias("d"))
+    return _silhouette(mean)
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from countloom.bundle import CountMatrix, subsample
 from countloom.operators import evaluate, fit as fitting, spectrum
@@ -69,15 +69,11 @@ def density_loss(eigs: np.ndarray, gamma: float, *, power: int = 2, points: int
 def classifier(points: DataFrame, ks: list[int], *, folds: int = 5, seed: int = 34) -> DataFrame:
     """(k, fold, accuracy): held-out folds by seeded hash; each test point votes among the training points.
 
-    ``points`` are (id, values, label). Distances are those of test points to training points.
+    ``points`` are (id, values, label). Every point is tested once, against all points of the other folds.
     """
     p = points.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(folds)).cast("int"))
-    t = p.select(F.col("id").alias("a"), F.col("values").alias("x"), F.col("fold").alias("fa"), F.col("label").alias("la"))
-    q = p.select(F.col("id").alias("b"), F.col("values").alias("y"), F.col("fold").alias("fb"), F.col("label").alias("lb"))
-    d2 = F.aggregate(F.zip_with("x", "y", lambda s, u: (s - u) * (s - u)), F.lit(0.0), lambda acc, v: acc + v)
-    near = t.join(q, F.col("fa") != F.col("fb")).select("a", "fa", "la", "lb", "b", d2.alias("d2"))
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))).where(F.col("place") <= max(ks))
-    grid = near.join(F.broadcast(points.sparkSession.createDataFrame([(k,) for k in ks], "k int")), F.col("place") <= F.col("k"))
+    near = evaluate.nearest_in_folds(p, max(ks))
+    grid = near.select("a", "fa", "la", F.explode(F.array(*map(F.lit, ks))).alias("k"), "lb").withColumn("lb", F.explode(F.slice("lb", F.lit(1), F.col("k"))))
     votes = grid.groupBy("k", "fa", "a", "la", "lb").agg(F.count("*").alias("n"))
     best = votes.groupBy("k", "fa", "a", "la").agg(F.max_by("lb", F.struct("n", -F.col("lb"))).alias("said"))
     return best.groupBy("k", F.col("fa").alias("fold")).agg(F.avg((F.col("said") == F.col("la")).cast("double")).alias("accuracy"))
@@ -173,12 +169,12 @@ def relabelled(labels: DataFrame, names: dict, where: Column | None = None) -> D
     return labels.withColumn("label", new if where is None else F.when(where, new).otherwise(F.col("label").cast("string")))
 
 
-def silhouette_by_components(m: CountMatrix, labels: DataFrame, ks: list[int], queries: Column) -> DataFrame:
-    """(k, silhouette): mean silhouette of the query rows over the leading k components."""
+def silhouette_by_components(m: CountMatrix, labels: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, silhouette): mean silhouette of all rows over the leading k components."""
     out = None
     all_scores = scores(m, max(ks)).join(labels, "row_id").select(F.col("row_id").alias("id"), "values", "label")
     for k in ks:
         p = all_scores.withColumn("values", F.slice("values", 1, k))
-        s = evaluate.silhouette(evaluate.squared_distances(p, p.where(queries)), p).agg(F.avg("silhouette").alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
+        s = evaluate.silhouette_of_all(p).agg(F.avg("silhouette").alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
         out = s if out is None else out.unionByName(s)
     return out

@@ -1,7 +1,8 @@
 """Queries on distances, neighbours, rank statistics and graphs.
 
-Neighbour searches take as queries every vector whose id is divisible by a stated number, against all vectors; graph
-queries are over the class centroids or the stated query set, so no table of all pairs of a corpus is made.
+Neighbour searches and ``silhouette`` take as queries every vector whose id is divisible by a stated number, against all
+vectors; ``silhouette_of_all`` scores every vector, in blocks. Graph queries are over the class centroids or the stated
+query set, so no table of all pairs of a corpus is made.
 """
 
 from __future__ import annotations
@@ -69,6 +70,12 @@ def silhouette(spark, d):
     return rounded(evaluate.silhouette(_distances(spark, d), _points(spark, d)), "silhouette", digits=5)
 
 
+@register()
+def silhouette_of_all(spark, d):
+    """The silhouette of every vector against all others, of which ``silhouette`` has the stated query set."""
+    return rounded(evaluate.silhouette_of_all(_points(spark, d)), "silhouette", digits=5)
+
+
 _R = "WITH x AS (SELECT p_brand, p_size AS v, p_type LIKE '%BRASS' OR p_partkey % 3 = 0 AS pos FROM part), k AS (SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY v) + (count(*) OVER (PARTITION BY p_brand, v) - 1) / 2.0 AS r FROM x), s AS (SELECT p_brand, sum(r) FILTER (pos) AS r, count(*) FILTER (pos) AS np, count(*) FILTER (NOT pos) AS nn FROM k GROUP BY 1)"
 
 

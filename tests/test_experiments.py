@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.operators import experiments as X, spectrum
+from countloom.operators import evaluate, experiments as X, spectrum
+from countloom.plans import catalog
 from countloom.sources import modalities, simulate
 
 
@@ -79,3 +80,63 @@ def test_regress_out_leaves_no_slope(spark, m):
     c = m.cells.groupBy("row_id").agg(F.sum("value").alias("c"))
     r = X.regress_out(m, c).join(c, "row_id").groupBy("col_id").agg(F.covar_samp("value", "c").alias("s"))
     assert r.agg(F.max(F.abs("s"))).first()[0] < 1e-6
+
+
+def votes(ids, x, labels, fold, ks):
+    """(k, fold): accuracy by brute force, ties by id."""
+    hits = {}
+    for i in range(len(ids)):
+        train = np.flatnonzero(fold != fold[i])
+        d = ((x[train] - x[i]) ** 2).T.sum(0)
+        near = labels[train[np.lexsort((ids[train], d))]]
+        for k in ks:
+            hits.setdefault((k, int(fold[i])), []).append(np.bincount(near[:k]).argmax() == labels[i])
+    return {key: np.mean(h) for key, h in hits.items()}
+
+
+def mean_silhouettes(x, labels):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i, c in enumerate(labels):
+        own = d[i, labels == c].sum() / max(1, (labels == c).sum() - 1)
+        other = min(d[i, labels == k].mean() for k in set(labels.tolist()) - {c})
+        out.append(0.0 if (labels == c).sum() == 1 or max(own, other) == 0 else (other - own) / max(own, other))
+    return np.array(out)
+
+
+def folds(points):
+    return {r["id"]: r["f"] for r in points.select("id", F.pmod(F.xxhash64(F.lit(34), "id"), F.lit(5)).alias("f")).collect()}
+
+
+@pytest.mark.parametrize("size", [7, 4096])
+def test_blocks_are_brute_force(spark, monkeypatch, size):
+    """Copies, a point alone in its class, and blocks of few points."""
+    monkeypatch.setattr(evaluate, "QUERIES", size)
+    monkeypatch.setattr(evaluate, "POINTS", 2 * size)
+    rng = np.random.default_rng(3)
+    x, labels = rng.normal(size=(60, 4)) + 100, rng.integers(0, 3, 60)
+    x[20:40], labels[59] = x[20], 3
+    p = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels))], "id long, values array<double>, label int")
+    f = folds(p)
+    want = votes(np.arange(60), x, labels, np.array([f[i] for i in range(60)]), [1, 3, 50])
+    assert {(r["k"], r["fold"]): r["accuracy"] for r in X.classifier(p, [1, 3, 50]).collect()} == pytest.approx(want)
+    got = {r["a"]: r["silhouette"] for r in evaluate.silhouette_of_all(p).collect()}
+    assert [got[i] for i in range(60)] == pytest.approx(mean_silhouettes(x, labels).tolist(), abs=1e-9)
+
+
+def test_registered_scores_take_all_points(spark):
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").select(F.col("vec_id").alias("id"), "embedding", "label")
+    rows = e.collect()
+    ids, x, labels = np.array([r["id"] for r in rows]), np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows])
+    f = folds(e)
+    want = votes(ids, x, labels, np.array([f[i] for i in ids]), [2, 5, 10, 20, 40, 80, 160])
+    assert {(r["k"], r["fold"]): r["accuracy"] for r in catalog.QUERIES["knn_classifier"](spark, sf).collect()} == pytest.approx(want, abs=1e-6)
+    got = {r["a"]: r["silhouette"] for r in catalog.QUERIES["silhouette_of_all"](spark, sf).collect()}
+    assert [got[i] for i in ids] == pytest.approx(mean_silhouettes(x, labels).tolist(), abs=1e-5)
+    m = catalog.supplier_month(spark, sf)
+    s = {r["row_id"]: r["values"] for r in X.scores(m, 4).collect()}
+    nation = {r["s_suppkey"]: r["s_nationkey"] % 4 for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    y, c = np.array([s[i] for i in s]), np.array([nation[i] for i in s])
+    got = {r["k"]: r["silhouette"] for r in catalog.QUERIES["silhouette_by_components"](spark, sf).collect()}
+    assert got == pytest.approx({k: mean_silhouettes(y[:, :k], c).mean() for k in (2, 4)}, abs=1e-5)
