@@ -97,6 +97,19 @@ def _signed(v: np.ndarray) -> np.ndarray:
     return v * np.where(top < 0, -1.0, 1.0)
 
 
+def right_factor(m: CountMatrix, f: Factors, j: int) -> DataFrame:
+    """(col_id, w): the j-th right factor of ``m``, whichever axis ``f`` holds; its largest entry is positive.
+
+    If the rows are the small axis, it is X' U / s.
+    """
+    held = m.cells.sparkSession.createDataFrame([(k, float(x)) for k, x in zip(f.names, f.v[:, j])], f"id {dict((m.obs if f.transposed else m.var).dtypes)['row_id' if f.transposed else 'col_id']}, w double")
+    if not f.transposed:
+        return held.withColumnRenamed("id", "col_id")
+    w = m.cells.join(F.broadcast(held), F.col("row_id") == F.col("id")).groupBy("col_id").agg((F.sum(F.col("value") * F.col("w")) / float(f.s[j])).alias("w"))  # at most GRAM_LIMIT rows
+    top = w.agg(F.when(F.max("w") < F.max(F.abs("w")), -1.0).otherwise(1.0).alias("sign"))
+    return w.crossJoin(F.broadcast(top)).select("col_id", (F.col("w") * F.col("sign")).alias("w"))
+
+
 def _randomized(x: CountMatrix, k: int, seed: int, flip: bool, shape: tuple[int, int]) -> Factors:
     """Right factors from Q = orth(X^T X ... G): tables by column, a small Gram matrix on the driver each step."""
     width = k + 10

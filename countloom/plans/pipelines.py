@@ -75,16 +75,19 @@ def denoised_matrix(spark, d):
     return rounded(f.denoised(), "value", digits=5)
 
 
+def _left_scores(m, new):
+    """(row_id, score): rows ``new`` on the leading left component, by the scalers and the right factor of ``m``."""
+    u, v, _ = scaling.fit(m, quadratic_variance_2param("value"))
+    y = scaling.scale(m, u, v)
+    f = spectrum.svd(y)
+    folded = scaling.fold_in(new, quadratic_variance_2param("value"), v, m.shape[1])
+    z = new.join(folded, "row_id").join(v, "col_id").select("row_id", "col_id", (F.col("value") * F.sqrt("u") * F.sqrt("v")).alias("z"))
+    w = spectrum.right_factor(y, f, 0).withColumn("w", F.col("w") / float(f.s[0]))
+    return z.join(w, "col_id").groupBy("row_id").agg(F.sum(F.col("z") * F.col("w")).alias("score"))
+
+
 @register()
 def fold_in_projection(spark, d):
     """Left scores of new rows from frozen scalers and right factors."""
     m = supplier_month(spark, d)
-    u, v, _ = scaling.fit(m, quadratic_variance_2param("value"))
-    f = spectrum.svd(scaling.scale(m, u, v))
-    new = m.cells.where("row_id % 10 = 3")
-    folded = scaling.fold_in(new, F.col("value"), v, m.shape[1])
-    y = new.join(folded, "row_id").join(v, "col_id").select("row_id", "col_id", (F.col("value") * F.sqrt("u") * F.sqrt("v")).alias("y"))
-    if f.transposed:  # factors of the small axis are those of the rows: project by y V / s with V = Y' U / s
-        return y.groupBy("row_id").agg(F.round(F.sqrt(F.sum(F.col("y") * F.col("y"))), 5).alias("score"))
-    first = spark.createDataFrame([(k, float(x)) for k, x in zip(f.names, f.v[:, 0] / f.s[0])], "col_id string, w double")
-    return y.join(F.broadcast(first), "col_id").groupBy("row_id").agg(F.round(F.sum(F.col("y") * F.col("w")), 5).alias("score"))
+    return rounded(_left_scores(m, m.cells.where("row_id % 10 = 3")), "score", digits=5)

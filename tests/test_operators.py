@@ -174,3 +174,22 @@ def test_streams(spark, tmp_path):
     q = counters(spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/ev")).writeStream.format("memory").queryName("counted").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").start()
     q.awaitTermination(120)
     assert spark.table("counted").first()["total"] == 1
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_fold_in_projection_at_both_shapes(spark, scale):
+    from countloom.plans import catalog
+
+    m = catalog.supplier_month(spark, f"/root/testdata/{scale}")
+    rows, cols = (sorted(x[0] for x in t.select(k).collect()) for t, k in ((m.obs, "row_id"), (m.var, "col_id")))
+    x = np.zeros((len(rows), len(cols)))
+    for r in m.cells.collect():
+        x[rows.index(r["row_id"]), cols.index(r["col_id"])] = r["value"]
+    u, v, _ = scaling.fit(m, E.quadratic_variance_2param("value"))
+    u, v = {r["row_id"]: r["u"] for r in u.collect()}, {r["col_id"]: r["v"] for r in v.collect()}
+    y = np.sqrt([u[i] for i in rows])[:, None] * x * np.sqrt([v[j] for j in cols])
+    left, _, right = np.linalg.svd(y, full_matrices=False)
+    want = left[:, 0] * np.sign(right[0, np.abs(right[0]).argmax()])
+    got = {r["row_id"]: r["score"] for r in catalog.QUERIES["fold_in_projection"](spark, f"/root/testdata/{scale}").collect()}
+    assert sorted(got) == [i for i in rows if i % 10 == 3]
+    assert list(got.values()) == pytest.approx([want[rows.index(i)] for i in got], abs=2e-5)
