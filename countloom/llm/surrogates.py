@@ -5,7 +5,7 @@ check digits), phone numbers, numbers of the form 000-00-0000, and names after a
 by its kind and *canonical form* (digits of a number, lower case of an address), so its spellings corefer. Each distinct
 entity of the corpus gets one canonical surrogate, drawn by HMAC-SHA256 under the caller's key:
 
-* digits stay digits, letters stay letters of their script and case, separators stay where each spelling has them;
+* digits stay digits of their script (an entity's spellings in different digits corefer), letters stay letters of their script and case, separators stay where each spelling has them;
 * card numbers keep their first digit and whether they pass the Luhn check, bank accounts pass theirs if they did;
 * domains and surnames are entities of their own: equal ones stay equal in different addresses and names, the top-level
   domain stays; given names keep the gender that the form of address tells (feminine ones end in a vowel).
@@ -33,22 +33,33 @@ from countloom.session import cut
 #: Forms of address by the gender that they tell (fixed values).
 TITLES = {"m": "Mr Herr Señor Sr Monsieur Господин".split(), "f": "Mrs Ms Miss Frau Señora Sra Señorita Madame Mme Mlle Госпожа".split(), "x": "Dr Prof Mx".split()}
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+#: The decimal digits of all scripts that \d matches, by value: they stand in runs from 0 to 9.
+_VALUE = {c: i % 10 for run in regex.findall(r"\d+", "".join(map(chr, range(0x110000)))) for i, c in enumerate(run)}
+_ASCII = {ord(c): str(v) for c, v in _VALUE.items()}
+_is = lambda *values: f"[{''.join(c for c, v in _VALUE.items() if v in values)}]"
+_OCTET = rf"(?:{_is(2)}{_is(5)}{_is(*range(6))}|{_is(2)}{_is(*range(5))}\d|{_is(1)}?\d?\d)"
 PATTERN = regex.compile(
     r"(?P<email>[^\W_][\w.+-]*+@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))"
-    r"|(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)"
-    r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)(?!\w)"
+    rf"|(?<![\w.])(?P<ip>(?:{_OCTET}\.){{3}}{_OCTET})(?![\d]|\.\d)"
+    r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,4})?)(?!\w)"
     r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
     r"|(?<![\w.])(?P<phone>(?:\+?\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4})(?!\d)"
     r"|(?<![\w.-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     rf"|\b(?:(?P<title>{'|'.join(_GENDER)})\.? )(?P<name>\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}})"
 )
-#: What a text with an entity holds at least, for the scan by Spark: a digit, an @, a form of address.
-TRIGGER = rf"[0-9@]|[{''.join(sorted({t[0] for t in _GENDER}))}](?<=(?:^|\W).)(?:{'|'.join(sorted({t[1:] for t in _GENDER}))})\.? \p{{Lu}}"
+#: What a text with an entity holds at least, for the scan by Spark: a digit of any script, an @, a form of address.
+#: Cn stands for digits and capitals that Java's tables are too old to know.
+TRIGGER = rf"[0-9@\p{{Nd}}\p{{Cn}}]|[{''.join(sorted({t[0] for t in _GENDER}))}](?<=(?:^|\W).)(?:{'|'.join(sorted({t[1:] for t in _GENDER}))})\.? [\p{{Lu}}\p{{Cn}}]"
 DIGITS = ("card", "phone", "ssn")
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if c.isdigit())
+    return "".join(str(_VALUE[c]) for c in s if c in _VALUE)
+
+
+def _as(digit: str, original: str) -> str:
+    """A digit in the script of ``original``; other characters as they are."""
+    return chr(ord(original) - _VALUE[original] + int(digit)) if digit in "0123456789" and original in _VALUE else digit
 
 
 def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
@@ -69,7 +80,7 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
             d = _digits(m[kind])
             yield kind, (d[-10:] if kind == "phone" else d), *m.span(kind)
         else:
-            yield kind, m[kind].replace(" ", ""), *m.span(kind)
+            yield kind, m[kind].replace(" ", "").translate(_ASCII), *m.span(kind)
 
 
 class _Stream:
@@ -124,7 +135,7 @@ def canonical_surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         word = "".join(hard[s.below(len(hard))] + soft[s.below(len(soft))] for _ in range(n))
         return word[:-1] + soft[0] if kind == "given_f" else word + hard[s.below(len(hard))] if kind == "given_m" else word
     text = value.rpartition("@")[0] if kind == "local" else value
-    out = "".join(str(s.below(10)) if c.isdigit() else _letter(s, c) if c.isalpha() else c for c in text)
+    out = "".join(_as(str(s.below(10)), c) if c.isdigit() else _letter(s, c) if c.isalpha() else c for c in text)
     return out + "".join(chr(97 + s.below(26)) for _ in range(attempt // 4))
 
 
@@ -143,12 +154,13 @@ def rendered(kind: str, surrogate: str, original: str) -> str:
     if kind in ("local", "domain", "surname") or kind.startswith("given"):
         return _like(surrogate, original)
     if kind == "ip":
-        return surrogate
+        octets = zip(surrogate.split("."), original.split("."))
+        return ".".join("".join(_as(c, o[0]) for c in x) for x, o in octets)
     rest = list(surrogate)
-    places = [i for i, c in enumerate(original) if c.isalnum()][-len(rest) :]
+    places = [i for i, c in enumerate(original) if c.isalnum() or c in _VALUE][-len(rest) :]
     out = list(original)
     for i, c in zip(places, rest):
-        out[i] = c
+        out[i] = _as(c, original[i])
     return "".join(out)
 
 

@@ -231,3 +231,24 @@ def test_warc(spark):
     empty = scratch(spark, "warc")
     warc.write(df.limit(0), empty)
     assert warc.read(spark, empty).count() == 0
+
+
+def test_surrogates_of_digits_of_all_scripts(spark):
+    """Numbers without any ASCII digit are found, corefer with ASCII spellings and stay in their script."""
+    numbers = ["4111 1111 1111 1111", "(162) 555-6820", "123-45-6789", "192.168.213.7", "255.255.255.250", "GB82 WEST 1234 5698 7654 32"]
+    assert [[e[0] for e in surrogates.entities(n)] for n in numbers] == [["card"], ["phone"], ["ssn"], ["ip"], ["ip"], ["iban"]]
+    zeros = [c for c, v in surrogates._VALUE.items() if v == 0]
+    assert len(surrogates._VALUE) == 10 * len(zeros) and {"0", "\u0660", "\u0966", "\uff10"} <= set(zeros)
+    texts = {f"{z} {i}": "x " + n.translate({48 + k: chr(ord(z) + k) for k in range(10)}) + " y" for z in zeros for i, n in enumerate(numbers)}
+    for key, t in texts.items():
+        assert [e[:2] for e in surrogates.entities(t)] == [e[:2] for e in surrogates.entities(numbers[int(key[2:])])]
+    rows = list(enumerate(texts.values()))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert df.where(~F.col("text").rlike(surrogates.TRIGGER)).count() == 0
+    got = [r["text"] for r in surrogates.replace(df, b"k").orderBy("doc_id").collect()]
+    for i, (key, t) in enumerate(zip(texts, texts.values())):
+        first = got[int(key[2:])]
+        assert got[i] != t and got[i].translate(surrogates._ASCII) == first
+        assert not any(c in "0123456789" for c in got[i]) or key[0] == "0"
+    (a,) = surrogates.replace(spark.createDataFrame([(1, "a\u0661\u0662@x.org")], SCHEMA), b"k").collect()
+    assert a["n_entities"] == 1 and "\u0660" <= a["text"][1] <= "\u0669" and "\u0660" <= a["text"][2] <= "\u0669"
