@@ -17,9 +17,9 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("output", help="a folder for the result tables")
     p.add_argument("--bhat", type=float, help="linear variance coefficient; with --chat, no variance fit")
     p.add_argument("--chat", type=float)
-    p.add_argument("--qits", type=int, default=16, help="Chebyshev intervals of the variance fit")
-    p.add_argument("--n-subsamples", type=int, default=3)
-    p.add_argument("--subsample-size", type=int, default=300)
+    p.add_argument("--qits", type=int, default=51, help="Chebyshev intervals of the variance fit")
+    p.add_argument("--n-subsamples", type=int, default=5)
+    p.add_argument("--subsample-size", type=int, default=5000)
     p.add_argument("--n-iter", type=int, default=500)
     p.add_argument("--tol", type=float, default=1e-6)
     p.add_argument("--shrinker", default="frobenius", choices=("frobenius", "operator", "soft", "hard", "nuclear"))

@@ -104,13 +104,13 @@ def stiefel(directions: np.ndarray, displacement: np.ndarray) -> np.ndarray:
 
 
 def stability(m: CountMatrix, *, share: float = 0.75, repeats: int = 3, seed: int = 0, parameters: dict | None = None) -> DataFrame:
-    """(repeat, rank, sigma, ks): fits of seeded subsets of the rows."""
+    """(repeat, rank, sigma, ks): fits of seeded subsets of the rows, each with its own variance fit unless ``parameters`` are given."""
     spark, rows = m.cells.sparkSession, []
     n = max(2, int(m.obs.count() * share))
     for i in range(repeats):
         sub = m.submatrix(rows=subsample(m.obs.select("row_id"), "row_id", n, seed + i))
         sub = CountMatrix(sub.cells, sub.obs, sub.cells.select("col_id").distinct())
-        f = fitting.fit(sub, parameters or {"bhat": 1.0, "chat": 0.0})
+        f = fitting.fit(sub, parameters)
         rows.append((i, f.rank, float(f.sigma), float(f.kst)))
     return spark.createDataFrame(rows, "repeat int, rank int, sigma double, ks double")
 

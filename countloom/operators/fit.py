@@ -48,9 +48,13 @@ def minimise(nodes: np.ndarray, values: np.ndarray) -> float:
     return float(min([grid[p(grid).argmin()], *inner], key=p))
 
 
-def quadratic_fits(m: CountMatrix, *, side: int = 300, n_subsamples: int = 3, qits: int = 16, seed: int = 42) -> DataFrame:
-    """(submatrix, q, sigma, kst): seeded submatrices (at most ``side`` by ``side``) times nodes, one kernel call each."""
+def quadratic_fits(m: CountMatrix, *, side: int = 5000, n_subsamples: int = 5, qits: int = 51, seed: int = 42) -> DataFrame:
+    """(submatrix, q, sigma, kst): seeded submatrices (at most ``side`` by ``side``) times nodes, one kernel call each.
+
+    The defaults are the reference's. If ``side`` covers both axes, all submatrices are the whole matrix, which is fitted once.
+    """
     parts = []
+    n_subsamples = 1 if side >= max(m.shape) else n_subsamples
     for i in range(n_subsamples):
         rows, cols = subsample(m.obs.select("row_id"), "row_id", side, seed + i), subsample(m.var.select("col_id"), "col_id", side, seed + i)
         sub = m.submatrix(rows, cols).cells

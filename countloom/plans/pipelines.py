@@ -59,19 +59,19 @@ def spectrum_energy(spark, d):
 @register()
 def quadratic_fit(spark, d):
     """Fitted variance per submatrix and node."""
-    return rounded(fitting.quadratic_fits(supplier_month(spark, d), side=80, n_subsamples=2, qits=8), "sigma", "kst", digits=5)
+    return rounded(fitting.quadratic_fits(supplier_month(spark, d)), "sigma", "kst", digits=5)
 
 
 @register()
 def quadratic_parameters(spark, d):
-    p = fitting.minimiser(fitting.quadratic_fits(supplier_month(spark, d), side=80, n_subsamples=2, qits=8))
+    p = fitting.minimiser(fitting.quadratic_fits(supplier_month(spark, d)))
     return spark.createDataFrame([(k, round(v, 5)) for k, v in p.items()], "parameter string, value double")
 
 
 @register()
 def denoised_matrix(spark, d):
     """The low-rank estimate of the scaled counts."""
-    f = fitting.fit(supplier_month(spark, d), {"bhat": 1.0, "chat": 0.0})
+    f = fitting.fit(supplier_month(spark, d))
     return rounded(f.denoised(), "value", digits=5)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.operators import evaluate, experiments as X, spectrum
+from countloom.operators import evaluate, experiments as X, fit, spectrum
 from countloom.plans import catalog
 from countloom.sources import modalities, simulate
 
@@ -140,3 +140,21 @@ def test_registered_scores_take_all_points(spark):
     y, c = np.array([s[i] for i in s]), np.array([nation[i] for i in s])
     got = {r["k"]: r["silhouette"] for r in catalog.QUERIES["silhouette_by_components"](spark, sf).collect()}
     assert got == pytest.approx({k: mean_silhouettes(y[:, :k], c).mean() for k in (2, 4)}, abs=1e-5)
+
+
+def test_variance_is_fitted_over_the_whole_matrix(spark, monkeypatch):
+    """Nodes of the registered fit, as the reference has them, over all suppliers; later steps fit when nothing is given."""
+    sf = "/root/testdata/sf0.01"  # 100 suppliers
+    m = catalog.supplier_month(spark, sf)
+    rows = catalog.QUERIES["quadratic_fit"](spark, sf).collect()
+    assert sorted(r["q"] for r in rows) == pytest.approx(fit.lobatto(51).tolist())
+    x = m.cells.toPandas().pivot_table(index="row_id", columns="col_id", values="value", fill_value=0.0).to_numpy(float)
+    x = x[(x != 0).sum(1) > 1][:, (x != 0).sum(0) > 1]
+    for r in sorted(rows, key=lambda r: r["q"])[::17]:
+        assert (r["sigma"], r["kst"]) == pytest.approx(fit.local_fit(x, r["q"]), abs=2e-5)
+    seen = []
+    monkeypatch.setattr(fit, "minimiser", lambda fits: seen.append(fits) or {"bhat": 1.0, "chat": 0.0})
+    catalog.QUERIES["denoised_matrix"](spark, sf)
+    assert len(seen) == 1
+    X.stability(m, repeats=1)
+    assert len(seen) == 2
