@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame, types as T
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +44,12 @@ def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def require_integer(df: DataFrame, col: str) -> None:
+    """Ids whose order decides are whole numbers; others raise rather than turn into nulls."""
+    if not isinstance(df.schema[col].dataType, T.IntegralType):
+        raise TypeError(f"{col} must be of an integer type, not {df.schema[col].dataType.simpleString()}")
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` word hashes."""
     if len(words) < n:

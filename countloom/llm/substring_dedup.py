@@ -1,39 +1,44 @@
 """Substring dedup with suffix automata: words covered by a window of ``window`` words that also starts in a document of
 smaller id are removed.
 
-The corpus is its own reference. It has no size bound, so its automata cannot be broadcast; instead reference and
-documents meet by shard. Contexts that share an anchor (see ``anchors``) form a shard: sorted by the smallest id of a
-document that holds them, they are streamed for matching statistics against the suffix automata of the contexts before
-them, and their unmatched parts are then added. A state knows the document of its first end position, which is the
-smallest, as contexts come in order of ids. An automaton takes up to ``SHARD_WORDS`` words; a shard that needs more
-opens another, and documents are streamed against each, so memory stays bounded per automaton. Words are compared as
-they are, not as hashes. What is broadcast are Bloom filters of fixed size, which thin out the shuffles.
-
-A hot anchor (a line that very many documents hold, each going on differently) would bring all its contexts to one task:
-contexts of anchors with more than ``HOT_CONTEXTS`` of them are dealt window by window, by a 64-bit hash of anchor and
-window, and equal windows meet their smallest id there. This is the exact way for what a shard should not hold.
-
-A context that stands in several documents is looked up once, for its smallest id; the other documents repeat all of it.
+``against`` takes a reference of bounded size: the automata of its shards are broadcast (their size is checked first), and
+documents are streamed against them for matching statistics.
+
+``dedup`` takes the corpus as its own reference. That has no size bound, so its automata are not broadcast; reference and
+documents meet by shard instead: contexts that share an anchor (see ``anchors``) come to one shard in the order of ids, are
+streamed for matching statistics against the suffix automata of the contexts before them, and their unmatched parts
+are then added. A state knows the document of its first end position, which is the smallest, as contexts come in order
+of ids. An automaton takes up to ``SHARD_WORDS`` words; a shard that needs more opens another, and documents are streamed
+against each, so memory stays bounded per automaton. Words are compared as they are, not as hashes. What is broadcast
+are Bloom filters of bounded size, which keep away the contexts whose anchor stands in one document only.
+
+Two things pass beside the automata. Copies of a context inside a batch of documents travel once: they are compared word
+for word, and all but those of smallest id repeat. A hot anchor (a line that very many documents hold, each going on
+differently) would bring all its contexts to one task: its contexts are dealt window by window, and equal windows meet
+their smallest id there, by 128 bits of their hash.
+
 Null texts have no words; documents with a null id keep all words and are no reference. Rows that repeat an id keep what
-they hold (no smaller id). Windows are judged on the input. Other columns pass through, but for ``n_words``, ``removed``.
+they hold (no smaller id). Ids are integers (others raise). Windows are judged on the input. Other columns pass through,
+but for ``n_words``, ``removed`` and ``kept``, which are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from countloom.llm.anchors import COUNTS, Bloom, anchors, batch_counts, bloom, context_hash, counted, covered, run_hashes
-from countloom.llm.common import WordHashes, byte_column, spans_of
+from countloom.llm.anchors import COUNTS, RANGES, SHIPMENT_BYTES, SHIPPED, Filters, Shipment, anchors, batch_counts, chosen, context_hash, covered, decided, packed, ranges_of, united
+from countloom.llm.common import WordHashes, byte_column, require_integer, spans_of
 from countloom.session import cut
 
 GRAM = 16
 SHARD_WORDS = 60_000
-#: Keys with more distinct contexts than this are dealt by the hash of each window.
-HOT_CONTEXTS = 256
+#: Most words of a reference whose automata are broadcast (about 500 bytes each in a worker).
+REFERENCE_WORDS = 1_000_000
 
 
 class Automaton:
@@ -112,181 +117,85 @@ class Automaton:
 
 def repeated(contexts: Iterator[tuple[int, list[bytes]]], window: int) -> Iterator[np.ndarray]:
     """For contexts in order of ids: which window starts occur in a document of smaller id."""
-    shards = [Automaton()]
+    shards: list[Automaton] = []
+    new: list[tuple[int, list[bytes]]] = []  # what the last context brought; it is added only if another one comes
     for doc, words in contexts:
+        for old, part in new:
+            if not shards or shards[-1].size >= SHARD_WORDS:
+                shards.append(Automaton())
+            shards[-1].add(part, old)
         starts = len(words) - window + 1
         marked, known = np.zeros(starts, bool), np.zeros(starts, bool)
         for shard in shards:
             shard.matches(words, window, doc, marked, known)
-        if shards[-1].size >= SHARD_WORDS:
-            shards.append(Automaton())
-        for a, b in spans_of(~known).tolist():
-            shards[-1].add(words[a : b + window - 1], doc)
+        new = [(doc, words[a : b + window - 1]) for a, b in spans_of(~known).tolist()] if shards else [(doc, words)]
         yield marked
 
 
-def _contexts(words: list[bytes], hashes: WordHashes, window: int, k: int) -> Iterator[tuple]:
-    symbols = hashes.of(words)
-    view = memoryview(symbols).cast("B")
-    for key, place, first, end in anchors(symbols, window, k):
-        ctx = [context_hash(view[8 * a : 8 * (b + window - 1)], p - a) for a, b, p in zip(first.tolist(), end.tolist(), place.tolist())]
-        yield key, ctx, first, end
-
-
-def _texts(batch: pa.RecordBatch, window: int, hashes: WordHashes) -> Iterator[tuple[int, int, list[bytes]]]:
+def _texts(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """(row key, id, words) of the texts that hold a window."""
     for owner, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_column(batch, batch.schema.names[2])):
         if doc is not None and text and len(text) >= 2 * window - 1 and len(words := text.split()) >= window:
             yield owner, doc, words
 
 
-def removals(keyed: DataFrame, *, window: int, k: int, id_col: str, text_col: str, filter_bits: int) -> DataFrame:
-    """(_key, pieces) as (first start, number of starts, marked ones or null for all)."""
-    sc, parts = keyed.sparkSession.sparkContext, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed.select("_key", F.col(id_col).cast("long").alias("_id"), text_col)
-
+def _chosen_keys(texts: DataFrame, window: int, k: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             rows, size = [], 0
-            for _, doc, words in _texts(batch, window, hashes):
-                for key, ctx, *_ in _contexts(words, hashes, window, k):
-                    rows.append((key, ctx, doc))
-                    size += len(ctx)
+            for _, doc, words in _texts(batch, window):
+                symbols = hashes.of(words)
+                view = memoryview(symbols).cast("B")
+                for key, place, first, end in anchors(symbols, window, k):
+                    rows.append((key, [context_hash(view[8 * a : 8 * (b + window - 1)], p - a) for a, b, p in zip(first.tolist(), end.tolist(), place.tolist())], doc))
+                    size += len(key)
                 if size > 400_000:
                     yield batch_counts(rows)
                     rows, size = [], 0
             yield batch_counts(rows)
 
-    counts = cut(counted(texts.mapInArrow(count, COUNTS)), "counts")  # used twice below
-    mixed = counts.groupBy("key").agg(F.count("*").alias("c"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("c > 1 AND l < h").select("key", "c", F.lit(True).alias("mixed"))
-    known = cut(counts.join(mixed, "key", "left").where("lo < hi OR mixed"), "contexts")
-    mixed_filter = sc.broadcast(bloom(known.where("mixed"), "key", filter_bits))
-    hot_filter = sc.broadcast(bloom(known.where(F.col("c") > HOT_CONTEXTS), "key", 20))
-    packed = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("ctx", pa.int64()), ("doc", pa.int64()), ("data", pa.binary())])
-
-    def sent(found: dict[int, tuple], hashes: WordHashes) -> pa.RecordBatch:
-        """Cold contexts as they are, by key; hot ones as arrays of (hash, ctx, place, id), by hash."""
-        keys, ctxs = np.array([v[0] for v in found.values()], np.int64), list(found)
-        docs, data = [v[1] for v in found.values()], [v[2] for v in found.values()]
-        hot = Bloom(hot_filter.value, 20).may(keys)
-        cold = np.flatnonzero(~hot).tolist()
-        rows = [(keys[cold] % parts).tolist(), keys[cold].tolist(), [ctxs[i] for i in cold], [docs[i] for i in cold], [data[i] for i in cold]]
-        at = np.flatnonzero(hot).tolist()
-        for a in range(0, len(at), 2000):
-            some = at[a : a + 2000]
-            prints = [run_hashes(hashes.of(data[i].split(b" ")), window) for i in some]
-            n = np.array([len(x) for x in prints])
-            h = np.concatenate(prints) ^ np.repeat(keys[some], n).view(np.uint64)
-            where = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            cols = (h.view(np.int64), np.repeat(np.array([ctxs[i] for i in some], np.int64), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.array([docs[i] for i in some], np.int64), n))
-            edge = np.searchsorted(where[order], np.arange(parts + 1))
-            for p in range(parts):
-                if edge[p] < edge[p + 1]:
-                    o = order[edge[p] : edge[p + 1]]
-                    for col, v in zip(rows, (p, None, None, None, b"".join(x[o].tobytes() for x in cols))):
-                        col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, packed)], schema=packed)
-
-    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, hashes = Bloom(mixed_filter.value, filter_bits).may, WordHashes()
-        for batch in batches:
-            found: dict[int, tuple] = {}
-            held = 0
-            for _, doc, words in _texts(batch, window, hashes):
-                for key, ctx, first, end in _contexts(words, hashes, window, k):
-                    for i in np.flatnonzero(may(key)).tolist():
-                        old = found.get(ctx[i])
-                        if old is None:
-                            found[ctx[i]] = (int(key[i]), doc, data := b" ".join(words[first[i] : end[i] + window - 1]))
-                            held += len(data)
-                        elif doc < old[1]:
-                            found[ctx[i]] = (old[0], doc, old[2])
-                if held > 4 << 20:
-                    yield sent(found, hashes)
-                    found, held = {}, 0
-            yield sent(found, hashes)
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot: list[np.ndarray] = []
-
-        def groups() -> Iterator[list[tuple]]:
-            held: list[tuple] = []
-            seen: set[int] = set()
-            for batch in batches:
-                for _, key, ctx, doc, data in zip(*(c.to_pylist() for c in batch.columns)):
-                    if key is None:
-                        hot.append(np.frombuffer(data, np.int64).reshape(4, -1))
-                        continue
-                    if held and held[-1][0] != key:
-                        yield held
-                        held, seen = [], set()
-                    if ctx not in seen:  # the first is that of smallest id
-                        seen.add(ctx)
-                        held.append((key, ctx, doc, data))
-            if held:
-                yield held
-
-        out: tuple[list, list] = ([], [])
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["ctx", "starts"])
-        for rows in groups():
-            if len(rows) > 1 and rows[0][2] < rows[-1][2]:
-                for row, marked in zip(rows, repeated(((r[2], r[3].split(b" ")) for r in rows), window)):
-                    if marked.any():
-                        out[0].append(row[1])
-                        out[1].append(np.flatnonzero(marked).astype("<i4").tobytes())
-            if len(out[0]) > 20_000:
-                yield batch()
-                out = ([], [])
-        yield batch()
-        if hot:
-            h, c, p, d = np.concatenate(hot, axis=1)
-            order = np.lexsort((d, p, c))
-            order = order[np.concatenate(([True], (np.diff(c[order]) != 0) | (np.diff(p[order]) != 0)))]
-            h, c, p, d = h[order], c[order], p[order], d[order]
-            order = np.lexsort((d, h))
-            first = np.concatenate(([True], np.diff(h[order]) != 0))
-            least = d[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
-            on = order[least < d[order]]
-            on = on[np.lexsort((p[on], c[on]))]
-            for a in np.split(on, np.flatnonzero(np.diff(c[on])) + 1) if len(on) else []:
-                out[0].append(int(c[a[0]]))
-                out[1].append(p[a].astype("<i4").tobytes())
-                if len(out[0]) > 20_000:
-                    yield batch()
-                    out = ([], [])
-            yield batch()
-
-    contexts = texts.mapInArrow(payloads, "part int, key long, ctx long, doc long, data binary")
-    found = contexts.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc", "ctx").mapInArrow(shard, "ctx long, starts binary")
-    found = found.groupBy("ctx").agg(F.collect_list("starts").alias("starts"))  # a context's own starts
-    decided = cut(known.select("ctx", "lo", "hi").join(found, "ctx", "left").where("lo < hi OR starts IS NOT NULL").select("ctx", "lo", "starts"), "decided")
-    decided_filter = sc.broadcast(bloom(decided, "ctx", filter_bits))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, hashes = Bloom(decided_filter.value, filter_bits).may, WordHashes()
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for owner, doc, words in _texts(batch, window, hashes):
-                for _, ctx, first, end in _contexts(words, hashes, window, k):
-                    for i in np.flatnonzero(may(np.array(ctx, np.int64))).tolist():
-                        for col, v in zip(out, (owner, doc, ctx[i], int(first[i]), int(end[i] - first[i]))):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["_key", "doc", "ctx", "first", "n"])
+    return cut(chosen(texts.mapInArrow(count, COUNTS), "first < last"), "keys")
 
-    rows = texts.mapInArrow(places, "_key long, doc long, ctx long, first long, n long").join(decided, "ctx").where("doc > lo OR starts IS NOT NULL")
-    piece = F.struct("first", "n", F.when(F.col("doc") == F.col("lo"), F.col("starts")).alias("starts"))
-    return rows.groupBy("_key").agg(F.collect_list(piece).alias("pieces"))
 
+def removals(keyed: DataFrame, *, window: int, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(_key, _pieces): for each text the word ranges that its repeated windows cover."""
+    texts = keyed.select("_key", F.col(id_col).cast("long").alias("_id"), text_col)
+    filters = Filters(_chosen_keys(texts, window, k), window - k + 1)
 
-def dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, filter_bits: int = 25) -> DataFrame:
-    """``docs`` with ``n_words``, ``removed`` (sorted word ranges, end exclusive) and ``kept`` (the other words, joined by blanks)."""
-    made = ("n_words", "removed", "kept", "_key", "_pieces")
-    base = docs.drop(*made)
-    keyed = base.withColumn("_key", F.xxhash64(id_col, text_col))
-    pieces = removals(keyed, window=window, k=gram, id_col=id_col, text_col=text_col, filter_bits=filter_bits)
-    joined = keyed.join(pieces.withColumnRenamed("pieces", "_pieces"), "_key", "left").drop("_key")
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        shipment = Shipment(filters.parts, window, True, lambda data: hashes.of(data.split(b" ")), filters.may_be_hot)
+        for batch in batches:
+            for owner, doc, words in _texts(batch, window):
+                symbols = hashes.of(words)
+                view = memoryview(symbols).cast("B")
+                for key, place, first, end in anchors(symbols, window, k):
+                    on = np.flatnonzero(filters.may(key))
+                    for x, p, a, b in zip(key[on].tolist(), place[on].tolist(), first[on].tolist(), end[on].tolist()):
+                        shipment.add(x, context_hash(view[8 * a : 8 * (b + window - 1)], p - a), b" ".join(words[a : b + window - 1]), b - a, doc, owner, a)
+                if shipment.held > SHIPMENT_BYTES:
+                    yield shipment.batch()
+        yield shipment.batch()
+
+    def bucket(rows: Iterator[tuple[int, bytes, bytes]]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """The contexts of one key, in the order of ids: (id, data, owners)."""
+        held: list[bytes] = []
+
+        def contexts() -> Iterator[tuple[int, list[bytes]]]:
+            for doc, data, own in rows:
+                held.append(own)
+                yield doc, data.split(b" ")
+
+        for marked in repeated(contexts(), window):
+            yield held.pop(), np.flatnonzero(marked)
+
+    shipped = texts.mapInArrow(ship, SHIPPED).repartitionById(filters.parts, F.col("part")).sortWithinPartitions("key", "doc", "ctx")
+    return united(shipped.mapInArrow(lambda batches: decided(batches, window, True, bucket), RANGES))
+
+
+def _applied(base: DataFrame, joined: DataFrame, text_col: str) -> DataFrame:
+    """``base``'s columns of ``joined`` with ``n_words``, ``removed`` and ``kept``, from ``_pieces``."""
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*base.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.StringType())])
     names = base.columns
@@ -298,7 +207,7 @@ def dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col
             texts = [x.split() if x else [] for x in byte_column(batch, text_col)]
             n_words = [len(x) for x in texts]
             pieces = batch.column(batch.schema.get_field_index("_pieces"))
-            for words, found in zip(texts, covered(pieces, n_words, window)):
+            for words, found in zip(texts, covered(pieces, n_words)):
                 spans.append([{"start": a, "end": b} for a, b in found])
                 if found:
                     edges = [0, *(x for s in found for x in s), len(words)]
@@ -308,3 +217,55 @@ def dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_pydict(old | {"n_words": pa.array(n_words, pa.int64()), "removed": pa.array(spans, spans_type), "kept": pa.array(kept, pa.string())})
 
     return joined.mapInArrow(apply, schema)
+
+
+_MADE = ("n_words", "removed", "kept", "_key", "_pieces")
+
+
+def dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
+    """``docs`` with ``n_words``, ``removed`` (sorted word ranges, end exclusive) and ``kept`` (the other words, joined by blanks)."""
+    require_integer(docs, id_col)
+    base = docs.drop(*_MADE)
+    keyed = base.withColumn("_key", F.xxhash64(id_col, text_col))
+    pieces = removals(keyed, window=window, k=gram, id_col=id_col, text_col=text_col)
+    return _applied(base, keyed.join(pieces, "_key", "left"), text_col)
+
+
+@lru_cache(maxsize=1)
+def _automata(texts: tuple[bytes, ...]) -> list[Automaton]:
+    """The automata of a reference, built once by a worker."""
+    shards: list[Automaton] = []
+    for text in texts:
+        if not shards or shards[-1].size >= SHARD_WORDS:
+            shards.append(Automaton())
+        shards[-1].add(text.split(), 0)
+    return shards
+
+
+def against(docs: DataFrame, reference: DataFrame, *, window: int = 50, text_col: str = "text", reference_col: str = "text", reference_words: int = REFERENCE_WORDS) -> DataFrame:
+    """As ``dedup``, but words go that are covered by a window of a text of ``reference``, whose automata are broadcast.
+
+    Raises if the reference has more than ``reference_words`` words (counted first).
+    """
+    words = F.size(F.regexp_extract_all(F.col(reference_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    size = reference.where(F.col(reference_col).isNotNull()).agg(F.sum(words)).first()[0] or 0
+    if size > reference_words:
+        raise ValueError(f"the reference has {size} words; at most {reference_words} are broadcast")
+    texts = tuple(r[0].encode() for r in reference.where(F.col(reference_col).isNotNull()).select(reference_col).collect())
+    held = docs.sparkSession.sparkContext.broadcast(texts)
+    base = docs.drop(*_MADE)
+    names = base.columns
+    pieces = T.StructType([*base.schema.fields, T.StructField("_pieces", T.ArrayType(T.BinaryType()))])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in byte_column(batch, text_col):
+                words = text.split() if text else []
+                marked = np.zeros(max(0, len(words) - window + 1), bool)
+                for automaton in _automata(held.value) if len(marked) else ():
+                    automaton.matches(words, window, 1, marked, marked)
+                found.append([packed(ranges_of(np.flatnonzero(marked), window))] if marked.any() else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.binary()))], names=[*names, "_pieces"])
+
+    return _applied(base, base.mapInArrow(stream, pieces), text_col)

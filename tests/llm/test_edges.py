@@ -117,15 +117,72 @@ def test_suffix_dedup(spark, docs, none):
 
 
 def test_family_of_levels():
-    f = suffix_dedup.Family()
+    """Arrays are in the order of suffixes; windows that stand twice are marked, whichever levels they are in."""
     rng = np.random.default_rng(2)
-    prints, marked = [], []
+    f, texts = suffix_dedup.Family(6), []
     for _ in range(9):
-        p = rng.integers(0, 400, 60).astype(np.uint64)
-        f.add(p, np.zeros(60, np.int64))
-        prints += p.tolist()
-    marked = np.concatenate(f.marked)
-    assert marked.tolist() == [prints.count(x) > 1 for x in prints] and len(f.levels) <= 5
+        batch = [bytes(rng.integers(97, 100, rng.integers(6, 30)).astype(np.uint8)) for _ in range(4)]
+        f.add(batch)
+        texts += batch
+    windows = [[t[i : i + 6] for i in range(len(t) - 5)] for t in texts]
+    flat = [w for ws in windows for w in ws]
+    assert [list(map(bool, m)) for m in f.marked] == [[flat.count(w) > 1 for w in ws] for ws in windows]
+    assert len(f.levels) <= 5 and sum(map(len, f.levels)) == len(flat)
+    assert all(f.windows(level) == sorted(f.windows(level)) for level in f.levels)
+
+
+def test_index_on_disk(spark):
+    """Batches against stored levels, whatever batch a string first came with; levels of like size merge."""
+    rng = np.random.default_rng(4)
+    base = bytes(rng.integers(97, 123, 3000).astype(np.uint8)).decode()
+    rows = [(i, "".join([base[a : a + n], str(i)])) for i, (a, n) in enumerate(zip(rng.integers(0, 2500, 24).tolist(), rng.integers(0, 600, 24).tolist()))]
+    index = suffix_dedup.Index(spark, scratch(spark, "index"), parts=3)
+    ranges = {}
+    for part in (rows[:8], rows[8:16], [], rows[16:20], rows[20:]):
+        again = suffix_dedup.Index(spark, index.path, parts=3, version=index.version)  # as another session opens it
+        for r in again.add(spark.createDataFrame([*part, (None, base)], SCHEMA)).collect():
+            ranges.setdefault(r["doc_id"], []).extend(x for b in r["ranges"] for x in np.frombuffer(b, "<i4").reshape(-1, 2).tolist())
+        index = again
+    for w in brute.op6(rows):
+        assert len({i for a, b in ranges.get(w["doc_id"], []) for i in range(a, b)}) == w["n_removed"]
+    levels = index.levels()
+    assert len(levels) < 5 and all(a[1] >= 2 * b[1] for a, b in zip(levels, levels[1:]))
+
+
+def crowd(rng, n, width):
+    """Texts that share one passage and go on differently: hot anchors."""
+    passage = " ".join(rng.choice(WORDS, 60))
+    return [(i, f"{' '.join(rng.choice(WORDS, 30))} {passage} {' '.join(rng.choice(WORDS, width))}") for i in range(n)]
+
+
+def test_hot_anchors(spark, monkeypatch):
+    from countloom.llm import anchors
+
+    monkeypatch.setattr(anchors, "HOT_CONTEXTS", 4)
+    rows = crowd(np.random.default_rng(6), 40, 25)
+    rows += [(100 + i, rows[i][1]) for i in range(6)] + [(200, rows[0][1] + " " + rows[0][1])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup(df).collect()}
+    for w in brute.op6(rows):
+        assert sum(s["end"] - s["start"] for s in got[w["doc_id"]]["removed"]) == w["n_removed"]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(df).collect()}
+    for w in brute.op9(rows):
+        assert sum(s["end"] - s["start"] for s in got[w["doc_id"]]["removed"]) == w["n_removed"]
+
+
+def test_broadcast_automata(spark, docs, none):
+    reference = spark.createDataFrame([(PASSAGE,), (None,), ("",), (LONG[:6000],)], "text string")
+    got = {r["doc_id"]: r for r in substring_dedup.against(docs, reference).collect()}
+    windows = {tuple(w[i : i + 50]) for w in (PASSAGE.split(), LONG[:6000].split()) for i in range(len(w) - 49)}
+    for d, t in TEXTS:
+        w = brute.W.findall(t or "")
+        hit = {i + j for i in range(len(w) - 49) if tuple(w[i : i + 50]) in windows for j in range(50)}
+        assert sum(s["end"] - s["start"] for s in got[d]["removed"]) == len(hit) and got[d]["n_words"] == len(w)
+    assert substring_dedup.against(none, reference).count() == 0 and substring_dedup.against(docs, reference.limit(0)).where("size(removed) > 0").count() == 0
+    with pytest.raises(ValueError, match="words"):
+        substring_dedup.against(docs, reference, reference_words=10)
+    with pytest.raises(TypeError):
+        substring_dedup.dedup(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_substring_dedup(spark, docs, none):
