@@ -9,15 +9,16 @@
    subset link, without further counting. Stars (each to the smallest of the other side) stand for the pairs.
 4. Heavy. Larger sets are looked up in the inverted lists of their prefix (the rarest grams, as many as a partner
    cannot miss); overlaps are counted on the live sets. To keep groups of near copies linear, each list is first
-   compared with one hub (its member with the most widely shared grams); only members that are still in different
-   components are then compared pairwise, under size and position filters. Pairs inside a component change nothing.
-   The boundary between light and heavy is the size at which enumerating costs more than scanning, from counts over
+   compared with one hub (its member with the most widely shared grams). Lists whose members are then still in different
+   components are compared in blocks: each pair of blocks of a list is one small task of its own, however long the list,
+   and hands on only pairs of different components that pass the size and position filters. Pairs inside a component
+   change nothing. The boundary between light and heavy is the size at which enumerating costs more than scanning, from counts over
    all live nodes.
 
 Texts: A-Z is lower-cased; words are runs of bytes other than space and \\t..\\r; with fewer than n words the whole
 sequence is the one gram; without words the set is empty and links with nothing. Null texts are empty. Rows that repeat
 an id are linked through their own texts; a null id has a null component unless the set's other rows have ids.
-Other columns are not read. Hashes are 62 bits for grams and 64 for sets: two different sets of equal hash would count
+Ids are integers (others raise). An empty table gives no rows. Other columns are not read. Hashes are 62 bits for grams and 64 for sets: two different sets of equal hash would count
 as copies (odds about n*n/2^65).
 """
 
@@ -32,11 +33,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from countloom.llm.common import WordHashes, byte_column, mix, ngram_hashes
+from countloom.llm.common import WordHashes, byte_column, ngram_hashes, require_integer
 from countloom.llm.components import components
 from countloom.session import cut
 
 SLICE = 2000
+#: Members of a list that are compared at once, with as many others.
+BLOCK = 512
 GRAM_BITS = np.uint64(2)  # the top bits that are dropped, so that 7 bytes and a bucket of 64 tell a gram
 _PACKED = "bucket int, nodes binary, sizes binary, counts binary, grams binary, lists binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("lists", pa.binary())])
@@ -246,6 +249,39 @@ def verified(pairs: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame
     return both.where(_overlap_ok(F.size(F.array_intersect("grams_a", "grams_b")), F.col("size_a"), F.col("size_b"), num, den)).select("a", "b")
 
 
+def block_pairs(rest: DataFrame, x: int, num: int, den: int) -> DataFrame:
+    """Candidates (a, b) among the members of each list, by pairs of its ``blocks``; only those that pass the filters."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rest.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("gram", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i").cast("long").alias("i"), "node", "size", F.col("have").cast("long").alias("have"), F.col("pos").cast("long").alias("pos"), "root")
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compared(m: np.ndarray) -> np.ndarray:
+        """Pairs of one task's members, given as columns (i, node, size, have, pos, root)."""
+        i, node, size, have, pos, root = m
+        one = i.min()
+        p, q = (np.flatnonzero(i == one), np.flatnonzero(i != one)) if (i != one).any() else (np.arange(len(i)), np.arange(len(i)))
+        a, b = size[p][:, None], size[q][None, :]
+        most = np.minimum((have - pos)[p][:, None], (have - pos)[q][None, :])
+        ok = (root[p][:, None] != root[q][None, :]) & (a * den >= b * num) & (b * den >= a * num) & (np.maximum(a, b) > x) & (most * (num + den) >= num * (a + b))
+        u, v = np.nonzero(ok)
+        u, v = node[p[u]], node[q[v]]
+        return np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((9, 0), np.int64)
+        for batch in batches:
+            held = np.concatenate((held, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(9)])), axis=1)
+            edge = np.flatnonzero((np.diff(held[:3], axis=1) != 0).any(axis=0)) + 1
+            for a, b in zip([0, *edge[:-1].tolist()], edge.tolist()):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in compared(held[3:, a:b])], names=["a", "b"])
+            held = held[:, edge[-1] :] if len(edge) else held
+        if held.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in compared(held[3:])], names=["a", "b"])
+
+    return dealt.repartition(parts, "gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
 def links(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (80, 100), text_col: str = "text") -> DataFrame:
     """(node, root) of all nodes that link with another."""
     g = math.gcd(*threshold)
@@ -259,21 +295,18 @@ def links(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (80, 100)
     lists = cut(heavy, "lists")
     fits = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num) & (F.greatest(a, b) > x)
 
-    hubs = lists.groupBy("gram").agg(F.max_by(F.struct("node", "size"), F.struct("score", "size", "node")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("gram", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size"))
+    # what is joined back is cut first: then Spark can split the partition of a long list
+    hubs = lists.groupBy("gram").agg(F.max_by(F.struct("node", "size"), F.struct("score", "size", "node")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    hubs = cut(hubs.select("gram", F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "hubs")
     star = lists.join(hubs, "gram").where((F.col("node") != F.col("hub")) & fits("size", "hub_size"))
     pairs = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     known = cut(light.unionByName(verified(pairs, live, num, den)), "links")
     roots = components(known, "a", "b")
 
-    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-    rest = cut(placed.join(several, "gram", "left_semi"), "rest")
-    p = rest.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "have", "pos", "root")))
-    q = rest.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "have", "pos", "root")))
-    most = F.least(F.col("have_a") - F.col("pos_a"), F.col("have_b") - F.col("pos_b"))
-    cross = p.join(q, "gram").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits("size_a", "size_b") & _overlap_ok(most, F.col("size_a"), F.col("size_b"), num, den))
-    more = verified(cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), live, num, den)
-    more = cut(more, "links")
+    placed = cut(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("score"), "placed")
+    several = placed.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 <> r1")
+    several = cut(several.select("gram", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "several")
+    more = cut(verified(block_pairs(placed.join(several, "gram"), x, num, den).distinct(), live, num, den), "links")
     if more.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b")
@@ -281,12 +314,13 @@ def links(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (80, 100)
 
 def join(docs: DataFrame, *, n: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) per row of ``docs``."""
+    require_integer(docs, id_col)
     rows = cut(nodes(docs, n=n, id_col=id_col, text_col=text_col), "nodes")
     roots = links(docs, n=n, threshold=threshold, text_col=text_col)
     # empty sets link with nothing: each stays alone
     first = rows.where("size > 0").groupBy("node").agg(F.min("id").alias("first"))
     placed = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     label = placed.join(least, "root").select("node", "component_id", F.lit(True).alias("_set"))
     out = rows.join(label, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
