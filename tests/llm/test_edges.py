@@ -59,6 +59,38 @@ def test_jaccard_light_and_heavy_agree(spark):
     assert got == {r["doc_id"]: r["component_id"] for r in brute.op2(rows)}
 
 
+def test_jaccard_blocks_and_light(spark, monkeypatch):
+    """Lists whose members stay in different components go by pairs of blocks; small sets by subsets."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rng = np.random.default_rng(8)
+    rows, i = [], 0
+    common = [f"c{j}" for j in range(14)]
+    for g in range(25):  # each group shares a passage with all others, which alone links nothing
+        own = [f"g{g}x{j}" for j in range(40)]
+        for _ in range(3):
+            w = common + own
+            w[rng.integers(14, len(w))] = f"e{i}"
+            rows.append((i, " ".join(w[: len(w) - int(rng.integers(0, 3))])))
+            i += 1
+    for g in range(60):  # sets of few grams
+        rows.append((i, " ".join(f"s{g // 3}y{j}" for j in range(5 + g % 3))))
+        i += 1
+    got = by_id(jaccard.join(spark.createDataFrame(rows, SCHEMA)), "component_id")
+    assert got == {r["doc_id"]: r["component_id"] for r in brute.op2(rows)}
+    with pytest.raises(TypeError):
+        jaccard.join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_block_pairs(spark):
+    """All candidate pairs of a long list, from blocks, against all pairs."""
+    rng = np.random.default_rng(9)
+    rows = [(1, n, int(rng.integers(8, 12)), int(rng.integers(8, 12)), int(rng.integers(0, 3)), int(rng.integers(0, 4)), 5) for n in range(60)] + [(2, n, 10, 10, 0, n, 1) for n in range(3)]
+    rest = spark.createDataFrame(rows, "gram long, node long, size long, have int, pos int, root long, blocks int")
+    ok = lambda p, q: p[5] != q[5] and p[2] * 5 >= q[2] * 4 and q[2] * 5 >= p[2] * 4 and min(p[3] - p[4], q[3] - q[4]) * 9 >= 4 * (p[2] + q[2])
+    want = {(p[1], q[1]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and ok(p, q)}
+    assert {tuple(r) for r in jaccard.block_pairs(rest, 0, 4, 5).collect()} == want and len(want) > 100
+
+
 def test_sharding(spark, docs, none):
     extra = docs.withColumn("slot", F.lit("clash")).withColumn("lang", F.lit("en")).unionByName(docs.where("doc_id = 6").withColumns({"slot": F.lit("x"), "lang": F.lit("en")}))
     path = scratch(spark, "t")
@@ -68,18 +100,49 @@ def test_sharding(spark, docs, none):
     for s in range(3):
         slots = sorted(r["slot"] for r in got if r["shard"] == s)
         assert slots == list(range(len(slots)))
-    empty = sharding.scatter(none, 3)[0]
-    assert empty.count() == 0
+    path = scratch(spark, "t")
+    sharding.write_shards(none, path, 3)
+    empty = sharding.read_shards(spark, path)
+    assert empty.count() == 0 and {"doc_id", "text", "slot", "shard"} <= set(empty.columns)
+
+
+def test_shards_are_stored_in_order(spark):
+    """Files by name and their rows give slots 0, 1, ...; over-full buckets (equal rows, null ids) are split."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [(i, "x" * (i % 90)) for i in range(3000)] + [(7, "same")] * 2500 + [(None, f"n{i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    path = scratch(spark, "t")
+    sharding.write_shards(df, path, 4, seed=3, bucket_bytes=12_000)
+    root = path.removeprefix("file://")
+    sizes, seen = [], []
+    for s in range(4):
+        files = sorted(glob.glob(f"{root}/rows/shard={s}/*.parquet"), key=lambda f: f.rpartition("/")[2])
+        tables = [pq.ParquetFile(f).read(["slot", "doc_id", "text", "size"]) for f in files]
+        slots = [x for t in tables for x in t.column("slot").to_pylist()]
+        assert slots == list(range(len(slots))) and len(files) > 1
+        sizes += [sum(t.column("size").to_pylist()) for t in tables]
+        seen += [x for t in tables for x in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist())]
+    assert max(sizes) < 3 * 12_000 and sorted(map(str, seen)) == sorted(map(str, rows))
+    ids = [r["doc_id"] for r in sharding.read_shards(spark, path).where("shard = 1").orderBy("slot").collect()]
+    assert ids != sorted(ids, key=str)
 
 
 def test_decontaminate(spark, docs):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "Solo"), (5, " ".join(PASSAGE.split()[:10]))], "item_id long, text string")
-    for block in (1 << 20, 10):  # one block, and one item a block
-        got = decontaminate.scan(docs.withColumn("n_words", F.lit("clash")), items, block_bytes=block)
+    for size in (1 << 20, 2000, 600):  # one block; several; items cut into pieces
+        got = decontaminate.scan(docs.withColumn("n_words", F.lit("clash")), items, index_bytes=size)
         rows = {r["doc_id"]: r for r in got.collect()}
         for w in brute.op4(TEXTS, [tuple(r) for r in items.collect()]):
             r = rows[w["doc_id"]]
             assert (r["n_words"], sum(s["end"] - s["start"] for s in r["hit_spans"]), len(r["hit_items"])) == (w["n_words"], w["n_hit"], w["n_items"])
+    twice = docs.where("doc_id in (8, 16)").unionByName(docs.where("doc_id in (8, 16)"))
+    for size in (1 << 20, 600):
+        assert decontaminate.scan(docs.limit(0), items, index_bytes=size).count() == 0
+        assert sorted((r["doc_id"], len(r["hit_items"])) for r in decontaminate.scan(twice, items, index_bytes=size).collect()) == [(8, 2), (8, 2), (16, 0), (16, 0)]
+    assert decontaminate.scan(docs, items.limit(0)).where("size(hit_spans) > 0").count() == 0
     left = by_id(decontaminate.decontaminate(docs, items), "text")
     assert 8 not in left and 6 not in left and 1 in left and 3 in left
     cut = by_id(decontaminate.decontaminate(docs, items, mode="spans"), "text")
