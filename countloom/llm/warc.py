@@ -1,8 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are dealt into ranges of page ids whose borders follow from an exact histogram of payload bytes (so the
-same rows always give the same files), sorted within a range, and written as WARC/1.1 with one gzip member a
-record. Headers and digests are made anew; a file is closed once its compressed size reaches ``roll_bytes``.
+same rows always give the same files): bins heavier than ``shard_bytes`` are refined until none is or a bin is a single
+id, whose records are then dealt by ranges of their digests (an id that repeats, null ids). Each range is a task of its own,
+sorted, and written as WARC/1.1 with one gzip member a record; a task holds one record at a time. The driver holds a number
+for each bin, at most ``FINE_BINS`` for each full shard. Headers and digests are made anew; a file is closed once its compressed size reaches ``roll_bytes``.
 Tasks write under temporary names; what a task reports becomes the manifest (Parquet), and only files of the
 manifest get their final names, so a task that is lost or runs twice leaves no half file behind: renaming again
 changes nothing. The archive is what the manifest lists.
@@ -23,19 +25,64 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from countloom.session import cut
+
 DATE = "2000-01-01T00:00:00Z"
-BINS = 4096
+BINS, FINE_BINS = 4096, 64
 MANIFEST = "shard int, seq int, temp string, name string, n_records long, n_bytes long, sha256 string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def plan(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_revisit: int, shard_bytes: int) -> DataFrame:
-    """One row per record with its range, digest and length; and for revisits a mark with the response's id.
+def ranges(ids: DataFrame, shard_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of (id, bytes): first ids of disjoint bins in order, each bin's first shard and number of shards, and the number of all.
+
+    Light bins share shards in order; a single id of more than ``shard_bytes`` has several.
+    """
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    low, high = low or 0, high or 0
+    width = -(-(high - low + 1) // BINS)
+    open_, done = {(low, width * BINS): width}, {}  # a bin to refine: the width of its parts
+    while open_:
+        firsts = np.array(sorted(a for a, _ in open_), np.int64)
+        parts = np.array([w for _, w in sorted((a, w) for (a, _), w in open_.items())], np.int64)
+        ends = np.array([min(a + n - 1, high) for a, n in sorted(open_)], np.int64)  # inclusive
+
+        @F.pandas_udf("long")
+        def part_of(x: pd.Series) -> pd.Series:
+            v = x.to_numpy(np.int64)
+            i = np.clip(np.searchsorted(firsts, v, "right") - 1, 0, None)
+            inside = (v >= firsts[i]) & (v <= ends[i])
+            return pd.Series(np.where(inside, firsts[i] + (v - firsts[i]) // parts[i] * parts[i], np.iinfo(np.int64).min))
+
+        found = dict(ids.groupBy(part_of("id").alias("bin")).agg(F.sum("bytes")).collect())
+        found.pop(np.iinfo(np.int64).min, None)
+        width_of = lambda a: int(parts[np.searchsorted(firsts, a, "right") - 1])
+        open_ = {}
+        for a, weight in found.items():
+            if weight > shard_bytes and (w := width_of(a)) > 1:
+                open_[a, w] = -(-w // FINE_BINS)
+            else:
+                done[a] = weight
+    first, count, at, total = [], [], 0, 0
+    for a in sorted(done):
+        n = max(1, -(-done[a] // shard_bytes))
+        if total and total + done[a] > shard_bytes:
+            at, total = at + 1, 0
+        first.append(at)
+        count.append(n)
+        at, total = (at + n, 0) if n > 1 else (at, total + done[a])
+    return np.array(sorted(done) or [0], np.int64), np.array(first or [0]), np.array(count or [1]), at + 1
+
+
+def plan(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_revisit: int, shard_bytes: int) -> tuple[DataFrame, int]:
+    """One row per record with its range, digest and length, and for revisits a mark with the response's id; and the number of ranges.
 
     Payloads are shuffled once, into their ranges; a mark has the keys of its record and sorts before it.
     """
@@ -43,22 +90,21 @@ def plan(pages: DataFrame, *, id_col: str, url_col: str, html_col: str, min_revi
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "length": F.octet_length("html").cast("long")})
     firsts = rows.where(F.col("length") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1 AND first IS NOT NULL").select("digest", "first")
-    low, high = pages.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // BINS))
-    bin_ = F.floor((F.coalesce("page_id", F.lit(low)) - F.lit(low)) / F.lit(width)).cast("int")
-    weights = dict(rows.groupBy(bin_.alias("bin")).agg(F.sum(F.col("length") + 500)).collect())  # at most BINS rows
-    shard, total = [], 0
-    for i in range(BINS):
-        shard.append(total // shard_bytes)
-        total += weights.get(i, 0)
-    shard = [sorted(set(shard)).index(x) for x in shard]
-    placed = rows.withColumn("shard", F.element_at(F.lit(shard), bin_ + 1))
+    firsts = cut(firsts.where("copies > 1 AND first IS NOT NULL").select("digest", "first"), "firsts")  # cut, so that the join can split a digest
+    low = pages.agg(F.min(F.col(id_col).cast("long"))).first()[0] or 0
+    id_ = F.coalesce("page_id", F.lit(low))
+    bins, first, count, n = ranges(rows.select(id_.alias("id"), (F.col("length") + 500).alias("bytes")), shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(x: pd.Series, digest: pd.Series) -> pd.Series:
+        i = np.searchsorted(bins, x.to_numpy(np.int64), "right") - 1
+        return pd.Series((first[i] + (digest.to_numpy(np.int64) * count[i] >> 32)).astype(np.int32))
+
+    placed = rows.withColumn("shard", shard_of(id_, F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")))
     again = placed.select("shard", "page_id", "digest").join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct()
     pages_ = placed.select("shard", "page_id", "url", F.encode("html", "UTF-8").alias("payload"), "digest", "length", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("mark"))
     marks = again.select("shard", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.lit(0).cast("long").alias("length"), F.col("first").alias("refers_to"), F.lit(True).alias("mark"))
-    return pages_.unionByName(marks)
+    return pages_.unionByName(marks), n
 
 
 def _urn(page_id: int | None, digest: str) -> str:
@@ -103,7 +149,7 @@ class _File:
         return {"shard": self.shard, "seq": self.seq, "temp": self.temp, "name": self.name, "n_records": self.n, "n_bytes": self.size, "sha256": self.sha.hexdigest()}
 
 
-def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 100, roll_bytes: int = 16 << 20, shard_bytes: int = 64 << 20, level: int = 5) -> DataFrame:
+def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 100, roll_bytes: int = 16 << 20, shard_bytes: int = 32 << 20, level: int = 5) -> DataFrame:
     """Write the archive below ``path`` (a URI) and return its committed manifest."""
     spark = pages.sparkSession
     root = f"{path}/files"
@@ -129,9 +175,8 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
             done.append(file.close())
         yield pa.RecordBatch.from_pylist(done, schema=schema)
 
-    rows = plan(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit, shard_bytes=shard_bytes)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "digest", F.desc("mark"), "url").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    rows, n = plan(pages, id_col=id_col, url_col=url_col, html_col=html_col, min_revisit=min_revisit, shard_bytes=shard_bytes)
+    rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc("mark"), "url").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
