@@ -1,17 +1,19 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash cuts each text into chunks whose borders depend on the nearby bytes alone, so passages that
-documents share give equal chunks. A worker encodes each distinct chunk once and keeps it in a bounded table.
-A chunk's tokens near its ends can differ from those of the whole text, so joins are repaired: the text from
-the last *safe point* before a join to the first one after it is encoded anew, and the region grows until it
-ends at a safe point. A safe point is a blank between two ASCII letters: the tokenizer's pattern always starts
-a piece there, whatever stands around it, so both sides agree with the encoding of the whole text.
-
-The vocabulary is a parameter (a file of the tokenizers library: byte-level BPE, ``model.vocab``, ranks in
-merge order). Its special tokens are recognised in a text as that library does by default. No special tokens
-are added. Null and empty texts give no tokens and decode to the empty text. Rows are treated each for itself;
-other columns pass through, but for columns named ``ids`` or ``decoded``, which are replaced. A text is held
-whole by one worker; the chunk table by ``TABLE_BYTES``.
+documents share give equal chunks. A worker encodes each distinct chunk once and keeps it in a bounded table, from
+which the chunks that were not met lately leave. A chunk's tokens near its ends can differ from those of the whole text,
+so joins are repaired: the text from the last but one *safe point* before a join to the second one after it is encoded
+anew, and must agree with both chunks between their two safe points; where it does not, or a chunk has too few, the
+region grows by whole chunks until it does. A safe point is a blank between two ASCII letters: the tokenizer's pattern
+always starts a piece there, whatever stands around it, so agreement there is exact.
+
+The vocabulary is a parameter: a file of the tokenizers library that holds byte-level BPE with the usual pieces, ids in the
+order of merges; what the file asks for beyond (normalizers, other pre-tokenizers, added tokens that are not special)
+raises. Its special tokens are recognised in a text as that library does by default. No special tokens are added. Null
+and empty texts give no tokens and decode to the empty text; rows that repeat are treated each for itself; an empty table
+gives no rows. Other columns pass through, but for columns named ``ids`` or ``decoded``, which are replaced. A text is
+held whole by one worker; the chunk table by ``TABLE_BYTES``.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from countloom.llm.common import byte_column
 #: The piece pattern of this family of vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks are cut where this many bits of the rolling hash are zero, but no sooner than MIN_CHUNK bytes.
-CHUNK_BITS, MIN_CHUNK, TABLE_BYTES = 11, 256, 24 << 20
+CHUNK_BITS, MIN_CHUNK, TABLE_BYTES = 7, 96, 32 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -40,10 +42,25 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check(spec: dict) -> None:
+    """Raises if a vocabulary file asks for what this codec does not do."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"dropout": (None, 0, 0.0), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "byte_fallback": (None, False), "ignore_merges": (None, False)}
+    wrong = [k for k, v in plain.items() if model.get(k) not in v]
+    wrong += ["model.type"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * (spec.get("normalizer") is not None)
+    wrong += ["pre_tokenizer"] * (pre.get("type") != "ByteLevel" or bool(pre.get("add_prefix_space")) or not pre.get("use_regex", True))
+    wrong += ["added_tokens"] * any(not x.get("special") or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", []))
+    merged = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in model["merges"]]
+    wrong += ["merges"] * (None in merged or any(a >= b for a, b in zip(merged, merged[1:])))
+    if wrong:
+        raise ValueError(f"unsupported in this vocabulary file: {', '.join(wrong)}")
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", []) if x.get("special")}
         back = _byte_of_char()
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
@@ -53,8 +70,10 @@ class Codec:
         for i, t in self.bytes_of.items():
             self.length[i] = len(t)
         self.gear = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64)
-        self.chunks: dict[bytes, tuple] = {}
+        self.chunks: dict[bytes, tuple] = {}  # lately met ones, and those before them
+        self.older: dict[bytes, tuple] = {}
         self.held = 0
+        self.seen_bytes = self.reused_bytes = self.grown = 0
 
     def plain(self, data: bytes) -> np.ndarray:
         return np.array(self.encoding.encode(data.decode(), allowed_special="all", disallowed_special=()), np.int32)
@@ -77,46 +96,53 @@ class Codec:
         return [*out, len(data)]
 
     def chunk(self, data: bytes) -> tuple:
-        """Tokens of a chunk, its first and last safe point (bytes), and how many tokens stand before each."""
+        """Tokens of a chunk, its first and last two safe points (bytes), and how many tokens stand before each."""
+        self.seen_bytes += len(data)
         if (found := self.chunks.get(data)) is not None:
+            self.reused_bytes += len(data)
             return found
-        ids = self.plain(data)
-        b = np.frombuffer(data, np.uint8)
-        letter = ((b | 32) >= 97) & ((b | 32) <= 122)
-        safe = np.flatnonzero(letter[:-2] & (b[1:-1] == 32) & letter[2:]) + 1
-        found = (ids, None, None, None, None)
-        if len(safe):
-            ends = np.cumsum(self.length[ids])
-            first, last = int(safe[0]), int(safe[-1])
-            found = (ids, first, last, int(np.searchsorted(ends, first)) + 1, int(np.searchsorted(ends, last)) + 1)
-        if self.held > TABLE_BYTES:
-            self.chunks.clear()
-            self.held = 0
+        if (found := self.older.get(data)) is not None:
+            self.reused_bytes += len(data)
+        else:
+            ids = self.plain(data)
+            b = np.frombuffer(data, np.uint8)
+            letter = ((b | 32) >= 97) & ((b | 32) <= 122)
+            safe = np.flatnonzero(letter[:-2] & (b[1:-1] == 32) & letter[2:]) + 1
+            found = (ids, None, None)
+            if len(safe) > 2:
+                at = safe[[0, 1, -2, -1]]
+                found = (ids, at.tolist(), (np.searchsorted(np.cumsum(self.length[ids]), at) + 1).tolist())
+        if self.held > TABLE_BYTES // 2:
+            self.older, self.chunks, self.held = self.chunks, {}, 0
         self.chunks[data] = found
-        self.held += len(data) + 4 * len(ids) + 300
+        self.held += len(data) + 4 * len(found[0]) + 500
         return found
 
     def encode(self, data: bytes | None) -> np.ndarray:
+        """Chunk by chunk; ``pending`` is text whose tokens are still open, from a safe point on, of which ``agreed`` are known."""
         if not data:
             return np.empty(0, np.int32)
-        if len(data) < 2 * MIN_CHUNK:
-            return self.chunk(data)[0]
-        out, open_, start, cuts = [], [], 0, self.cuts(data)
-        for end in cuts:
+        out, pending, agreed, start = [], b"", None, 0
+        for end in self.cuts(data):
             part = data[start:end]
-            ids, first, last, n_first, n_last = self.chunk(part)
-            if first is None or (start and end - start < 2):
-                open_.append(part)  # no safe point: the region grows
+            ids, at, n = self.chunk(part)
+            if at is None:  # too few safe points: the region grows by the whole chunk
+                pending += part
             else:
                 if start:
-                    open_.append(part[:first])
-                    out.append(self.plain(b"".join(open_)))
-                    out.append(ids[n_first:n_last])
+                    region = self.plain(pending + part[: at[1]])
+                    tail = ids[n[0] : n[1]]
+                    if (agreed is None or region[: len(agreed)].tolist() == agreed) and region[len(region) - len(tail) :].tolist() == tail.tolist():
+                        out += [region, ids[n[1] : n[2]]]
+                        pending, agreed = part[at[2] :], ids[n[2] : n[3]].tolist()
+                    else:
+                        self.grown += 1
+                        pending += part
                 else:
-                    out.append(ids[:n_last])
-                open_ = [part[last:]]
+                    out.append(ids[: n[2]])
+                    pending, agreed = part[at[2] :], ids[n[2] : n[3]].tolist()
             start = end
-        out.append(self.plain(b"".join(open_)))
+        out.append(self.plain(pending))
         return np.concatenate(out)
 
     def decode(self, ids: list[int]) -> str:

@@ -161,6 +161,8 @@ def test_bpe(spark, docs, none):
         text = r["text"] or ""
         assert r["ids"] == t.encode(text, add_special_tokens=False).ids and r["decoded"] == text
     assert bpe.encode(none, path).count() == 0
+    again = bpe.encode(docs.unionByName(docs), path).collect()
+    assert len(again) == 2 * len(TEXTS) and all(r["ids"] == t.encode(r["text"] or "", add_special_tokens=False).ids for r in again)
     codec = bpe.Codec(path)
     rng = np.random.default_rng(5)
     for _ in range(60):
@@ -168,6 +170,38 @@ def test_bpe(spark, docs, none):
         assert codec.encode(text.encode()).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_reuses_chunks_of_other_texts():
+    """A passage inside different texts is encoded once; a table that overflows forgets the chunks not met lately."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    rng = np.random.default_rng(12)
+    words = ["alpha", "beta", "gamma", "delta's", "epsilon,", "zeta", "eta.", "theta", "iota", "kappa"]
+    text = lambda n: " ".join(rng.choice(words, n)) + " " + str(rng.integers(1 << 40))
+    shared = text(400)
+    for i in range(20):
+        one = f"{text(20)} {shared} {text(20)}"
+        assert codec.encode(one.encode()).tolist() == t.encode(one, add_special_tokens=False).ids
+    assert codec.reused_bytes > 0.7 * codec.seen_bytes
+    codec.held = bpe.TABLE_BYTES
+    codec.chunk(b"one more")
+    assert len(codec.chunks) == 1 and codec.older
+
+
+@pytest.mark.parametrize("change", [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"id": 1, "content": "x", "special": False}])])
+def test_bpe_refuses_other_vocabularies(tmp_path, change):
+    import json
+
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"))) | dict([change])
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match=change[0]):
+        bpe.Codec(str(tmp_path / "v.json"))
+
+
 def test_suffix_dedup(spark, docs, none):
     got = suffix_dedup.kept_bytes(suffix_dedup.dedup(docs.withColumn("removed", F.lit("clash"))))
     rows = {r["doc_id"]: r for r in got.collect()}
@@ -353,6 +387,17 @@ def test_warc(spark):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_ranges(spark):
+    """Heavy bins are refined: an outlying id, a dense range, an id that repeats and null ids; no shard is much too large."""
+    rows = [(i, f"{i} " + "x" * 300) for i in range(2000)] + [(10**12, "far")] + [(77, f"r{i} " + "y" * 300) for i in range(300)] + [(None, f"n{i} " + "z" * 300) for i in range(300)]
+    df = spark.createDataFrame([(a, "u", b) for a, b in rows], "page_id long, url string, html string")
+    path = scratch(spark, "warc")
+    manifest = warc.write(df, path, shard_bytes=40_000).collect()
+    assert sum(r["n_records"] for r in manifest) == len(rows) and max(r["n_records"] for r in manifest) < 150
+    got = warc.read(spark, path).collect()
+    assert sorted((str(r["page_id"]), r["payload"].decode()) for r in got) == sorted((str(a), b) for a, b in rows)
+
+
 def test_surrogates_of_digits_of_all_scripts(spark):
     """Numbers without any ASCII digit are found, corefer with ASCII spellings and stay in their script."""
     numbers = ["4111 1111 1111 1111", "(162) 555-6820", "123-45-6789", "192.168.213.7", "255.255.255.250", "GB82 WEST 1234 5698 7654 32"]
