@@ -32,7 +32,7 @@ from countloom.llm.common import byte_column
 #: The piece pattern of this family of vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks are cut where this many bits of the rolling hash are zero, but no sooner than MIN_CHUNK bytes.
-CHUNK_BITS, MIN_CHUNK, TABLE_BYTES = 7, 96, 32 << 20
+CHUNK_BITS, MIN_CHUNK, TABLE_BYTES = 9, 128, 64 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -62,6 +62,7 @@ class Codec:
             spec = json.load(f)
         check(spec)
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", []) if x.get("special")}
+        self.special = list(special)
         back = _byte_of_char()
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -76,7 +77,9 @@ class Codec:
         self.seen_bytes = self.reused_bytes = self.grown = 0
 
     def plain(self, data: bytes) -> np.ndarray:
-        return np.array(self.encoding.encode(data.decode(), allowed_special="all", disallowed_special=()), np.int32)
+        text = data.decode()
+        ids = self.encoding.encode(text, allowed_special="all", disallowed_special=()) if any(s in text for s in self.special) else self.encoding.encode_ordinary(text)
+        return np.array(ids, np.int32)
 
     def cuts(self, data: bytes) -> list[int]:
         """Content-defined borders: a hash of the last 16 bytes, by doubling."""
