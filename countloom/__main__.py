@@ -37,6 +37,9 @@ def main(args: list[str] | None = None) -> None:
     spark.createDataFrame([(i, float(s), float(s * s / (large * f.sigma**2))) for i, s in enumerate(f.factors.s)], "component int, s double, eigenvalue double").write.parquet(f"{a.output}/spectrum")
     spark.createDataFrame([(k, float(v)) for k, v in (f.parameters | {"rank": f.rank, "ks": f.kst, "sigma": f.sigma}).items()], "name string, value double").write.parquet(f"{a.output}/params")
     f.denoised(a.shrinker).write.parquet(f"{a.output}/denoised")
+    f.y.cells.write.parquet(f"{a.output}/scaled")
+    f.components("left", a.shrinker).write.parquet(f"{a.output}/left_components")
+    f.components("right", a.shrinker).write.parquet(f"{a.output}/right_components")
     assert spectrum.mp_rank(f.factors.s, small, large, f.sigma) == f.rank
 
 

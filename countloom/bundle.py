@@ -10,6 +10,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from countloom.session import cut
+
 
 @dataclass(frozen=True)
 class CountMatrix:
@@ -17,19 +19,21 @@ class CountMatrix:
     obs: DataFrame
     var: DataFrame
     uns: dict = field(default_factory=dict)
+    #: obs and var are those that occur in cells
+    occurring: bool = False
 
     @classmethod
     def from_table(cls, df: DataFrame, row: Column, col: Column, measure: Column | None = None) -> CountMatrix:
         """Counts (or sums of ``measure``) by row and column key; rows and columns are those that occur."""
         keyed = df.select(row.alias("row_id"), col.alias("col_id"), (F.lit(1.0) if measure is None else measure.cast("double")).alias("m"))
         cells = keyed.groupBy("row_id", "col_id").agg(F.sum("m").alias("value"))
-        return cls(cells, cells.select("row_id").distinct(), cells.select("col_id").distinct())
+        return cls(cells, cells.select("row_id").distinct(), cells.select("col_id").distinct(), occurring=True)
 
     @classmethod
     def from_rows(cls, df: DataFrame, row: Column, values: str) -> CountMatrix:
         """A table with one array per row."""
         cells = df.select(row.alias("row_id"), F.posexplode(values).alias("col_id", "v")).select("row_id", F.col("col_id").cast("long").alias("col_id"), F.col("v").cast("double").alias("value"))
-        return cls(cells, cells.select("row_id").distinct(), cells.select("col_id").distinct())
+        return cls(cells, cells.select("row_id").distinct(), cells.select("col_id").distinct(), occurring=True)
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -37,10 +41,17 @@ class CountMatrix:
 
     def transpose(self) -> CountMatrix:
         cells = self.cells.select(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id"), "value")
-        return CountMatrix(cells, self.var.withColumnRenamed("col_id", "row_id"), self.obs.withColumnRenamed("row_id", "col_id"), self.uns)
+        return CountMatrix(cells, self.var.withColumnRenamed("col_id", "row_id"), self.obs.withColumnRenamed("row_id", "col_id"), self.uns, self.occurring)
 
     def with_cells(self, cells: DataFrame) -> CountMatrix:
-        return replace(self, cells=cells)
+        return replace(self, cells=cells, occurring=False)
+
+    def settled(self) -> CountMatrix:
+        """The same, stored in the shared folder: for what passes over it many times."""
+        cells = cut(self.cells, "cells")
+        if self.occurring:
+            return replace(self, cells=cells, obs=cut(cells.select("row_id").distinct(), "obs"), var=cut(cells.select("col_id").distinct(), "var"))
+        return replace(self, cells=cells, obs=cut(self.obs, "obs"), var=cut(self.var, "var"))
 
     def map_values(self, value: Column) -> CountMatrix:
         return self.with_cells(self.cells.select("row_id", "col_id", value.alias("value")))

@@ -15,13 +15,8 @@ from countloom.operators.marginals import moments
 def scores(m: CountMatrix, k: int) -> DataFrame:
     """(row_id, values): the leading k left factors times their singular values."""
     f = spectrum.svd(m, k)
-    spark = m.cells.sparkSession
-    if f.transposed:  # the rows are the small axis: scores are V s
-        rows = [(n, [float(x) for x in f.v[i, :k] * f.s[:k]]) for i, n in enumerate(f.names)]
-        return spark.createDataFrame(rows, f"row_id {dict(m.obs.dtypes)['row_id']}, values array<double>")
-    load = spark.createDataFrame([(n, [float(x) for x in f.v[i, :k]]) for i, n in enumerate(f.names)], f"col_id {dict(m.var.dtypes)['col_id']}, w array<double>")
-    x = m.cells.join(F.broadcast(load), "col_id")  # the small axis, at most GRAM_LIMIT
-    return x.groupBy("row_id").agg(F.array(*(F.sum(F.col("value") * F.col("w")[j]) for j in range(k))).alias("values"))
+    w = spectrum.factor(m, f, k, 0)
+    return w.select("row_id", F.transform("w", lambda x, j: x * F.element_at(F.lit(f.s[:k].tolist()), j + 1)).alias("values"))
 
 
 def element(m: CountMatrix, f: spectrum.Factors, row, col, rank: int | None = None) -> float:
@@ -30,21 +25,23 @@ def element(m: CountMatrix, f: spectrum.Factors, row, col, rank: int | None = No
     if not 0 < r <= len(f.s):
         raise ValueError("rank is out of range")
     line, key = ("col_id", row) if f.transposed else ("row_id", col)
-    if key not in f.names:
+    names = f.names.to_pylist()
+    if key not in names:
         raise IndexError(key)
     other = col if f.transposed else row
     x = {c[0]: c[1] for c in m.cells.where(F.col(line) == other).select("row_id" if f.transposed else "col_id", "value").collect()}
     if not x and (m.var if f.transposed else m.obs).where(F.col(line) == other).isEmpty():
         raise IndexError(other)
-    dense = np.array([x.get(n, 0.0) for n in f.names])
+    dense = np.array([x.get(n, 0.0) for n in names])
     v = f.v[:, :r]
-    return float(dense @ v @ v[f.names.index(key)])
+    return float(dense @ v @ v[names.index(key)])
 
 
 def top_features(f: spectrum.Factors, spark, n: int = 10, by: str = "abs") -> DataFrame:
     """(component, place, feature): the n features of largest loading (absolute, raw or negative) of each component."""
     key = {"abs": np.abs, "raw": lambda x: x, "neg": lambda x: -x}[by]
-    rows = [(j, p, str(f.names[i])) for j in range(f.v.shape[1]) for p, i in enumerate(np.argsort(-key(f.v[:, j]), kind="stable")[:n].tolist())]
+    names = f.names.to_pylist()
+    rows = [(j, p, str(names[i])) for j in range(f.v.shape[1]) for p, i in enumerate(np.argsort(-key(f.v[:, j]), kind="stable")[:n].tolist())]
     return spark.createDataFrame(rows, "component int, place int, feature string")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from countloom.bundle import CountMatrix, subsample
 from countloom.functions.elementwise import convex_of, hat_parameters, quadratic_variance_2param, raw_parameters
 from countloom.operators import scaling, spectrum
+from countloom.session import cut
 
 
 def lobatto(k: int) -> np.ndarray:
@@ -66,7 +67,10 @@ def quadratic_fits(m: CountMatrix, *, side: int = 5000, n_subsamples: int = 5, q
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.pivot_table(index="r", columns="c", values="value", aggfunc="sum", fill_value=0.0).to_numpy(float)
-        x = x[(x != 0).sum(1) > 1][:, (x != 0).sum(0) > 1]
+        while (few := ((x != 0).sum(1) < 2).any()) or ((x != 0).sum(0) < 2).any():  # until no line has fewer than two values
+            x = x[(x != 0).sum(1) > 1] if few else x[:, (x != 0).sum(0) > 1]
+        if not x.size:
+            return pd.DataFrame({"submatrix": [], "q": [], "sigma": [], "kst": []})
         sigma, kst = local_fit(x, key[1])
         return pd.DataFrame({"submatrix": [key[0]], "q": [key[1]], "sigma": [sigma], "kst": [kst]})
 
@@ -84,8 +88,26 @@ def minimiser(fits: DataFrame) -> dict:
     return {"q": best, "sigma": at, "bhat": bhat, "chat": chat, "b": b, "c": c}
 
 
+#: Components that a partial spectrum begins with; it grows by half until not all of them are signal.
+START_COMPONENTS = 200
+
+
+def shrunk(s: np.ndarray, m: int, n: int, sigma: float, shrinker: str = "frobenius") -> np.ndarray:
+    """Optimally shrunk singular values of an m x n matrix, m <= n; those below the edge are 0."""
+    z, g = s / (math.sqrt(n) * sigma), m / n
+    root = np.sqrt(np.maximum((z * z - g - 1) ** 2 - 4 * g, 0))
+    x = np.sqrt(np.maximum((z * z - g - 1 + root) / 2, 0))
+    safe = np.where(x > 0, x * x * z, 1)
+    kinds = {"frobenius": root / np.where(z > 0, z, 1), "operator": x, "soft": z - 1 - math.sqrt(g), "hard": z, "nuclear": np.maximum(x**4 - g - math.sqrt(g) * x * z, 0) / safe}
+    if shrinker not in kinds:
+        raise ValueError(f"unknown shrinker {shrinker!r}")
+    return np.where(z >= 1 + math.sqrt(g), kinds[shrinker], 0.0) * math.sqrt(n) * sigma
+
+
 @dataclass
 class Fitted:
+    """A fit: the counts ``m``, scalers (row_id, u) and (col_id, v), the scaled ``y``, its factors, rank and parameters."""
+
     m: CountMatrix
     u: DataFrame
     v: DataFrame
@@ -96,27 +118,128 @@ class Fitted:
     kst: float
     parameters: dict
 
+    def _values(self, shrinker: str) -> np.ndarray:
+        return shrunk(self.factors.s[: self.rank], *sorted(self.m.shape), self.sigma, shrinker)
+
     def denoised(self, shrinker: str = "frobenius", *, truncate: bool = True) -> DataFrame:
         """Cells of the low-rank estimate in the scaled space, negative ones cut off."""
-        m, n = sorted(self.m.shape)
-        s = self.factors.s[: self.rank]
-        z = s / (math.sqrt(n) * self.sigma)
-        g = m / n
-        root = np.sqrt(np.maximum((z * z - g - 1) ** 2 - 4 * g, 0))
-        x = np.sqrt(np.maximum((z * z - g - 1 + root) / 2, 0))
-        kinds = {"frobenius": root / z, "operator": x, "soft": z - 1 - math.sqrt(g), "hard": z, "nuclear": np.maximum(x**4 - g - math.sqrt(g) * x * z, 0) / np.where(x > 0, x * x * z, 1)}
-        cells = spectrum.reconstruct(self.y, self.factors, kinds[shrinker] * math.sqrt(n) * self.sigma)
+        cells = spectrum.reconstruct(self.y, self.factors, self._values(shrinker))
         return cells.where("value > 0") if truncate else cells
 
-
-def fit(m: CountMatrix, parameters: dict | None = None, *, tol: float = 1e-6, n_iter: int = 500, **options) -> Fitted:
-    """Scale, factorise and rank; without ``parameters`` (bhat, chat) the quadratic variance is fitted first."""
+    def components(self, which: str = "left", shrinker: str = "frobenius") -> DataFrame:
+        """(row_id or col_id, values): the principal components with shrunk singular values."""
+        w = spectrum.factor(self.y, self.factors, self.rank, 0 if which == "left" else 1)
+        return _weighted(w, self._values(shrinker))
+
+    def transform(self, *, denoised: bool = True, counts: bool = True, which: str = "left", unscale: bool = False, library_normalize: bool | float = True, shrinker: str = "frobenius", truncate: bool | float = 0, truncation_axis: int = 0) -> DataFrame:
+        """The denoised matrix as cells (zeros are not stored), or its components.
+
+        ``truncate``: 0 or True cuts off what is not positive, a share q what does not exceed the absolute q-quantile of its
+        column (``truncation_axis`` 0) or row (1), False nothing. ``unscale`` goes back to the counts' scale;
+        ``library_normalize`` then divides rows by their sums, times the median row sum of the counts (or a number).
+        """
+        if not denoised:
+            return self.y.cells
+        if not counts:
+            return self.components(which, shrinker)
+        cells = spectrum.reconstruct(self.y, self.factors, self._values(shrinker))
+        return self._finished(cells, self.u, self.v, unscale, library_normalize, truncate, truncation_axis)
+
+    def predict(self, new: CountMatrix, *, axis: int = 0, counts: bool = True, which: str | None = None, unscale: bool = False, library_normalize: bool | float = True, shrinker: str = "frobenius", truncate: bool | float = 0, truncation_axis: int = 0) -> DataFrame:
+        """As ``transform``, of new rows (axis 0) over the same columns, or of new columns (axis 1) over the same rows.
+
+        New lines are scaled by the frozen scalers of the other axis and projected on its factors. Rows of factors that
+        travel as a broadcast (of the new lines, where those of the other axis are not held) are bounded by FACTOR_BYTES.
+        ``which`` says whose components are given: those of the new lines, if not said.
+        """
+        rows, cols = self.m.shape
+        line, other, name = ("row_id", "col_id", "v") if axis == 0 else ("col_id", "row_id", "u")
+        p, r, f = self.parameters, self.rank, self.factors
+        fixed = self.v if axis == 0 else self.u
+        # the scalers of new lines, under the parameters and the residual noise of the fit
+        own = scaling.fold_in(new.cells, quadratic_variance_2param("value", p["bhat"], p["chat"]), fixed, cols if axis == 0 else rows, axis=axis)
+        u, v = (own, self.v) if axis == 0 else (self.u, own)
+        z = scaling.scale(new, u, v)
+        loadings = spectrum.factor(self.y, f, r, 1 - axis)
+        w = spectrum._projected(z.cells, line, other, loadings.withColumnRenamed(other, "id"), r, False)
+        new_factor = w.select(line, F.transform("w", lambda x, j: F.try_divide(x, F.element_at(F.lit(f.s[:r].tolist()), j + 1))).alias("w"))
+        values = self._values(shrinker)
+        if not counts:
+            return _weighted(new_factor if which in (None, "left" if axis == 0 else "right") else loadings, values)
+        if f.transposed == (axis == 1):  # the factors of the other axis are held
+            cells = spectrum.outer(new_factor, line, f.v[:, :r] * values, f.names, other)
+        else:
+            most = spectrum.FACTOR_BYTES // (8 * max(r, 1))
+            few = new_factor.limit(most + 1).toArrow()
+            if few.num_rows > most:
+                raise ValueError(f"more than {most} new lines at once")
+            held = few.column("w").combine_chunks().flatten().to_numpy().reshape(-1, r) * values
+            cells = spectrum.outer(loadings, other, held, few.column(line).combine_chunks(), line)
+        return self._finished(cells, u, v, unscale, library_normalize, truncate, truncation_axis)
+
+    def _finished(self, cells: DataFrame, u: DataFrame, v: DataFrame, unscale: bool, library_normalize: bool | float, truncate: bool | float, truncation_axis: int) -> DataFrame:
+        if truncate is not False:
+            if truncate in (0, True):
+                cells = cells.where("value > 0")
+            else:
+                key = "col_id" if truncation_axis == 0 else "row_id"
+                cells = cut(cells, "low-rank")
+                cells = cells.join(cells.groupBy(key).agg(F.abs(F.percentile("value", truncate)).alias("t")), key).where("value > t").drop("t")
+        if unscale:
+            cells = scaling.unscale(self.m.with_cells(cells), u, v).cells
+        if library_normalize is not False:
+            size = library_normalize
+            if library_normalize is True:
+                size = self.m.cells.groupBy("row_id").agg(F.sum("value").alias("s")).agg(F.median("s")).first()[0]
+            cells = cut(cells, "low-rank")
+            sums = cells.groupBy("row_id").agg(F.sum("value").alias("s"))
+            cells = cells.join(sums, "row_id").select("row_id", "col_id", (F.col("value") / F.col("s") * F.lit(float(size))).alias("value"))
+        return cells.select("row_id", "col_id", "value")
+
+
+def _weighted(w: DataFrame, values: np.ndarray) -> DataFrame:
+    line = w.columns[0]
+    return w.select(line, F.transform("w", lambda x, j: x * F.element_at(F.lit([float(v) for v in values]), j + 1)).alias("values"))
+
+
+def spectrum_of(y: CountMatrix, k: int | None = None) -> tuple[spectrum.Factors, float, int]:
+    """(factors, sigma, rank): all values, or as many leading ones as it takes until more of them leave the rank as it is.
+
+    Of a partial spectrum the noise is told by its smallest value, which has to be noise itself.
+    """
+    small, large = sorted(y.shape)
+    k = k or (None if small <= spectrum.GRAM_LIMIT else min(START_COMPONENTS, small))
+    before = None
+    while True:
+        f = spectrum.svd(y, k)
+        sigma = spectrum.noise_scale(f.s, small, large)
+        rank = spectrum.mp_rank(f.s, small, large, sigma)
+        if f.whole or rank == before and rank < len(f.s):
+            return f, sigma, rank
+        before, k = rank, min(small, -(-len(f.s) * 3 // 2))
+
+
+def fit(m: CountMatrix, parameters: dict | None = None, *, k: int | None = None, tol: float = 1e-6, n_iter: int = 500, refit: bool = True, **options) -> Fitted:
+    """Scale, factorise and rank; without ``parameters`` (bhat, chat) the quadratic variance is fitted first.
+
+    With ``refit`` the noise that is left after scaling (``sigma_residual``) is taken into the parameters and the column
+    scalers, so that the scaled noise has unit variance.
+    """
+    m = m.settled()
     p = parameters or minimiser(quadratic_fits(m, **options))
     u, v, _ = scaling.fit(m, quadratic_variance_2param("value", p["bhat"], p["chat"]), tol=tol, n_iter=n_iter)
-    y = scaling.scale(m, u, v)
-    f = spectrum.svd(y)
+    u, v = cut(u, "u"), cut(v, "v")
+    y = m.with_cells(cut(scaling.scale(m, u, v).cells, "scaled"))
+    f, sigma, rank = spectrum_of(y, k)
     small, large = sorted(m.shape)
-    sigma = spectrum.noise_scale(f.s, small, large)
-    # the residual noise is taken into the parameters
-    q, _ = convex_of(p["bhat"], p["chat"])
-    return Fitted(m, u, v, y, f, sigma, spectrum.mp_rank(f.s, small, large, sigma), spectrum.ks(f.s, small, large, sigma), p | {"q": q, "sigma_residual": sigma})
+    kst = spectrum.ks(f.s, small, large, sigma)
+    q, before = convex_of(p["bhat"], p["chat"])
+    p = p | {"q": q, "sigma": before, "sigma_residual": sigma}
+    if refit:
+        bhat, chat = hat_parameters(q, before * sigma)
+        b, c = raw_parameters(bhat, chat)
+        p |= {"sigma": before * sigma, "bhat": bhat, "chat": chat, "b": b, "c": c}
+        v = v.withColumn("v", F.col("v") / float(sigma * sigma))
+        y = y.map_values(F.col("value") / float(sigma))
+        f, sigma = spectrum.Factors(f.s / sigma, f.v, f.names, f.transposed, f.shape), 1.0
+    return Fitted(m, u, v, y, f, sigma, rank, kst, p)

@@ -12,7 +12,9 @@ from countloom.bundle import CountMatrix
 from countloom.session import cut
 
 #: Longest axis whose vector is kept on the driver and broadcast in the block loop (8 bytes each); beyond it, joins.
-VECTOR_LIMIT = 2_000_000
+VECTOR_LIMIT = 1_000_000
+#: Columns whose sums travel together.
+CHUNK = 1 << 16
 
 
 def _targets(m: CountMatrix, row_sum: float | None, col_sum: float | None) -> tuple[float, float]:
@@ -38,27 +40,23 @@ def fit(m: CountMatrix, variance: Column, *, tol: float = 1e-6, n_iter: int = 50
     (size-checked) is all that the driver keeps. ``stop="ratio"`` ends when the scalers change by less than ``tol``.
     Raises if negative values occur, if sums are not finite, or if the tolerance is not met.
     """
+    m = m.settled()
     spark = m.cells.sparkSession
     r, c = _targets(m, row_sum, col_sum)
     low = m.cells.agg(F.min("value")).first()[0]
     if low is not None and low < 0:
         raise ValueError("the matrix has negative values")
-    names = [x[0] for x in m.var.select("col_id").limit(VECTOR_LIMIT + 1).collect()]
-    if len(names) > VECTOR_LIMIT:
+    held = m.var.select("col_id").limit(VECTOR_LIMIT + 1).toArrow().column("col_id").sort()
+    n = len(held)
+    if n > VECTOR_LIMIT:
         return _fit_joins(m, variance, r, c, tol, n_iter)
-    names.sort()
-    place = F.element_at(F.map_from_arrays(F.lit(names), F.lit(list(range(len(names))))), F.col("col_id")) if len(names) <= 5000 else None
-    cells = m.cells.select("row_id", "col_id", variance.alias("w"))
-    if place is None:
-        index = spark.createDataFrame(list(zip(names, range(len(names)))), ["col_id", "j"])
-        cells = cells.join(index, "col_id").select("row_id", "j", "w")
-    else:
-        cells = cells.select("row_id", place.alias("j"), "w")
+    index = spark.createDataFrame(pa.table({"col_id": held, "j": pa.array(np.arange(n), pa.int32())}))
+    cells = m.cells.select("row_id", "col_id", variance.alias("w")).join(F.broadcast(index), "col_id")
     blocks = cells.groupBy("row_id").agg(F.collect_list("j").alias("j"), F.collect_list("w").alias("w"))
     blocks = cut(blocks, "blocks")  # a row is as long as the matrix is wide, at most
-    n = len(names)
 
-    def one_pass(scale: np.ndarray) -> np.ndarray:
+    def one_pass(scale: np.ndarray | None) -> np.ndarray:
+        """Column sums of the rows scaled by ``scale`` (None: not scaled), added by chunks of the column axis."""
         held = spark.sparkContext.broadcast(scale)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,20 +66,23 @@ def fit(m: CountMatrix, variance: Column, *, tol: float = 1e-6, n_iter: int = 50
                     j, w = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
                     lens = batch.column(1).value_lengths().to_numpy()
                     owner = np.repeat(np.arange(len(lens)), lens)
-                    u = r / np.bincount(owner, w * s[j], len(lens))
-                    out += np.bincount(j, w * u[owner], n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(out)], names=["j", "s"])
-
-        rows = blocks.select("row_id", "j", "w").mapInArrow(run, "j long, s double").groupBy("j").agg(F.sum("s").alias("s")).collect()
-        total = np.zeros(n)
-        for x in rows:
-            total[x["j"]] = x["s"]
-        return total
-
-    first = cells.groupBy("j").agg(F.sum("w").alias("s")).collect()
-    sums = np.zeros(n)
-    for x in first:
-        sums[x["j"]] = x["s"]
+                    out += np.bincount(j, w if s is None else w * (r / np.bincount(owner, w * s[j], len(lens)))[owner], n)
+            at = [a for a in range(0, n, CHUNK) if not (out[a : a + CHUNK] == 0).all()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([out[a : a + CHUNK].tobytes() for a in at], pa.binary())], names=["a", "s"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for a, s in zip(*(x.to_pylist() for x in batch.columns)):
+                    total[a] = total.get(a, 0) + np.frombuffer(s)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["a", "s"])
+
+        schema, out = "a long, s binary", np.zeros(n)
+        for a, s in blocks.select("row_id", "j", "w").mapInArrow(run, schema).repartition(max(1, min(64, n // CHUNK)), "a").mapInArrow(add, schema).collect():
+            out[a : a + CHUNK] += np.frombuffer(s)
+        return out
+
+    sums = one_pass(None)
     scale, error, done = c / sums, np.inf, 0
     for done in range(1, n_iter + 1):
         sums = one_pass(scale)
@@ -93,7 +94,7 @@ def fit(m: CountMatrix, variance: Column, *, tol: float = 1e-6, n_iter: int = 50
         scale = c / sums
     if tol > 0 and error >= tol:
         raise RuntimeError(f"not converged after {done} iterations: {error:.3g}")
-    cols = spark.createDataFrame([(k, float(x)) for k, x in zip(names, scale)], ["col_id", "v"])
+    cols = spark.createDataFrame(pa.table({"col_id": held, "v": scale}))
     u = m.cells.select("row_id", "col_id", variance.alias("w")).join(cols, "col_id").groupBy("row_id").agg((F.lit(r) / F.sum(F.col("w") * F.col("v"))).alias("u"))
     return u, cols, {"iterations": done, "error": error}
 

@@ -11,9 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from countloom.bundle import CountMatrix
+from countloom.session import cut
 
 #: Largest small axis for a Gram matrix on the driver (200 MB); larger ones take the range finder.
 GRAM_LIMIT = 5000
+#: Most bytes of a factor (small axis x components) that the driver and a broadcast hold.
+FACTOR_BYTES = 256 << 20
+#: Passes of the range finder over the matrix.
+RANGE_PASSES = 5
+#: Cells that a kernel makes or takes at once.
+CELLS = 1 << 20
 
 
 def gram_pairs(m: CountMatrix) -> DataFrame:
@@ -23,45 +30,81 @@ def gram_pairs(m: CountMatrix) -> DataFrame:
     return a.join(b, "row_id").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
 
 
-def dense_rows(m: CountMatrix, names: list) -> DataFrame:
-    """(row_id, values): rows as arrays in the order of ``names``; absent cells are 0."""
-    held = F.map_from_entries(F.collect_list(F.struct("col_id", "value")))
-    rows = m.cells.groupBy("row_id").agg(held.alias("h"))
-    arr = F.transform(F.lit(names), lambda k: F.coalesce(F.try_element_at(F.col("h"), k), F.lit(0.0)))
-    return rows.select("row_id", arr.alias("values"))
+def names_of(m: CountMatrix) -> pa.Array:
+    """The columns' names, sorted; at most FACTOR_BYTES / 8."""
+    most = FACTOR_BYTES // 8
+    held = m.var.select("col_id").limit(most + 1).toArrow().column("col_id").combine_chunks()
+    if len(held) > most:
+        raise ValueError(f"the small axis has more than {most} entries")
+    return held.sort()
 
 
-def gram(m: CountMatrix) -> tuple[np.ndarray, list]:
+def sparse_rows(m: CountMatrix, names: pa.Array) -> DataFrame:
+    """(row_id, j, x): the stored cells of each row, with the places of their columns in ``names``."""
+    index = m.cells.sparkSession.createDataFrame(pa.table({"col_id": names, "j": pa.array(np.arange(len(names)), pa.int32())}))
+    cells = m.cells.join(F.broadcast(index), "col_id")
+    return cells.groupBy("row_id").agg(F.collect_list("j").alias("j"), F.collect_list("value").alias("x"))
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row ids, row of each cell, column of each cell, value) of rows with about CELLS cells together."""
+    lens = batch.column(1).value_lengths().to_numpy()
+    group = np.cumsum(lens) // CELLS
+    edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lens)]
+    for a, b in zip(edge, edge[1:]):
+        if a < b:
+            part = batch.slice(a, b - a)
+            yield part.column(0), np.repeat(np.arange(b - a), lens[a:b]), part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
+
+
+def _times(owner: np.ndarray, j: np.ndarray, x: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Sparse rows times ``v``, column of v by column."""
+    return np.stack([np.bincount(owner, x * v[j, k], n) for k in range(v.shape[1])], axis=1)
+
+
+def _summed(parts: DataFrame, d: int, width: int) -> np.ndarray:
+    """Partial sums (i, values: a line of the result) added by line."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.frombuffer(v)
+                out[i] = out[i] + x if i in out else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["i", "values"])
+
+    out = np.zeros((d, width))
+    for i, v in parts.repartition("i").mapInArrow(add, "i long, values binary").toLocalIterator():
+        out[i] = np.frombuffer(v)
+    return out
+
+
+def _lines(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    some = np.flatnonzero((total != 0).any(1))
+    for a in range(0, len(some), max(1, CELLS // total.shape[1])):
+        at = some[a : a + max(1, CELLS // total.shape[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in total[at]], pa.binary())], names=["i", "values"])
+
+
+def gram(m: CountMatrix) -> tuple[np.ndarray, pa.Array]:
     """Columns' Gram matrix from outer products of row blocks, summed by matrix row; and the columns' names."""
-    names = sorted(x[0] for x in m.var.select("col_id").limit(GRAM_LIMIT + 1).collect())
+    names = names_of(m)
     d = len(names)
     if d > GRAM_LIMIT:
         raise ValueError(f"the axis has more than {GRAM_LIMIT} entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_ = np.zeros((d, d)), False
+        total = np.zeros((d, d))
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy().reshape(-1, d)
-                total += x.T @ x
-                any_ = True
-        if any_:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d)), pa.array(list(total))], names=["i", "values"])
+            for a in range(0, batch.num_rows, max(1, CELLS // max(d, 1))):
+                part = batch.slice(a, max(1, CELLS // d))
+                for ids, owner, j, x in _slices(part):
+                    block = np.zeros((len(ids), d))
+                    np.add.at(block, (owner, j), x)
+                    total += block.T @ block
+        yield from _lines(total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = v.values.to_numpy()
-                out[i] = out[i] + x if i in out else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.float64()))], names=["i", "values"])
-
-    parts = dense_rows(m, names).select("values").mapInArrow(run, "i long, values array<double>")
-    rows = parts.repartition("i").mapInArrow(add, "i long, values array<double>").collect()
-    out = np.zeros((d, d))
-    for r in rows:
-        out[r["i"]] = r["values"]
-    return out, names
+    return _summed(sparse_rows(m, names).mapInArrow(run, "i long, values binary"), d, d), names
 
 
 @dataclass
@@ -70,18 +113,36 @@ class Factors:
 
     s: np.ndarray
     v: np.ndarray
-    names: list
+    names: pa.Array
     transposed: bool
     shape: tuple[int, int]
 
+    @property
+    def whole(self) -> bool:
+        """Whether these are all singular values."""
+        return len(self.s) == min(self.shape)
+
+    def held(self, spark, r: int) -> DataFrame:
+        """(id, w): the leading ``r`` factors of the small axis as a table."""
+        w = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(self.names) + 1) * r, r), pa.int32()), pa.array(np.ascontiguousarray(self.v[:, :r]).ravel()))
+        return spark.createDataFrame(pa.table({"id": self.names, "w": w}))
+
 
 def svd(m: CountMatrix, k: int | None = None, seed: int = 42) -> Factors:
-    """Through the Gram matrix of the smaller axis; a seeded range finder where that axis is too long."""
+    """Through the Gram matrix of the smaller axis; where that is longer than GRAM_LIMIT, by a seeded range finder.
+
+    All singular values, or the leading ``k``; the range finder needs a ``k``. Raises if k is no rank of the matrix, or if
+    a factor would take more than FACTOR_BYTES.
+    """
     rows, cols = m.shape
+    if k is not None and not 0 < k <= min(rows, cols):
+        raise ValueError(f"k must be between 1 and {min(rows, cols)}")
     flip = cols > rows
     x = m.transpose() if flip else m
     if min(rows, cols) > GRAM_LIMIT:
-        return _randomized(x, k or 200, seed, flip, (rows, cols))
+        if k is None:
+            raise ValueError(f"the small axis has more than {GRAM_LIMIT} entries: say how many components (k)")
+        return _randomized(x, k, seed, flip, (rows, cols))
     g, names = gram(x)
     lam, vec = np.linalg.eigh(g)
     order = np.argsort(-np.abs(lam), kind="stable")[: k or len(lam)]
@@ -97,55 +158,62 @@ def _signed(v: np.ndarray) -> np.ndarray:
     return v * np.where(top < 0, -1.0, 1.0)
 
 
-def right_factor(m: CountMatrix, f: Factors, j: int) -> DataFrame:
-    """(col_id, w): the j-th right factor of ``m``, whichever axis ``f`` holds; its largest entry is positive.
+def _projected(cells: DataFrame, line: str, other: str, loadings: DataFrame, r: int, small: bool) -> DataFrame:
+    """(line, w): sums over ``other`` of cells times loadings (id, w), which are broadcast if they are ``small``."""
+    x = cells.join(F.broadcast(loadings) if small else loadings, F.col(other) == F.col("id"))
+    return x.groupBy(line).agg(F.array(*(F.sum(F.col("value") * F.col("w")[j]) for j in range(r))).alias("w"))
 
-    If the rows are the small axis, it is X' U / s.
-    """
-    held = m.cells.sparkSession.createDataFrame([(k, float(x)) for k, x in zip(f.names, f.v[:, j])], f"id {dict((m.obs if f.transposed else m.var).dtypes)['row_id' if f.transposed else 'col_id']}, w double")
-    if not f.transposed:
-        return held.withColumnRenamed("id", "col_id")
-    w = m.cells.join(F.broadcast(held), F.col("row_id") == F.col("id")).groupBy("col_id").agg((F.sum(F.col("value") * F.col("w")) / float(f.s[j])).alias("w"))  # at most GRAM_LIMIT rows
+
+def factor(m: CountMatrix, f: Factors, r: int, axis: int) -> DataFrame:
+    """(id, w): the leading ``r`` left (axis 0, id is row_id) or right (axis 1) factors of ``m``: held, or X V / s."""
+    line, other = ("row_id", "col_id") if axis == 0 else ("col_id", "row_id")
+    held = f.held(m.cells.sparkSession, r)
+    if f.transposed == (axis == 0):
+        return held.withColumnRenamed("id", line)
+    w = _projected(m.cells, line, other, held, r, len(f.names) * r * 8 <= 8 << 20)
+    return w.select(line, F.transform("w", lambda x, j: F.try_divide(x, F.element_at(F.lit(f.s[:r].tolist()), j + 1))).alias("w"))
+
+
+def right_factor(m: CountMatrix, f: Factors, j: int) -> DataFrame:
+    """(col_id, w): the j-th right factor of ``m``, whichever axis ``f`` holds; its largest entry is positive."""
+    w = factor(m, f, j + 1, 1).select("col_id", F.col("w")[j].alias("w"))
     top = w.agg(F.when(F.max("w") < F.max(F.abs("w")), -1.0).otherwise(1.0).alias("sign"))
     return w.crossJoin(F.broadcast(top)).select("col_id", (F.col("w") * F.col("sign")).alias("w"))
 
 
 def _randomized(x: CountMatrix, k: int, seed: int, flip: bool, shape: tuple[int, int]) -> Factors:
-    """Right factors from Q = orth(X^T X ... G): tables by column, a small Gram matrix on the driver each step."""
-    width = k + 10
-    normal = lambda key, j: F.sqrt(-2 * F.log((F.pmod(F.xxhash64(F.lit(seed), key, F.lit(j)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1)))) * F.cos(2 * math.pi * F.pmod(F.xxhash64(F.lit(seed + 1), key, F.lit(j)), F.lit(1 << 30)) / float(1 << 30))
-    v = x.var.select("col_id", F.array(*(normal(F.col("col_id"), j) for j in range(width))).alias("a"))
-    add = lambda c: F.array(*(F.sum(F.col("value") * F.col(c)[j]) for j in range(width)))
-    from countloom.session import cut
-
-    for _ in range(3):
-        left = x.cells.join(v, "col_id").groupBy("row_id").agg(add("a").alias("b"))
-        v = cut(x.cells.join(left, "row_id").groupBy("col_id").agg(add("b").alias("a")), "range")
-        g = _small_gram(v, width)
-        lam, vec = np.linalg.eigh(g)
-        keep = lam > lam.max() * 1e-14
-        w = vec[:, keep] / np.sqrt(lam[keep])
-        w = np.hstack([w, np.zeros((width, width - w.shape[1]))])
-        v = v.select("col_id", F.array(*(F.aggregate(F.zip_with("a", F.lit(w[:, j].tolist()), lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q) for j in range(width))).alias("a"))
-    left = cut(x.cells.join(v, "col_id").groupBy("row_id").agg(add("a").alias("a")), "range")
-    lam, vec = np.linalg.eigh(_small_gram(left, width))
+    """Right factors by subspace iteration: a pass over sparse row blocks gives X' X Q, whose QR the driver makes."""
+    names = names_of(x)
+    d, width = len(names), min(len(names), k + max(10, k // 10))
+    if d * width * 8 > FACTOR_BYTES:
+        raise ValueError(f"{width} components of {d} entries take more than {FACTOR_BYTES} bytes")
+    rows = cut(sparse_rows(x, names), "rows")
+
+    def product(q: np.ndarray) -> np.ndarray:
+        held = rows.sparkSession.sparkContext.broadcast(q)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, total = held.value, np.zeros((d, width))
+            for batch in batches:
+                for ids, owner, j, v in _slices(batch):
+                    y = _times(owner, j, v, q, len(ids))
+                    for c in range(width):
+                        total[:, c] += np.bincount(j, v * y[owner, c], d)
+            yield from _lines(total)
+
+        return _summed(rows.mapInArrow(run, "i long, values binary"), d, width)
+
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
+    for _ in range(RANGE_PASSES):
+        z = product(q)
+        lam, vec = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        v = q @ vec
+        q = np.linalg.qr(z)[0]
     order = np.argsort(-lam)[:k]
-    rows = v.collect() if x.var.count() <= 2_000_000 else []
-    base = np.array([r["a"] for r in rows])
-    return Factors(np.sqrt(np.abs(lam[order])), _signed(base @ vec[:, order]) if len(base) else base, [r["col_id"] for r in rows], flip, shape)
-
-
-def _small_gram(t: DataFrame, width: int) -> np.ndarray:
-    sums = t.agg(*(F.sum(F.col("a")[i] * F.col("a")[j]) for i in range(width) for j in range(i + 1))).first()
-    out = np.zeros((width, width))
-    it = iter(sums)
-    for i in range(width):
-        for j in range(i + 1):
-            out[i, j] = out[j, i] = next(it) or 0.0
-    return out
+    return Factors(np.sqrt(np.abs(lam[order])), _signed(v[:, order]), names, flip, shape)
 
 
-# --- the Marchenko-Pastur law on the driver (at most GRAM_LIMIT values)
+# --- the Marchenko-Pastur law on the driver (of singular values, which it holds)
 
 
 def mp_cdf(x: np.ndarray, gamma: float) -> np.ndarray:
@@ -182,27 +250,46 @@ def mp_rank(s: np.ndarray, m: int, n: int, sigma: float) -> int:
 
 
 def ks(s: np.ndarray, m: int, n: int, sigma: float) -> float:
-    """Kolmogorov-Smirnov distance of the scaled eigenvalues and the law."""
+    """Kolmogorov-Smirnov distance of the scaled eigenvalues of an m x n matrix and the law; absent values are the smallest."""
     x = np.sort(s**2 / (n * sigma**2))
-    f, k = mp_cdf(x, m / n), len(x)
-    return float(max((np.arange(1, k + 1) / k - f).max(), (f - np.arange(k) / k).max()))
+    f, at = mp_cdf(x, m / n), np.arange(m - len(x), m)
+    return float(max(((at + 1) / m - f).max(), (f - at / m).max()))
 
 
-def reconstruct(m: CountMatrix, f: Factors, values: np.ndarray) -> DataFrame:
-    """Cells of U diag(values) V^T for the leading ``len(values)`` components (the small axis is broadcast, size-checked)."""
-    spark, r = m.cells.sparkSession, len(values)
-    x = m.transpose() if f.transposed else m
-    weights = np.divide(values, f.s[:r], out=np.zeros(r), where=f.s[:r] > 0)
-    p = (f.v[:, :r] * weights) @ f.v[:, :r].T  # X V diag(values / s) V^T
-    held = spark.sparkContext.broadcast((p, f.names))
+def normalised_ks(s: np.ndarray, m: int, n: int, sigma: float) -> float:
+    """KS of the values below the edge alone, against the law: the noise without the signal."""
+    rank = mp_rank(s, m, n, sigma)
+    rest = np.sort(s)[::-1][rank:]
+    return ks(rest, m - rank, n, sigma) if len(rest) and m > rank else 0.0
+
+
+def outer(left: DataFrame, line: str, held: np.ndarray, names: pa.Array, other: str) -> DataFrame:
+    """Cells (line, other, value) of the product of ``left`` (line, w) with ``held`` (names x components), which is broadcast."""
+    if held.nbytes > FACTOR_BYTES:
+        raise ValueError(f"a factor takes more than {FACTOR_BYTES} bytes")
+    spark, r = left.sparkSession, held.shape[1]
+    both = spark.sparkContext.broadcast((held, names))
+    kind = pa.schema([("x", names.type)]).field("x").type
+    kinds = {pa.string(): "string", pa.large_string(): "string", pa.int64(): "bigint", pa.int32(): "int"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, names = held.value
+        v, ids = both.value
+        step = min(len(ids), 1 << 14)
         for batch in batches:
-            if batch.num_rows:
-                z = batch.column(1).flatten().to_numpy().reshape(-1, len(names)) @ p
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(z), pa.list_(pa.float64()))], names=["row_id", "values"])
+            for a in range(0, batch.num_rows, max(1, CELLS // max(1, step))):
+                part = batch.slice(a, max(1, CELLS // max(1, step)))
+                w = part.column(1).flatten().to_numpy().reshape(-1, r)
+                for b in range(0, len(ids), step):
+                    z = w @ v[b : b + step].T
+                    i, j = np.divmod(np.arange(z.size), z.shape[1])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), ids.take(pa.array(j + b)), pa.array(z.ravel())], names=[line, other, "value"])
+
+    return left.select(line, "w").mapInArrow(run, f"{line} {dict(left.dtypes)[line]}, {other} {kinds[kind]}, value double").select("row_id", "col_id", "value")
 
-    rows = dense_rows(x, f.names).mapInArrow(run, f"row_id {dict(x.obs.dtypes)['row_id']}, values array<double>")
-    cells = rows.select("row_id", F.explode(F.arrays_zip(F.lit(f.names).alias("col_id"), F.col("values").alias("value"))).alias("x")).select("row_id", "x.col_id", "x.value")
-    return cells.select(F.col("col_id").alias("row_id"), F.col("row_id").alias("col_id"), "value") if f.transposed else cells
+
+def reconstruct(m: CountMatrix, f: Factors, values: np.ndarray) -> DataFrame:
+    """Cells of U diag(values) V^T for the leading ``len(values)`` components: a table of scores times the held factor."""
+    r = len(values)
+    line, other = ("col_id", "row_id") if f.transposed else ("row_id", "col_id")
+    left = factor(m, f, r, 1 if f.transposed else 0)
+    return outer(left, line, f.v[:, :r] * np.asarray(values), f.names, other)

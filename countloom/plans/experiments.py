@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from countloom.operators import experiments as X, normalise
+from countloom.bundle import CountMatrix
 from countloom.plans.catalog import CM, DENSE, SM, UE, UH, customer_month, register, rounded, supplier_month, table, user_event, user_hour
 from countloom.sources import modalities
 
@@ -105,11 +106,17 @@ def pointwise_losses(spark, d):
     return rounded(c.join(b, ["row_id", "col_id"]).agg(F.sum(F.abs(x)).alias("l1"), F.sum(x * x).alias("l2")), "l1", "l2", digits=4)
 
 
-@register(UE + " SELECT count(*) = 0 AS equal FROM (SELECT * FROM cells EXCEPT ALL SELECT row_id, col_id, value FROM cells)")
+_LATER = ", later AS (SELECT user_id AS row_id, event_type AS col_id, CAST(count(*) AS DOUBLE) AS value FROM events WHERE event_id % 50 <> 7 GROUP BY 1, 2)"
+
+
+@register(UE + _LATER + " SELECT count(*) FILTER (WHERE a.value IS DISTINCT FROM b.value) AS n_different, count(*) FILTER (WHERE a.value IS DISTINCT FROM b.value) = 0 AS equal FROM cells a FULL JOIN later b ON a.row_id = b.row_id AND a.col_id = b.col_id")
 def matrices_equal(spark, d):
-    """A full outer join counts cells that differ."""
-    a, b = user_event(spark, d).cells, user_event(spark, d).cells.withColumnRenamed("value", "w")
-    return a.join(b, ["row_id", "col_id"], "full").agg((F.count(F.when(~F.col("value").eqNullSafe(F.col("w")), 1)) == 0).alias("equal"))
+    """A full outer join counts the cells in which two matrices differ: all events, and those without some."""
+    a = user_event(spark, d).cells
+    some = table(spark, d, "events").where("event_id % 50 <> 7")
+    b = CountMatrix.from_table(some, F.col("user_id"), F.col("event_type")).cells.withColumnRenamed("value", "w")
+    n = F.count(F.when(~F.col("value").eqNullSafe(F.col("w")), 1))
+    return a.join(b, ["row_id", "col_id"], "full").agg(n.alias("n_different"), (n == 0).alias("equal"))
 
 
 @register("SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")

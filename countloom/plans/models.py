@@ -56,7 +56,7 @@ def variance_general(spark, d):
     return rounded(x.withColumn("value", F.col("value") * F.col("value")), "value")
 
 
-def _sinkhorn(n: int) -> str:
+def sinkhorn_sql(n: int) -> str:
     out, u = ", u0 AS (SELECT row_id, CAST(1.0 AS DOUBLE) AS u FROM obs)", "u0"
     for i in range(1, n + 2):
         out += f", v{i} AS (SELECT col_id, any_value(m) / sum(value * u) AS v FROM cells JOIN {u} USING (row_id) CROSS JOIN dims GROUP BY 1), u{i} AS (SELECT row_id, any_value(n) / sum(value * v) AS u FROM cells JOIN v{i} USING (col_id) CROSS JOIN dims GROUP BY 1)"
@@ -64,7 +64,7 @@ def _sinkhorn(n: int) -> str:
     return out
 
 
-@register(SM + _sinkhorn(3) + " SELECT row_id, col_id, round(value * sqrt(u) * sqrt(v), 6) AS value FROM cells JOIN u4 USING (row_id) JOIN v4 USING (col_id)")
+@register(SM + sinkhorn_sql(3) + " SELECT row_id, col_id, round(value * sqrt(u) * sqrt(v), 6) AS value FROM cells JOIN u4 USING (row_id) JOIN v4 USING (col_id)")
 def sinkhorn_unrolled_3(spark, d):
     """Three Sinkhorn iterations on the counts (Poisson variance), and the scaled matrix, as one plan."""
     m = supplier_month(spark, d)
@@ -72,12 +72,12 @@ def sinkhorn_unrolled_3(spark, d):
     return rounded(scaling.scale(m, u, v).cells, "value")
 
 
-@register(SM + _sinkhorn(1) + " SELECT row_id, round(u, 6) AS u FROM u2")
+@register(SM + sinkhorn_sql(1) + " SELECT row_id, round(u, 6) AS u FROM u2")
 def sinkhorn_row_scalers(spark, d):
     return rounded(scaling.unrolled(supplier_month(spark, d), F.col("value"), 1)[0], "u")
 
 
-@register(SM + _sinkhorn(2) + " SELECT row_id, col_id, round(value * sqrt(u) * sqrt(v), 6) AS value FROM cells JOIN u3 USING (row_id) JOIN v3 USING (col_id)")
+@register(SM + sinkhorn_sql(2) + " SELECT row_id, col_id, round(value * sqrt(u) * sqrt(v), 6) AS value FROM cells JOIN u3 USING (row_id) JOIN v3 USING (col_id)")
 def scale_transform(spark, d):
     m = supplier_month(spark, d)
     return rounded(scaling.scale(m, *scaling.unrolled(m, F.col("value"), 2)).cells, "value")
@@ -90,7 +90,7 @@ def unscale_roundtrip(spark, d):
     return rounded(scaling.unscale(scaling.scale(m, *s), *s).cells, "value")
 
 
-@register(SM + _sinkhorn(1) + " SELECT row_id, round(any_value(n) / sum(value * v), 6) AS u FROM cells JOIN v2 USING (col_id) CROSS JOIN dims WHERE row_id % 10 = 3 GROUP BY 1")
+@register(SM + sinkhorn_sql(1) + " SELECT row_id, round(any_value(n) / sum(value * v), 6) AS u FROM cells JOIN v2 USING (col_id) CROSS JOIN dims WHERE row_id % 10 = 3 GROUP BY 1")
 def fold_in_rows(spark, d):
     """Scalers of new rows from the column scalers of a fit."""
     m = supplier_month(spark, d)
@@ -98,7 +98,7 @@ def fold_in_rows(spark, d):
     return rounded(scaling.fold_in(m.cells.where("row_id % 10 = 3"), F.col("value"), v, m.shape[1]), "u")
 
 
-@register(SM + _sinkhorn(1) + " SELECT col_id, round(any_value(m) / sum(value * u), 6) AS v FROM cells JOIN u2 USING (row_id) CROSS JOIN dims WHERE col_id LIKE '1996%' GROUP BY 1")
+@register(SM + sinkhorn_sql(1) + " SELECT col_id, round(any_value(m) / sum(value * u), 6) AS v FROM cells JOIN u2 USING (row_id) CROSS JOIN dims WHERE col_id LIKE '1996%' GROUP BY 1")
 def fold_in_cols(spark, d):
     m = supplier_month(spark, d)
     u, _ = scaling.unrolled(m, F.col("value"), 1)
@@ -119,13 +119,18 @@ def gram_trace(spark, d):
     return rounded(spectrum.gram_pairs(supplier_brand(spark, d)).where("i = j").agg(F.sum("value").alias("trace")), "trace", digits=4)
 
 
-@register(SB + _GRAM + " SELECT a.i, a.j FROM g a JOIN g x ON x.i = a.i AND x.j = a.i JOIN g y ON y.i = a.j AND y.j = a.j WHERE a.i < a.j AND 1 - a.value * a.value / (x.value * y.value) < 0.05")
+_PLANTED = ", planted AS (SELECT * FROM cells UNION ALL SELECT row_id, 'copy', 3 * value FROM cells WHERE col_id = 'Brand#11'), g AS (SELECT a.col_id AS i, b.col_id AS j, sum(a.value * b.value) AS value FROM planted a JOIN planted b ON a.row_id = b.row_id GROUP BY 1, 2)"
+
+
+@register(SB + _PLANTED + " SELECT a.i, a.j FROM g a JOIN g x ON x.i = a.i AND x.j = a.i JOIN g y ON y.i = a.j AND y.j = a.j WHERE a.i < a.j AND 1 - a.value * a.value / (x.value * y.value) < 1e-4")
 def linearly_dependent_columns(spark, d):
-    """Pairs of columns whose cosine is near one."""
-    g = spectrum.gram_pairs(supplier_brand(spark, d))
+    """Pairs of columns whose cosine is one to 1e-4; a multiple of a column is planted."""
+    m = supplier_brand(spark, d)
+    copy = m.cells.where("col_id = 'Brand#11'").select("row_id", F.lit("copy").alias("col_id"), (3 * F.col("value")).alias("value"))
+    g = spectrum.gram_pairs(m.with_cells(m.cells.unionByName(copy)))
     own = g.where("i = j")
     both = g.where("i < j").join(own.select("i", F.col("value").alias("x")), "i").join(own.select("j", F.col("value").alias("y")), "j")
-    return both.where(1 - F.col("value") * F.col("value") / (F.col("x") * F.col("y")) < 0.05).select("i", "j")
+    return both.where(1 - F.col("value") * F.col("value") / (F.col("x") * F.col("y")) < 1e-4).select("i", "j")
 
 
 # --- a spectrum that SQL can make: the customers' total prices stand for singular values

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from countloom.functions.elementwise import quadratic_variance_2param
 from countloom.operators import fit as fitting, scaling, spectrum
 from countloom.plans.catalog import SM, register, rounded, supplier_month
+from countloom.plans.models import sinkhorn_sql
 
 
-@register(SM + " SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS sums_met FROM obs")
+@register(SM + sinkhorn_sql(14) + " SELECT row_id, col_id, round(value * sqrt(u) * sqrt(v), 5) AS value FROM cells JOIN u15 USING (row_id) JOIN v15 USING (col_id)")
 def sinkhorn_converged(spark, d):
-    """Rows whose scaled sums meet the target after convergence."""
+    """Counts scaled until the sums meet their targets; the SQL iterates fifteen times, which is past convergence."""
     m = supplier_month(spark, d)
     u, v, _ = scaling.fit(m, F.col("value"), tol=1e-8)
-    n = float(m.shape[1])
-    s = m.cells.join(u, "row_id").join(v, "col_id").groupBy("row_id").agg(F.sum(F.col("value") * F.col("u") * F.col("v")).alias("s"))
-    return s.agg(F.count("*").alias("n_rows"), F.bool_and(F.abs(F.col("s") - n) < 1e-6 * n).alias("sums_met"))
+    return rounded(scaling.scale(m, u, v).cells, "value", digits=5)
 
 
 def _scaled(spark, d):
@@ -47,13 +46,15 @@ def mp_rank(spark, d):
     return spark.createDataFrame([row], "rank int, sigma double, ks double")
 
 
-@register(SM + " SELECT CAST(least(m, n) AS BIGINT) AS n_values, true AS energy_kept FROM dims")
+@register(
+    SM + ", g AS (SELECT sum(a.value * b.value) AS x FROM cells a JOIN cells b ON a.row_id = b.row_id GROUP BY a.col_id, b.col_id), e AS (SELECT sum(value * value) AS e FROM cells)"
+    " SELECT CAST(any_value(least(m, n)) AS BIGINT) AS n_values, round(any_value(e), 2) AS energy, round(sum(x * x) / (any_value(e) * any_value(e)), 7) AS concentration FROM g, e, dims"
+)
 def spectrum_energy(spark, d):
-    """The squared singular values sum to the squares of the cells."""
-    m = supplier_month(spark, d)
-    f = spectrum.svd(m)
-    energy = m.cells.agg(F.sum(F.col("value") * F.col("value")).alias("e"))
-    return energy.select(F.lit(len(f.s)).cast("long").alias("n_values"), (F.abs(F.col("e") - float((f.s**2).sum())) < 1e-6 * F.col("e")).alias("energy_kept"))
+    """The sums of the squares and of the fourth powers of the singular values, which the Gram matrix tells as well."""
+    f = spectrum.svd(supplier_month(spark, d))
+    squares = f.s**2
+    return spark.createDataFrame([(len(f.s), round(float(squares.sum()), 2), round(float((squares**2).sum() / squares.sum() ** 2), 7))], "n_values long, energy double, concentration double")
 
 
 @register()
@@ -91,3 +92,29 @@ def fold_in_projection(spark, d):
     """Left scores of new rows from frozen scalers and right factors."""
     m = supplier_month(spark, d)
     return rounded(_left_scores(m, m.cells.where("row_id % 10 = 3")), "score", digits=5)
+
+
+_POISSON = {"bhat": 1.0, "chat": 0.0}
+
+
+@register()
+def estimator_transform(spark, d):
+    """The denoised counts: unscaled, and with rows brought to the median row sum."""
+    return rounded(fitting.fit(supplier_month(spark, d)).transform(unscale=True), "value", digits=4)
+
+
+@register()
+def estimator_predict_rows(spark, d):
+    """Suppliers that the fit has not seen, denoised by its scalers and right factors."""
+    m = supplier_month(spark, d)
+    new = m.submatrix(rows=m.obs.where("row_id % 10 = 3"))
+    old = m.submatrix(rows=m.obs.where("row_id % 10 <> 3"))
+    return rounded(fitting.fit(old, _POISSON).predict(new, library_normalize=False), "value", digits=4)
+
+
+@register()
+def estimator_predict_columns(spark, d):
+    """Months that the fit has not seen, denoised by its scalers and left factors."""
+    m = supplier_month(spark, d)
+    new, old = (m.submatrix(cols=m.var.where(f"{no} (col_id LIKE '%-02')")) for no in ("", "NOT"))
+    return rounded(fitting.fit(old, _POISSON).predict(new, axis=1, library_normalize=False), "value", digits=4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a new
-    temporary folder is made and set as the checkpoint folder.
+    It is read from ``spark.checkpoint.dir``. Where that is unset, one machine (a local master: tests, a laptop) gets a new
+    temporary folder; a cluster has to name a folder, as one machine's own is not seen by the others.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
