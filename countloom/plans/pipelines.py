@@ -11,12 +11,12 @@ from countloom.plans.catalog import SM, register, rounded, supplier_month
 from countloom.plans.models import sinkhorn_sql
 
 
-@register(SM + sinkhorn_sql(14) + " SELECT row_id, col_id, round(value * sqrt(u) * sqrt(v), 5) AS value FROM cells JOIN u15 USING (row_id) JOIN v15 USING (col_id)")
+@register(SM + sinkhorn_sql(14) + " SELECT row_id, col_id, round(value * sqrt(u) * sqrt(v), 3) AS value FROM cells JOIN u15 USING (row_id) JOIN v15 USING (col_id)")
 def sinkhorn_converged(spark, d):
     """Counts scaled until the sums meet their targets; the SQL iterates fifteen times, which is past convergence."""
     m = supplier_month(spark, d)
     u, v, _ = scaling.fit(m, F.col("value"), tol=1e-8)
-    return rounded(scaling.scale(m, u, v).cells, "value", digits=5)
+    return rounded(scaling.scale(m, u, v).cells, "value", digits=3)
 
 
 def _scaled(spark, d):
