@@ -1,27 +1,36 @@
 """PII surrogate generation: detected entities get keyed replacements of the same type, gender, script and format.
 
-Detected: e-mail addresses, IPv4 addresses, card-like numbers (13 to 19 digits), bank account numbers (country, two
-check digits), phone numbers, numbers of the form 000-00-0000, and names after a form of address. An entity is known
-by its kind and *canonical form* (digits of a number, lower case of an address), so its spellings corefer. Each distinct
-entity of the corpus gets one canonical surrogate, drawn by HMAC-SHA256 under the caller's key:
-
-* digits stay digits of their script (an entity's spellings in different digits corefer), letters stay letters of their script and case, separators stay where each spelling has them;
-* card numbers keep their first digit and whether they pass the Luhn check, bank accounts pass theirs if they did;
+Detected: e-mail addresses (domains in any script), IPv4 and IPv6 addresses, card-like numbers (13 to 19 digits), bank
+account numbers (country, two check digits), phone numbers, numbers of the form 000-00-0000, and names after a form of
+address; the words of such a name are then found in the same text without it as well. An entity is known by its kind and
+*canonical form* (digits of a number, lower case of an address or name), so its spellings corefer, under whichever title.
+Each distinct entity of the corpus gets one canonical surrogate, drawn by HMAC-SHA256 under the caller's key:
+
+* digits stay digits of their script (an entity's spellings in different digits corefer), letters stay letters of their
+  script and case, separators, hyphens and apostrophes stay where each spelling has them;
+* card numbers keep their first digit and whether they pass the Luhn check, bank accounts pass theirs if they did; phone
+  numbers keep their country code (without one, or with ``HOME_CODE``, they are the same number); private, loopback and
+  link-local addresses stay so;
 * domains and surnames are entities of their own: equal ones stay equal in different addresses and names, the top-level
-  domain stays; given names keep the gender that the form of address tells (feminine ones end in a vowel).
+  domain stays; feminine forms of Slavic surnames agree with the masculine ones; a given name has the gender that most of
+  its forms of address in the corpus tell (feminine surrogates end in a vowel, masculine ones in a consonant).
 
 Collision checks run over the whole corpus as joins: no two entities of a kind share a surrogate, and none is an entity
-that the corpus itself holds; losers are drawn again under the next counter. So distinctness and coreference hold.
+that the corpus itself holds; losers are drawn again under the next counter, and words grow longer with it. So distinctness
+and coreference hold. It raises if a kind of fixed length has more entities than forms.
 
 Only texts that may hold an entity (a built-in regular expression) are shuffled, to meet their surrogates; the others
-pass by. Null and empty texts pass unchanged. Repeated rows get equal replacements. Other columns pass through, but for
-``n_entities``, which is replaced.
+pass by. Null and empty texts pass unchanged. Rows that repeat, ties in gender (neither is then told) and null ids are
+handled alike on every run: repeated rows get equal replacements. An empty table gives no rows. Other columns pass through,
+but for ``n_entities``, which is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,19 +47,26 @@ _VALUE = {c: i % 10 for run in regex.findall(r"\d+", "".join(map(chr, range(0x11
 _ASCII = {ord(c): str(v) for c, v in _VALUE.items()}
 _is = lambda *values: f"[{''.join(c for c, v in _VALUE.items() if v in values)}]"
 _OCTET = rf"(?:{_is(2)}{_is(5)}{_is(*range(6))}|{_is(2)}{_is(*range(5))}\d|{_is(1)}?\d?\d)"
+#: A word of a name; a possessive ending is none of it.
+_NAME = r"\p{Lu}(?:\p{L}+|(?=['’]))(?:[-'’](?!s\b)\p{L}+)*"
 PATTERN = regex.compile(
-    r"(?P<email>[^\W_][\w.+-]*+@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))"
+    r"(?P<email>[^\W_][\w.+-]*+@(?P<domain>[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+))"
     rf"|(?<![\w.])(?P<ip>(?:{_OCTET}\.){{3}}{_OCTET})(?![\d]|\.\d)"
+    r"|(?<![\w:.])(?P<ipv6>(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39})(?![\w:.])"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,4})?)(?!\w)"
     r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
-    r"|(?<![\w.])(?P<phone>(?:\+?\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4})(?!\d)"
+    r"|(?<![\w.])(?P<phone>(?:(?P<code>\+?\d{1,3})[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4})(?!\d)"
     r"|(?<![\w.-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    rf"|\b(?:(?P<title>{'|'.join(_GENDER)})\.? )(?P<name>\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+){{0,2}})"
+    rf"|\b(?:(?P<title>{'|'.join(_GENDER)})\.? )(?P<name>{_NAME}(?: {_NAME}){{0,2}})"
 )
-#: What a text with an entity holds at least, for the scan by Spark: a digit of any script, an @, a form of address.
+#: The country code that phone numbers without one have.
+HOME_CODE = "1"
+#: What a text with an entity holds at least, for the scan by Spark: a digit of any script, an @, two colons, a form of address.
 #: Cn stands for digits and capitals that Java's tables are too old to know.
-TRIGGER = rf"[0-9@\p{{Nd}}\p{{Cn}}]|[{''.join(sorted({t[0] for t in _GENDER}))}](?<=(?:^|\W).)(?:{'|'.join(sorted({t[1:] for t in _GENDER}))})\.? [\p{{Lu}}\p{{Cn}}]"
+TRIGGER = rf"[0-9@\p{{Nd}}\p{{Cn}}]|::|:[A-Fa-f]+:|[{''.join(sorted({t[0] for t in _GENDER}))}](?<=(?:^|\W).)(?:{'|'.join(sorted({t[1:] for t in _GENDER}))})\.? [\p{{Lu}}\p{{Cn}}]"
 DIGITS = ("card", "phone", "ssn")
+#: Beginnings of addresses that are not public (fixed values); 172.16 to 172.31 are told apart.
+PRIVATE = ("10.", "192.168.", "127.", "169.254.")
 
 
 def _digits(s: str) -> str:
@@ -62,25 +78,51 @@ def _as(digit: str, original: str) -> str:
     return chr(ord(original) - _VALUE[original] + int(digit)) if digit in "0123456789" and original in _VALUE else digit
 
 
-def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, canonical form, start, end) of all entities, in order."""
+def _surname(word: str) -> str:
+    """Lower case, and the masculine form of a Slavic surname."""
+    low = word.lower().replace("’", "'")
+    return low[:-1] if regex.search(r"\p{L}{2}(?:[оеё]в|ин)а$|\p{L}{2}(?:[oe]v|in)a$", low) else low
+
+
+def entities(text: str) -> Iterator[tuple[str, str, int, int, str]]:
+    """(kind, canonical form, start, end, gender that a form of address tells or x) of all entities, in order."""
+    found, people = [], {}
     for m in PATTERN.finditer(text):
-        kind = m.lastgroup if m.lastgroup not in ("domain", "title") else "email"
-        if m["email"]:
+        kind = next(k for k in ("email", "ip", "ipv6", "iban", "card", "phone", "ssn", "name") if m[k])
+        if kind == "email":
             at = m.start("domain")
-            yield "local", m["email"].lower(), m.start(), at - 1
+            found.append(("local", m["email"].lower(), m.start(), at - 1, "x"))
             host, _, top = m["domain"].rpartition(".")
-            yield "domain", host.lower(), at, at + len(host)
-        elif m["name"]:
+            found.append(("domain", host.lower(), at, at + len(host), "x"))
+        elif kind == "name":
             at, words = m.start("name"), m["name"].split(" ")
             for i, w in enumerate(words):
-                yield ("surname" if i == len(words) - 1 else f"given_{_GENDER[m['title']]}"), w.lower(), at, at + len(w)
+                one = ("surname", _surname(w)) if i == len(words) - 1 else ("given", w.lower().replace("’", "'"))
+                found.append((*one, at, at + len(w), _GENDER[m["title"]] if one[0] == "given" else "x"))
+                if len(w) > 1:
+                    people.setdefault(w, one[:2])
                 at += len(w) + 1
+        elif kind == "ipv6":
+            try:
+                found.append((kind, ipaddress.IPv6Address(m[kind]).exploded, *m.span(kind), "x"))
+            except ValueError:
+                pass  # hours and minutes, for example
+        elif kind == "phone":
+            code = _digits(m["code"] or "")
+            found.append((kind, ("" if code in ("", HOME_CODE) else f"+{code}:") + _digits(m[kind])[-10:], *m.span(kind), "x"))
         elif kind in DIGITS:
-            d = _digits(m[kind])
-            yield kind, (d[-10:] if kind == "phone" else d), *m.span(kind)
+            found.append((kind, _digits(m[kind]), *m.span(kind), "x"))
         else:
-            yield kind, m[kind].replace(" ", "").translate(_ASCII), *m.span(kind)
+            found.append((kind, m[kind].replace(" ", "").translate(_ASCII), *m.span(kind), "x"))
+    if people:  # the same words elsewhere in the text
+        taken = sorted(x[2:4] for x in found)
+        ends = [b for _, b in taken]
+        for m in regex.finditer(rf"(?<![\w@.'’-])(?:{'|'.join(map(regex.escape, sorted(people, key=len, reverse=True)))})(?![\w@]|[-'’](?!s\b)\p{{L}})", text):
+            i = bisect_right(ends, m.start())
+            if i == len(taken) or taken[i][0] >= m.end():
+                found.append((*people[m[0]], *m.span(), "x"))
+        found.sort(key=lambda x: x[2])
+    yield from found
 
 
 class _Stream:
@@ -113,7 +155,7 @@ def _script(word: str) -> str:
     return "CYRILLIC" if "Ѐ" <= c <= "ӿ" else "GREEK" if "Ͱ" <= c <= "Ͽ" else "LATIN"
 
 
-def canonical_surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
+def canonical_surrogate(key: bytes, kind: str, value: str, attempt: int, gender: str = "x") -> str:
     """The ``attempt``-th draw for an entity."""
     s = _Stream(key, kind, value, attempt)
     if kind == "card":
@@ -121,19 +163,29 @@ def canonical_surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         valid = [d for d in "0123456789" if luhn(body + d) == luhn(value)]
         return body + valid[s.below(len(valid))]
     if kind in DIGITS:
-        return "".join(str(1 + s.below(9)) if c != "0" else str(s.below(10)) for c in value)
+        return "".join(str(1 + s.below(9)) if c != "0" else str(s.below(10)) for c in value.rpartition(":")[2])
     if kind == "ip":
-        return ".".join(str(1 + s.below(254)) for _ in range(4))
+        kept = next((p for p in PRIVATE if value.startswith(p)), "")
+        if regex.match(r"172\.(1[6-9]|2\d|3[01])\.", value):
+            kept = f"172.{16 + s.below(16)}."
+        return kept + ".".join(str(1 + s.below(254)) for _ in range(4 - kept.count(".")))
+    if kind == "ipv6":
+        kept = value[:4] if value[:2] in ("fc", "fd", "fe") else ""
+        return ":".join([kept or f"2{s.below(1 << 12):03x}", *(f"{s.below(1 << 16):04x}" for _ in range(7))])
     if kind == "iban":
         body = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in value[4:])
         number = lambda x: int("".join(str(int(c, 36)) for c in x)) % 97
         check = f"{98 - number(body + value[:2] + '00'):02d}" if number(value[4:] + value[:4]) == 1 else f"{s.below(100):02d}"
         return value[:2] + check + body
-    if kind.startswith("given") or kind == "surname":
+    if kind in ("given", "surname"):
         hard, soft = _SCRIPTS[_script(value)]
-        n = max(2, min(5, len(value) // 2)) + (attempt > 3) * (attempt // 4)
-        word = "".join(hard[s.below(len(hard))] + soft[s.below(len(soft))] for _ in range(n))
-        return word[:-1] + soft[0] if kind == "given_f" else word + hard[s.below(len(hard))] if kind == "given_m" else word
+
+        def word(part: str) -> str:
+            n = max(1 if len(part) < 3 else 2, min(5, len(part) // 2)) + attempt // 4
+            return "".join(hard[s.below(len(hard))] + soft[s.below(len(soft))] for _ in range(n))
+
+        out = "".join(x if x in "-'" else word(x) for x in regex.split(r"([-'])", value))
+        return out[:-1] + soft[0] if gender == "f" else out + hard[s.below(len(hard))] if gender == "m" or kind == "surname" else out
     text = value.rpartition("@")[0] if kind == "local" else value
     out = "".join(_as(str(s.below(10)), c) if c.isdigit() else _letter(s, c) if c.isalpha() else c for c in text)
     return out + "".join(chr(97 + s.below(26)) for _ in range(attempt // 4))
@@ -145,14 +197,24 @@ def _letter(s: _Stream, c: str) -> str:
 
 
 def _like(surrogate: str, original: str) -> str:
-    """Case of the original on a word surrogate."""
-    return surrogate.upper() if original.isupper() and len(original) > 1 else surrogate.capitalize() if original[:1].isupper() else surrogate
+    """Case of the original on a word surrogate, part by part."""
+    if original.isupper() and len(original) > 1:
+        return surrogate.upper()
+    old, new = (regex.split(r"([-'’])", x) for x in (original, surrogate))
+    if len(old) != len(new):
+        return surrogate.capitalize() if original[:1].isupper() else surrogate
+    return "".join(a if a in ("-", "'", "’") else b.capitalize() if a[:1].isupper() else b for a, b in zip(old, new))
 
 
 def rendered(kind: str, surrogate: str, original: str) -> str:
     """The surrogate in the format of one spelling."""
-    if kind in ("local", "domain", "surname") or kind.startswith("given"):
+    if kind == "surname" and _surname(original) != original.lower().replace("’", "'"):  # a feminine form
+        surrogate += "а" if _script(original) == "CYRILLIC" else "a"
+    if kind in ("local", "domain", "surname", "given"):
         return _like(surrogate, original)
+    if kind == "ipv6":
+        short = ipaddress.IPv6Address(surrogate).compressed if len(original) < 39 else surrogate
+        return short.upper() if regex.search("[A-F]", original) else short
     if kind == "ip":
         octets = zip(surrogate.split("."), original.split("."))
         return ".".join("".join(_as(c, o[0]) for c in x) for x, o in octets)
@@ -164,35 +226,28 @@ def rendered(kind: str, surrogate: str, original: str) -> str:
     return "".join(out)
 
 
-def entity_table(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The distinct entities (kind, value) of the corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = sorted({e[:2] for t in batch.column(0).to_pylist() for e in entities(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.string()), pa.array([e[1] for e in found], pa.string())], names=["kind", "value"])
-
-    return docs.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "kind string, value string").distinct()
-
-
 def surrogate_table(known: DataFrame, key: bytes, *, max_rounds: int = 64) -> DataFrame:
-    """(kind, value, surrogate) without collisions, by repeated draws for the losers."""
+    """(kind, value, surrogate) of (kind, value, gender) without collisions, by repeated draws for the losers."""
+
+    def drawer(attempt: int):
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kind, value, gender = (c.to_pylist() for c in batch.columns)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([canonical_surrogate(key, k, v, attempt, g) for k, v, g in zip(kind, value, gender)], pa.string())], names=["kind", "value", "gender", "surrogate"])
 
-    @F.udf("string")
-    def draw(kind: str, value: str, attempt: int) -> str:
-        return canonical_surrogate(key, kind, value, attempt)
+        return draw
 
-    # an address is taken if the corpus has it as a whole; local parts are compared as such
-    taken = known.select("kind", F.when(F.col("kind") == "local", F.regexp_replace("value", "@.*$", "")).otherwise(F.col("value")).alias("surrogate"))
-    taken = cut(taken.distinct(), "taken")
+    # an address is taken if the corpus has it as a whole; local parts and numbers are compared as such
+    own = F.when(F.col("kind") == "local", F.regexp_replace("value", "@.*$", "")).when(F.col("kind") == "phone", F.regexp_replace("value", "^.*:", "")).otherwise(F.col("value"))
+    taken = cut(known.select("kind", own.alias("surrogate")).distinct(), "taken")
     done, open_ = None, known
     for attempt in range(max_rounds):
-        drawn = cut(open_.select("kind", "value", draw("kind", "value", F.lit(attempt)).alias("surrogate")), "drawn")
+        drawn = cut(open_.select("kind", "value", "gender").mapInArrow(drawer(attempt), "kind string, value string, gender string, surrogate string"), "drawn")
         best = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
         held = taken if done is None else taken.unionByName(done.select("kind", "surrogate"))
         won = cut(best.join(held, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate"), "surrogates")
         done = won if done is None else done.unionByName(won)
-        open_ = drawn.select("kind", "value").join(won.select("kind", "value"), ["kind", "value"], "left_anti")
+        open_ = drawn.select("kind", "value", "gender").join(won.select("kind", "value"), ["kind", "value"], "left_anti")
         if open_.isEmpty():
             return done
     raise ValueError(f"a kind has too few surrogates: {open_.first()}")
@@ -202,16 +257,20 @@ def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: st
     """``docs`` with every entity replaced by its surrogate, and ``n_entities`` (long)."""
     base = docs.drop("n_entities", "_key", "_map")
     may = F.coalesce(F.col(text_col).rlike(TRIGGER), F.lit(False))
-    keyed = cut(base.where(may).withColumn("_key", F.xxhash64(id_col, text_col)), "suspects")  # a small part, read three times
-    table = surrogate_table(cut(entity_table(keyed, text_col=text_col), "entities"), key)
+    keyed = cut(base.where(may).withColumn("_key", F.xxhash64(id_col, text_col)), "suspects")  # a small part, read twice
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({(k, *e[:2]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in entities(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))], names=["_key", "kind", "value"])
-
-    own = keyed.select("_key", text_col).mapInArrow(found, "_key long, kind string, value string")
-    maps = own.join(table, ["kind", "value"]).groupBy("_key").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("_map"))
+            rows = sorted({(k, *e[:2], e[4]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in entities(t)})
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2, 3))], names=["_key", "kind", "value", "gender"])
+
+    # texts are few but costly to parse: they are dealt evenly first
+    own = cut(keyed.select("_key", text_col).repartition(parts).mapInArrow(found, "_key long, kind string, value string, gender string"), "entities")
+    tell = F.count_if(F.col("gender") == "f") - F.count_if(F.col("gender") == "m")
+    known = own.groupBy("kind", "value").agg(tell.alias("t")).select("kind", "value", F.when(F.col("t") > 0, "f").when(F.col("t") < 0, "m").otherwise("x").alias("gender"))
+    table = surrogate_table(cut(known, "known"), key)
+    maps = own.select("_key", "kind", "value").join(table, ["kind", "value"]).groupBy("_key").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("_map"))  # a text's own entities
     joined = keyed.join(maps, "_key", "left").drop("_key")
     schema = T.StructType([*base.schema.fields, T.StructField("n_entities", T.LongType())])
     names = base.columns
@@ -223,10 +282,10 @@ def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: st
             for text, own in zip(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), maps):
                 known = {(x["kind"], x["value"]): x["surrogate"] for x in own or ()}
                 out, last, n = [], 0, 0
-                for kind, value, a, b in entities(text) if known else ():
+                for kind, value, a, b, _ in entities(text) if known else ():
                     out += [text[last:a], rendered(kind, known[kind, value], text[a:b])]
                     last = b
-                    n += kind != "domain" and not kind.startswith("given")
+                    n += kind not in ("domain", "given")
                 texts.append("".join([*out, text[last:]]))
                 counts.append(n)
             old = {c: batch.column(batch.schema.get_field_index(c)) for c in names}

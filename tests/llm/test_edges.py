@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; and each operator's own promises."""
 
+import re
+
 import brute
 import numpy as np
 import pytest
@@ -178,9 +180,9 @@ def test_bpe_reuses_chunks_of_other_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, codec = Tokenizer.from_file(path), bpe.Codec(path)
     rng = np.random.default_rng(12)
-    words = ["alpha", "beta", "gamma", "delta's", "epsilon,", "zeta", "eta.", "theta", "iota", "kappa"]
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) + str(rng.choice(["", "", ",", "'s", "."])) for _ in range(900)]
     text = lambda n: " ".join(rng.choice(words, n)) + " " + str(rng.integers(1 << 40))
-    shared = text(400)
+    shared = text(1500)
     for i in range(20):
         one = f"{text(20)} {shared} {text(20)}"
         assert codec.encode(one.encode()).tolist() == t.encode(one, add_special_tokens=False).ids
@@ -365,6 +367,26 @@ def test_surrogates(spark, none):
     assert by_id(surrogates.replace(spark.createDataFrame(rows, SCHEMA), b"other"), "text")[1] != got[1]
 
 
+def test_surrogates_of_planted_people(spark):
+    """People, numbers and addresses that are known by how they were planted, not by the operator's own scan."""
+    people = [(t, g, s) for t, g in (("Mrs", "Anna"), ("Mr", "Jonas"), ("Dr", "Mary-Ann"), ("Frau", "Zoë")) for s in ("Smith", "O'Brien", "Petrov", "Lee-Jones")]
+    rows = [(i, f"{t} {g} {s} called Dr {g} {s}. {s}'s house; {s} left, {g} too. SMITHSON stays.") for i, (t, g, s) in enumerate(people)]
+    got = by_id(surrogates.replace(spark.createDataFrame(rows, SCHEMA), b"k"), "text")
+    names = {}
+    for i, (t, g, s) in enumerate(people):
+        m = re.fullmatch(rf"{t} (\S+) (\S+) called Dr (\S+) (\S+)\. (\S+)'s house; (\S+) left, (\S+) too\. SMITHSON stays\.", got[i])
+        assert m and m[1] == m[3] == m[7] and m[2] == m[4] == m[5] == m[6], got[i]
+        assert names.setdefault(g, m[1]) == m[1] and names.setdefault(s, m[2]) == m[2]
+        assert [c for c in m[2] if c in "-'"] == [c for c in s if c in "-'"] and m[2][0].isupper()
+    assert len(set(names.values())) == len(names) and not set(names) & set(names.values())
+    assert names["Anna"][-1] in "aeio" and names["Jonas"][-1] not in "aeio"
+    text = "Господин Иван Петров и Госпожа Анна Петрова; +1 162-555-6820, 162-555-6820, +44 162-555-6820; 10.0.0.1 172.20.1.2 192.168.3.4 8.8.4.4 fe80::1a 2001:db8::ff00:42:8329 at 12:30:45; x@почта.рф"
+    (r,) = surrogates.replace(spark.createDataFrame([(1, text)], SCHEMA), b"k").collect()
+    m = re.fullmatch(r"Господин (\S+) (\S+) и Госпожа (\S+) (\S+); \+1 (\S+), (\S+), \+44 (\S+); (10\.\S+) (172\.\S+) (192\.168\.\S+) (\S+) (fe80:\S+) (\S+) at 12:30:45; (\S)@(\S+)\.рф", r["text"])
+    assert m and m[4] == m[2] + "а" and m[5] == m[6] != m[7] and 16 <= int(m[9].split(".")[1]) < 32
+    assert not re.search(r"Петров|Анна|555-6820|10\.0\.0\.1|почта|8329", r["text"]) and all("а" <= c <= "я" for c in m[15])
+
+
 def test_surrogates_stay_distinct(spark):
     """A kind with few forms: one-letter local parts."""
     rows = [(i, f"{c}@example.org") for i, c in enumerate("abcdefghij")]
