@@ -1,5 +1,5 @@
 """Brute-force values of the digests, from lists of (id, text)."""
-import hashlib,re,zlib
+import hashlib,re,unicodedata,zlib
 from collections import Counter,defaultdict
 W=re.compile(r'[^\x20\x09-\x0D]+')
 sha=lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -96,3 +96,12 @@ def op8(pages):
     return out
 def op3(docs):
     return [dict(doc_id=d,size=len((t or '').encode())+16,text_crc32=zlib.crc32((t or '').encode())) for d,t in docs]
+def op7_kept(d,t,rules):
+    """The verdict of an ordered list of rules, from features that are counted here anew."""
+    t=t or ''; b=op7(d,t); w=W.findall(t); lines=[l for l in t.split('\n') if W.search(l)]
+    n,c,k=max(1,len(w)),max(1,b['word_chars']),max(1,len(lines))
+    f=dict(n_words=len(w),mean_word=b['word_chars']/n,symbol_share=b['n_symbols']/n,dup_line_share=b['n_dup_lines']/k,repeat_share=b['n_repeat_words']/n,
+           upper_share=sum(unicodedata.category(x)=='Lu' for x in t)/c,digit_share=sum(x in '0123456789' for x in t)/c,mark_share=sum(x in '!?:;=+@^~' for x in t)/n,
+           distinct_share=len(set(w))/n,words_a_line=len(w)/k)
+    bad=any(all(f[a]<=x if o=='<=' else f[a]>x for a,o,x in r) for r in rules)
+    return not b['base_failed'] and not bad

@@ -349,6 +349,24 @@ def test_secrets(spark, docs, none):
     assert {d for d, t in TEXTS if masked[d] != t} == {13, 14, 15}  # a long run of "a" is hexadecimal
 
 
+def test_secrets_of_all_rules_through_the_index(spark):
+    """Spans of every rule, the added ones included, against the expressions run on every text."""
+    key, jwt = "gho_" + "aB3" * 13, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    rows = TEXTS + [(30, f"x {key} y"), (31, f"-----BEGIN RSA PRIVATE KEY-----\nMII\n-----END RSA PRIVATE KEY-----"), (32, f"Bearer {jwt} {jwt}é{key}"), (33, "gho_short eyJx.eyJy.z -----BEGIN PUBLIC KEY-----"), (34, "PASSWD: 'abcdefgh' Api_Key=x1234567")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    keyed = secrets.with_key(df, "doc_id", "text")
+    kinds = {r["doc_id"]: set(r["kinds"]) for r in keyed.join(secrets.candidates(secrets.build_index(keyed)), "_key").collect()}
+    got = by_id(secrets.scan(df), "secret_spans")
+    for d, t in rows:
+        want = []
+        for rule in secrets.RULES:
+            found = [m for m in re.finditer(rule.pattern, t or "") if len(m[rule.group]) >= rule.least]
+            want += [(m.start(), rule.kind, m.end()) for m in found]
+            assert not found or secrets.trigram_query(rule.pattern) == secrets.ANY or rule.kind in kinds[d]
+        assert sorted((s["start"], s["kind"], s["end"]) for s in got[d]) == sorted(want)
+    assert {s["kind"] for d in (30, 31, 32) for s in got[d]} >= {"github", "pem", "jwt"}
+
+
 def test_surrogates(spark, none):
     rows = [
         (1, "Mrs Anna Smith met Dr. Smith and Mr Ivan Петров. Call 162-555-6820 or +1 (162) 555-6820."), (2, None), (3, ""), (4, "ANNA@MAIL.EXAMPLE.COM and anna@mail.example.com 10.0.0.1"),

@@ -4,7 +4,7 @@ import brute
 import duckdb
 import pytest
 
-from countloom.llm import queries
+from countloom.llm import quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,6 +67,9 @@ def test_op6(spark, docs):
 def test_op7(spark, docs):
     got = run(spark, "op7_quality_rules")
     same(got, [brute.op7(*x) for x in docs])
+    sf = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rules = quality.learn(*sf).rules
+    assert {r["doc_id"]: r["kept"] for r in got} == {d: brute.op7_kept(d, t, rules) for d, t in docs} and rules
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
@@ -95,3 +98,14 @@ def test_op1(spark, docs):
         before |= {x[:2] for x in e}
         after |= {x[:2] for x in f}
     assert len(before) == len(after) and not before & after
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rel = con.execute(queries.SQL[name])
+    names = [x[0] for x in rel.description]
+    want = sorted(rel.fetchall(), key=repr)
+    assert sorted((tuple(r[c] for c in names) for r in run(spark, name)), key=repr) == want
