@@ -112,6 +112,20 @@ def shrink(y, shrinker: str, n: int, gamma: float, sigma: float = 1.0, *, rescal
     return kept * unit if rescale else kept
 
 
+#: A rational approximation of the error function, to 1.5e-7 (fixed values).
+ERF_SCALE, ERF_TERMS = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def two_sided(z) -> Column:
+    """The chance that a standard normal value is as far from 0 as ``z``."""
+    y = F.abs(_c(z)) / math.sqrt(2)
+    t = 1 / (1 + ERF_SCALE * y)
+    poly = F.lit(0.0)
+    for a in reversed(ERF_TERMS):
+        poly = (poly + a) * t
+    return poly * F.exp(-y * y)
+
+
 # --- parameters of the quadratic variance
 
 

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from countloom.functions.elementwise import two_sided
+
 #: Points of a query block and of a block that it is held against.
 QUERIES, POINTS = 4096, 16384
 #: Cells of a distance matrix that are in memory at once.
@@ -183,6 +185,18 @@ def mann_whitney_z(df: DataFrame, by: list[str], value: str, positive: str) -> D
     return x.select(*by, "u", F.try_divide(F.col("u") - F.col("n_pos") * F.col("n_neg") / 2.0, sd).alias("z"))
 
 
+def mann_whitney_p(df: DataFrame, by: list[str], value: str, positive: str) -> DataFrame:
+    """(by, p, p_adjusted): two-sided p of the normal score (ties and continuity corrected), and times the number of groups, at most 1."""
+    ties = df.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
+    x = auc(df, by, value, positive).join(ties, by)
+    n, both = F.col("n_pos") + F.col("n_neg"), F.col("n_pos") * F.col("n_neg")
+    sd = F.sqrt(both / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.try_divide(F.greatest(F.abs(F.col("u") - both / 2.0) - 0.5, F.lit(0.0)), sd)
+    p = x.select(*by, two_sided(z).alias("p"))
+    groups = p.agg(F.count("*").alias("groups"))
+    return p.crossJoin(F.broadcast(groups)).select(*by, "p", F.least(F.lit(1.0), F.col("p") * F.col("groups")).alias("p_adjusted"))  # one row
+
+
 def gaussian_affinity(distances: DataFrame, sigma: float) -> DataFrame:
     return distances.select("a", "b", F.exp(-F.col("d2") / (2 * sigma * sigma)).alias("w"))
 

@@ -96,6 +96,20 @@ def mann_whitney_u(spark, d):
     return rounded(x.withColumn("u", F.col("u").cast("double")), "z", digits=5)
 
 
+_P = (
+    _R + ", t AS (SELECT p_brand, sum(t * t * t - t) AS ties FROM (SELECT p_brand, v, count(*) AS t FROM x GROUP BY 1, 2) GROUP BY 1),"
+    " z AS (SELECT p_brand, greatest(abs(r - np * (np + 1) / 2.0 - np * nn / 2.0) - 0.5, 0) / sqrt(np * nn / 12.0 * (np + nn + 1 - ties / ((np + nn) * (np + nn - 1)))) / sqrt(2.0) AS y FROM s JOIN t USING (p_brand)),"
+    " e AS (SELECT p_brand, y, 1 / (1 + 0.3275911 * y) AS t FROM z)"
+    " SELECT p_brand, round(least(1.0, count(*) OVER () * (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t) * exp(-y * y)), 5) AS p_adjusted FROM e"
+)
+
+
+@register(_P)
+def mann_whitney_p(spark, d):
+    """p values times the number of brands."""
+    return rounded(evaluate.mann_whitney_p(_ranked(spark, d), ["p_brand"], "v", "pos").drop("p"), "p_adjusted", digits=5)
+
+
 @register("SELECT p_brand, round(log2((1 + avg(p_retailprice) FILTER (p_size > 25)) / (1 + avg(p_retailprice) FILTER (p_size <= 25))), 6) + 0.0 AS log2fc FROM part GROUP BY 1")
 def log2_fold_change(spark, d):
     hi, lo = (F.avg(F.when(c, F.col("p_retailprice"))) for c in (F.col("p_size") > 25, F.col("p_size") <= 25))

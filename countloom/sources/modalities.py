@@ -24,6 +24,7 @@ class Modality:
     obs_limits: dict = field(default_factory=dict)
     var_limits: dict = field(default_factory=dict)
     subset: str | None = None  # rows also get this part's total and share
+    counts_cells: bool = False  # totals count the non-zeros, they do not add them
 
     def limits(self) -> tuple[dict, dict]:
         base = self.parent.limits() if self.parent else ({}, {})
@@ -32,12 +33,13 @@ class Modality:
     def annotate(self, m: CountMatrix, flag: Column | None = None) -> tuple[DataFrame, DataFrame]:
         """(obs, var) with the modality's columns; existing columns of the same names are updated."""
         found = F.count(F.when(F.col("value") != 0, 1))
-        aggs = [F.sum("value").alias(self.total), found.alias(self.detected)]
+        total = found if self.counts_cells else F.sum("value")
+        aggs = [total.alias(self.total), found.alias(self.detected)]
         if self.subset:
             part = F.sum(F.when(flag if flag is not None else F.lit(False), F.col("value")).otherwise(0.0))
             aggs += [part.alias(f"total_{self.subset}"), F.coalesce(F.try_divide(part, F.sum("value")), F.lit(0.0)).alias(f"pct_{self.subset}")]
         o = m.cells.groupBy("row_id").agg(*aggs)
-        v = m.cells.groupBy("col_id").agg(F.sum("value").alias(self.var_total), found.alias(self.var_detected))
+        v = m.cells.groupBy("col_id").agg(total.alias(self.var_total), found.alias(self.var_detected))
         return _updated(m.obs, o, "row_id"), _updated(m.var, v, "col_id")
 
     def filter(self, m: CountMatrix, flag: Column | None = None, n_iters: int = 2) -> CountMatrix:
@@ -51,7 +53,7 @@ def _updated(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 SIMULATION = Modality("simulation", "total", "total_nz", "total", "total_nz", obs_limits={"total_nz": {"min": 10}}, var_limits={"total_nz": {"min": 10}})
-CONTACTS = Modality("contacts", "total_contacts", "detected_contacts", "total_contacts", "detected_contacts")
+CONTACTS = Modality("contacts", "total_contacts", "detected_contacts", "total_contacts", "detected_contacts", counts_cells=True)
 ACCESSIBILITY = Modality("accessibility", "total_peaks", "total_sites", "total_peaks", "total_cells")
 MULTIOME_ACCESSIBILITY = Modality("multiome accessibility", "total_peaks", "total_sites", "total_peaks", "total_cells", ACCESSIBILITY, {"total_sites": {"min": 100}}, {"total_cells": {"min": 50}})
 EXPRESSION = Modality("expression", "total_UMIs", "total_genes", "total_UMIs", "total_cells", subset="MT_UMIs")

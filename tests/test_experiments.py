@@ -70,6 +70,23 @@ def test_modalities(spark, m):
         modalities.Dataset("d", modalities.GENOTYPES, {"total_SNPs": {"min": 99}}).filter({"a": m})
 
 
+def test_contacts_count_cells(spark, m):
+    o, v = modalities.CONTACTS.annotate(m)
+    x = dense(m)
+    got = {r["row_id"]: r["total_contacts"] for r in o.collect()}
+    assert [got[i] for i in range(30)] == (x != 0).sum(1).tolist()
+    got = {r["col_id"]: r["total_contacts"] for r in v.collect()}
+    assert [got[j] for j in range(12)] == (x != 0).sum(0).tolist()
+
+
+def test_two_sided_p(spark):
+    from countloom.functions.elementwise import two_sided
+
+    z = [0.0, 0.1, 1.0, -1.96, 3.0, 6.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(two_sided("z")).collect()]
+    assert got == pytest.approx([math.erfc(abs(x) / math.sqrt(2)) for x in z], abs=2e-7)
+
+
 def test_classifier_on_separated_points(spark):
     rows = [(i, [float(i % 2 * 10), float(i % 7) / 10], i % 2) for i in range(60)]
     p = spark.createDataFrame(rows, "id long, values array<double>, label int")
