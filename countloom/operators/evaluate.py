@@ -108,6 +108,18 @@ def block_pairs(points: DataFrame, columns: list[str], run, schema: str) -> Data
 
 def nearest_in_folds(points: DataFrame, k: int) -> DataFrame:
     """(a, la, fa, lb): labels of the k nearest points of other folds in order, ties by id; ``points`` are (id, values, label, fold)."""
+    return _nearest_lists(points, k).select("a", "la", F.col("fa").cast("int").alias("fa"), F.col("near")["lb"].alias("lb"))
+
+
+def nearest_of_all(points: DataFrame, k: int) -> DataFrame:
+    """(a, b, rank, d2): the k nearest other points of every point, ties by id, in blocks; ``points`` are (id, values)."""
+    each = points.select("id", "values", F.lit(0).alias("label"), F.col("id").alias("fold"))  # a point is its own fold
+    near = _nearest_lists(each, k).select("a", F.posexplode("near").alias("at", "n"))
+    return near.select("a", F.col("n.b").alias("b"), (F.col("at") + 1).alias("rank"), F.col("n.d2").alias("d2"))
+
+
+def _nearest_lists(points: DataFrame, k: int) -> DataFrame:
+    """(a, la, fa, near): per point the k nearest (d2, b, lb) of other folds."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         x, y = _values(left, "values"), _values(right, "values")
@@ -127,10 +139,10 @@ def nearest_in_folds(points: DataFrame, k: int) -> DataFrame:
         lists = lambda i, kind: pa.array([f[i] for f in found], pa.list_(kind))
         return pa.table({"a": left.column("id").take(rows), "la": left.column("label").take(rows), "fa": left.column("fold").take(rows), "d2": lists(1, pa.float64()), "b": lists(2, pa.int64()), "lb": lists(3, pa.int32())})
 
-    p = points.select(F.col("id").cast("long").alias("id"), "values", F.col("label").cast("int").alias("label"), "fold")
-    parts = block_pairs(p, ["label", "fold"], run, "a long, la int, fa int, d2 array<double>, b array<long>, lb array<int>")
+    p = points.select(F.col("id").cast("long").alias("id"), "values", F.col("label").cast("int").alias("label"), F.col("fold").cast("long").alias("fold"))
+    parts = block_pairs(p, ["label", "fold"], run, "a long, la int, fa long, d2 array<double>, b array<long>, lb array<int>")
     best = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("d2", "b", "lb")))), 1, k)
-    return parts.groupBy("a", "la", "fa").agg(best["lb"].alias("lb"))
+    return parts.groupBy("a", "la", "fa").agg(best.alias("near"))
 
 
 def silhouette_of_all(points: DataFrame) -> DataFrame:
@@ -207,8 +219,32 @@ def adaptive_affinity(distances: DataFrame, k: int) -> DataFrame:
     return distances.join(kth, "a").join(kth.select(F.col("a").alias("b"), F.col("s").alias("t")), "b").select("a", "b", F.exp(-F.col("d2") / (F.col("s") * F.col("t"))).alias("w"))
 
 
+def mutual_affinity(distances: DataFrame, k: int) -> DataFrame:
+    """The mean of exp(-d^2 / s_a^2) and exp(-d^2 / s_b^2), s the distance to the k-th neighbour; a point's own affinity is 1."""
+    kth = nearest(distances, k).where(F.col("rank") == k).select("a", F.col("d2").alias("s2"))
+    both = distances.join(kth, "a").join(kth.select(F.col("a").alias("b"), F.col("s2").alias("t2")), "b")
+    w = both.select("a", "b", ((F.exp(-F.col("d2") / F.col("s2")) + F.exp(-F.col("d2") / F.col("t2"))) / 2).alias("w"))
+    return w.unionByName(kth.select("a", F.col("a").alias("b"), F.lit(1.0).alias("w")))
+
+
+def sparse_affinity(points: DataFrame, k: int) -> DataFrame:
+    """Of every point's k nearest: exp(-d^2 / s^2), s the distance to neighbour k + 1, averaged with its transpose.
+
+    The neighbours come from blocks; n k edges leave them at most twice. Where neighbour k + 1 is a copy of the point (s = 0) its
+    k nearest are copies too and have affinity 1.
+    """
+    near = nearest_of_all(points, k + 1)
+    s2 = near.where(F.col("rank") == k + 1).select("a", F.col("d2").alias("s2"))
+    half = near.where(F.col("rank") <= k).join(s2, "a").select("a", "b", (F.exp(-F.coalesce(F.try_divide("d2", "s2"), F.lit(0.0))) / 2).alias("w"))
+    return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
 def normalized_graph(affinity: DataFrame, kind: str = "normalized") -> DataFrame:
-    """(a, b, p): w / sqrt(d_a d_b), or w / d_a for a random walk."""
+    """(a, b, p): w / sqrt(d_a d_b), w / d_a for a random walk, or w itself where ``unnormalized``."""
+    if kind not in ("normalized", "random_walk", "unnormalized"):
+        raise ValueError("kind is normalized, random_walk or unnormalized")
+    if kind == "unnormalized":
+        return affinity.select("a", "b", F.col("w").alias("p"))
     d = affinity.groupBy("a").agg(F.sum("w").alias("d"))
     x = affinity.join(d, "a")
     if kind == "random_walk":

@@ -62,6 +62,21 @@ def double_center(m: CountMatrix) -> DataFrame:
     return m.densify().join(r, "row_id").join(c, "col_id").join(F.broadcast(g)).select("row_id", "col_id", (F.col("value") - F.col("rm") - F.col("cm") + F.col("gm")).alias("value"))
 
 
+def centering(m: CountMatrix) -> tuple[DataFrame, DataFrame, float]:
+    """(row_id, rm), (col_id, cm) and the grand mean, zeros counted: what ``double_center`` takes away and ``uncenter`` adds."""
+    rows, cols = m.shape
+    r = sums(m, 1).select("row_id", (F.col("total") / cols).alias("rm"))
+    c = sums(m, 0).select("col_id", (F.col("total") / rows).alias("cm"))
+    return r, c, m.cells.agg(F.sum("value") / (rows * cols)).first()[0] or 0.0
+
+
+def uncenter(cells: DataFrame, means: tuple[DataFrame, DataFrame, float]) -> DataFrame:
+    """The inverse of ``double_center`` under the means of the matrix that was fitted; lines without a mean count as zero lines."""
+    r, c, g = means
+    x = cells.join(r, "row_id", "left").join(c, "col_id", "left")
+    return x.select("row_id", "col_id", (F.col("value") + F.coalesce("rm", F.lit(0.0)) + F.coalesce("cm", F.lit(0.0)) - g).alias("value"))
+
+
 def double_center_nonzero(m: CountMatrix) -> DataFrame:
     """The same on stored non-zeros, with means over non-zeros; zeros stay zeros."""
     x = m.cells.where("value <> 0")

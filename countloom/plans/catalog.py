@@ -71,4 +71,4 @@ CM = "WITH " + _count("o_custkey", "strftime(o_orderdate, '%Y-%m')", "orders") +
 SB = "WITH " + _count("l_suppkey", "p_brand", "lineitem JOIN part ON l_partkey = p_partkey") + AXES
 DENSE = ", dense AS (SELECT o.row_id, v.col_id, coalesce(c.value, 0.0) AS value FROM obs o CROSS JOIN var v LEFT JOIN cells c ON c.row_id = o.row_id AND c.col_id = v.col_id)"
 
-from countloom.plans import cells as _cells, evaluation as _evaluation, experiments as _experiments, models as _models, pipelines as _pipelines  # noqa: E402, F401
+from countloom.plans import algebra as _algebra, cells as _cells, evaluation as _evaluation, experiments as _experiments, models as _models, pipelines as _pipelines  # noqa: E402, F401

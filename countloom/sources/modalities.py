@@ -47,6 +47,33 @@ class Modality:
         return filters.iterative_filter(m, lambda x: self.annotate(x, flag), obs, var, n_iters)
 
 
+def annotate_paired(m: CountMatrix, assay: Column, flag: Column) -> tuple[DataFrame, DataFrame]:
+    """(obs, var) of two assays in one table: ``assay`` says of a column whether it is a site (true) or a gene, ``flag`` which genes are apart.
+
+    Rows get totals and detections of either assay and the share of the flagged genes (0 without genes); columns get theirs.
+    """
+    x = m.cells.join(m.var.select("col_id", assay.alias("_site"), (flag & ~assay).alias("_flag")), "col_id")
+    found = F.col("value") != 0
+    part = lambda c: F.sum(F.when(c, F.col("value")).otherwise(0.0))
+    o = x.groupBy("row_id").agg(
+        F.count(F.when(F.col("_site") & found, 1)).alias("total_sites"), part(F.col("_site")).alias("total_peaks"),
+        F.count(F.when(~F.col("_site") & found, 1)).alias("total_genes"), part(~F.col("_site")).alias("total_UMIs"), part(F.col("_flag")).alias("total_MT_UMIs"),
+    )
+    o = o.withColumn("pct_MT_UMIs", F.coalesce(F.try_divide("total_MT_UMIs", "total_UMIs"), F.lit(0.0)))
+    v = x.groupBy("col_id").agg(F.count(F.when(found, 1)).alias("total_cells"), F.sum("value").alias("total_counts"))
+    return _updated(m.obs, o, "row_id"), _updated(m.var, v, "col_id")
+
+
+def annotate_reads(obs: DataFrame, reads: DataFrame, flag: Column) -> DataFrame:
+    """``obs`` (row_id, total_reads, ...) with mapped reads and shares from a second layer of cells; ``flag`` is on its col_id.
+
+    Rows without reads have none mapped; a share of nothing is 0.
+    """
+    x = reads.groupBy("row_id").agg(F.sum("value").alias("mapped_reads"), F.sum(F.when(flag, F.col("value")).otherwise(0.0)).alias("MT_reads"))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return _updated(obs, x, "row_id").withColumns({"pct_mapped_reads": share("mapped_reads", "total_reads"), "pct_MT_reads": share("MT_reads", "mapped_reads")})
+
+
 def _updated(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     made = [c for c in new.columns if c != key]
     return table.drop(*made).join(new, key, "left").na.fill(0, made)
@@ -62,8 +89,10 @@ DROPLET_EXPRESSION = Modality("droplet expression", "total_UMIs", "total_genes",
 GENOTYPES = Modality("genotypes", "total_counts", "total_SNPs", "total_counts", "total_obs")
 IMAGING = Modality("imaging", "total", "total_pixels", "total", "total_frames", obs_limits={"total_pixels": {"min": 1}}, var_limits={"total_frames": {"min": 1}})
 SPATIAL = Modality("spatial", "total_counts", "total_genes", "total_counts", "total_obs", obs_limits={"total_genes": {"min": 20}}, var_limits={"total_obs": {"min": 100}})
+READ_EXPRESSION = Modality("read expression", "total_UMIs", "total_genes", "total_UMIs", "total_cells", EXPRESSION, subset="MT_UMIs")
+PAIRED_ASSAYS = Modality("paired assays", "total_counts", "total_features", "total_counts", "total_cells")
 METHYLATION = Modality("methylation", "total", "total_bins", "total", "total_obs")
-MODALITIES = {m.name: m for m in (SIMULATION, CONTACTS, ACCESSIBILITY, MULTIOME_ACCESSIBILITY, EXPRESSION, PAIRED_EXPRESSION, DROPLET_EXPRESSION, GENOTYPES, IMAGING, SPATIAL, METHYLATION)}
+MODALITIES = {m.name: m for m in (SIMULATION, CONTACTS, ACCESSIBILITY, MULTIOME_ACCESSIBILITY, EXPRESSION, PAIRED_EXPRESSION, DROPLET_EXPRESSION, GENOTYPES, IMAGING, SPATIAL, READ_EXPRESSION, PAIRED_ASSAYS, METHYLATION)}
 
 
 @dataclass(frozen=True)
