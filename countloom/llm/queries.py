@@ -106,6 +106,17 @@ QUERIES = {
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: md5(array_to_string(ws[i : i + 4], ' '))))) AS grams FROM d WHERE len(ws) > 0),
+        c AS MATERIALIZED (SELECT grams, len(grams) AS n, min(doc_id) AS id FROM s GROUP BY 1),
+        g AS MATERIALIZED (SELECT id, n, unnest(grams) AS gram FROM c),
+        e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        e2 AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(id, top) AS (SELECT id, id FROM c UNION SELECT e2.b, r.top FROM r JOIN e2 ON e2.a = r.id WHERE r.top < e2.b),
+        t AS (SELECT id, min(top) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, CAST(coalesce(len(s.grams), 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+        FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (grams) LEFT JOIN t USING (id)""",
     "op4_decontaminate": f"""
         WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
         g AS (SELECT DISTINCT item, least(10, len(ws)) AS n, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),

@@ -1,5 +1,7 @@
 """Brute-force values of the digests, from lists of (id, text)."""
-import hashlib,re,unicodedata,zlib
+import hashlib,re,struct,unicodedata,zlib
+import numpy as np
+import xxhash
 from collections import Counter,defaultdict
 W=re.compile(r'[^\x20\x09-\x0D]+')
 sha=lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -94,8 +96,20 @@ def op8(pages):
         h=(h or '').encode(); f=first.get(h); rev=f is not None and f!=p
         out.append(dict(page_id=p,payload_bytes=len(h),payload_digest=hashlib.sha256(h).hexdigest(),record_type='revisit' if rev else 'response',refers_to=f if rev else None))
     return out
-def op3(docs):
-    return [dict(doc_id=d,size=len((t or '').encode())+16,text_crc32=zlib.crc32((t or '').encode())) for d,t in docs]
+def op3(docs,n=40,seed=42):
+    """Shards by rendezvous hashing (one 64-bit hash chained through seed, shard and id), slots by a seeded shuffle; for texts that fit one bucket a shard."""
+    def drawn(d,k):
+        def h(i):
+            v=42
+            for x,f in ((seed,'<i'),(i,'<i'),(d,'<q')): v=xxhash.xxh64_intdigest(struct.pack(f,x),v)
+            return v-(1<<64) if v>>63 else v
+        return max(range(k),key=lambda i:(h(i),i))
+    out=[dict(doc_id=d,size=len((t or '').encode())+16,text_crc32=zlib.crc32((t or '').encode()),law='key',shard=drawn(d,n),grown_shard=drawn(d,n+1)) for d,t in docs]
+    for s in range(n):
+        rows=sorted((r for r in out if r['shard']==s),key=lambda r:(r['doc_id'],r['text_crc32'],r['size']))
+        order=np.arange(len(rows)); np.random.Generator(np.random.PCG64([seed,s])).shuffle(order)
+        for slot,i in enumerate(order): rows[i]['slot']=slot
+    return out
 def op7_kept(d,t,rules):
     """The verdict of an ordered list of rules, from features that are counted here anew."""
     t=t or ''; b=op7(d,t); w=W.findall(t); lines=[l for l in t.split('\n') if W.search(l)]
