@@ -148,3 +148,27 @@ def from_raw(b: float, c: float, p: float = 1.0) -> tuple[float, float]:
 def convex_of(bhat: float, chat: float) -> tuple[float, float]:
     """(q, sigma)."""
     return chat / (bhat + chat), math.sqrt(bhat + chat)
+
+
+def t_quantile(p: float, df) -> Column:
+    """Quantile of Student's t by the expansion of Fisher and Cornish around the normal one; exact for 1, 2 and 4 degrees.
+
+    For p = 0.975 it is within 0.004 at 3 degrees, 3e-4 at 5, 1e-5 at 10; null for fewer than 1.
+    """
+    from statistics import NormalDist
+
+    n, z, a = _c(df).cast("double"), NormalDist().inv_cdf(p), 4 * p * (1 - p)
+    terms = (
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    series = F.lit(z)
+    for i, g in enumerate(terms, 1):
+        series = series + F.lit(g) / F.pow(n, F.lit(float(i)))
+    sign = math.copysign(1.0, p - 0.5)
+    two = (2 * p - 1) * math.sqrt(2 / a)
+    four = sign * 2 * math.sqrt(max(0.0, math.cos(math.acos(math.sqrt(a)) / 3) / math.sqrt(a) - 1))
+    one = math.tan(math.pi * (p - 0.5))
+    return F.when(n == 1, one).when(n == 2, two).when(n == 4, four).when(n > 1, series)

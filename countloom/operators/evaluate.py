@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from countloom.functions.elementwise import two_sided
+from countloom.functions.elementwise import t_quantile, two_sided
 
 #: Points of a query block and of a block that it is held against.
 QUERIES, POINTS = 4096, 16384
@@ -266,3 +266,10 @@ def kde(points: DataFrame, grid: DataFrame, bandwidth: float) -> DataFrame:
 
     k = F.exp(-F.pow((F.col("g") - F.col("x")) / bandwidth, 2) / 2) / (bandwidth * sqrt(2 * pi))
     return points.join(F.broadcast(grid)).groupBy("g").agg(F.avg(k).alias("density"))
+
+
+def mean_t_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """(by, n, mean, half_width): the interval of the mean by Student's t; one value has no width (null)."""
+    x = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
+    half = t_quantile((1 + level) / 2, F.col("n") - 1) * F.col("_s") / F.sqrt("n")
+    return x.select(*by, "n", "mean", F.when(F.col("n") > 1, half).alias("half_width"))

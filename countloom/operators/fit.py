@@ -88,6 +88,19 @@ def minimiser(fits: DataFrame) -> dict:
     return {"q": best, "sigma": at, "bhat": bhat, "chat": chat, "b": b, "c": c}
 
 
+def minimisers(fits: DataFrame) -> DataFrame:
+    """(submatrix, q, sigma, bhat, chat, b, c): each submatrix's own minimum (a row for each of a few submatrices)."""
+    kept = cut(fits, "fits")
+    names = sorted(r[0] for r in kept.select("submatrix").distinct().collect())
+    rows = [(i, *(float(minimiser(kept.where(F.col("submatrix") == i))[k]) for k in ("q", "sigma", "bhat", "chat", "b", "c"))) for i in names]
+    return fits.sparkSession.createDataFrame(rows, "submatrix int, q double, sigma double, bhat double, chat double, b double, c double")
+
+
+def spread(minima: DataFrame) -> DataFrame:
+    """One row: mean and (population) variance over submatrices of bhat and chat; the means are the fit by minimisers."""
+    return minima.agg(*(f(c).alias(f"{c}_{n}") for c in ("bhat", "chat") for n, f in (("mean", F.avg), ("var", F.var_pop))))
+
+
 #: Components that a partial spectrum begins with; it grows by half until not all of them are signal.
 START_COMPONENTS = 200
 

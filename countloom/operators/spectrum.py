@@ -293,3 +293,8 @@ def reconstruct(m: CountMatrix, f: Factors, values: np.ndarray) -> DataFrame:
     line, other = ("col_id", "row_id") if f.transposed else ("row_id", "col_id")
     left = factor(m, f, r, 1 if f.transposed else 0)
     return outer(left, line, f.v[:, :r] * np.asarray(values), f.names, other)
+
+
+def around_rank(values: DataFrame, rank: int, n: int = 10) -> DataFrame:
+    """The rows of a spectrum table (component, ...) within ``n`` of the rank's edge, and on which side each is."""
+    return values.where(F.col("component").between(rank - n, rank + n - 1)).withColumn("signal", F.col("component") < rank)

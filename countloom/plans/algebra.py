@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from countloom.bundle import CountMatrix
-from countloom.operators import algebra, evaluate, normalise
+from countloom.operators import algebra, evaluate, markers, normalise
 from countloom.plans.catalog import DENSE, SM, UH, register, rounded, supplier_month, table, user_hour
 from countloom.sources import modalities
 
@@ -169,3 +169,36 @@ def read_layer_annotations(spark, d):
     obs = x.groupBy(F.col("l_suppkey").alias("row_id")).agg(F.sum("l_quantity").alias("total_reads"))
     reads = CountMatrix.from_table(x.where("l_returnflag <> 'N'"), F.col("l_suppkey"), F.col("p_size"), F.col("l_quantity")).cells
     return rounded(modalities.annotate_reads(obs, reads, F.col("col_id") < 10), "pct_mapped_reads", "pct_MT_reads")
+
+
+# --- statistics and markers
+
+_Z = 1.959963984540054  # the normal quantile of 0.975
+_TERMS = (_Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160)
+_T = "(" + " + ".join(f"CAST({g!r} AS DOUBLE) / pow(count(*) - 1, {i})" for i, g in enumerate(_TERMS)) + ")"
+
+
+@register(f"SELECT CAST(day(o_orderdate) AS INTEGER) AS day, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS mean, round({_T} * stddev_samp(o_totalprice) / sqrt(count(*)), 4) AS half_width FROM orders GROUP BY 1")
+def mean_t_interval(spark, d):
+    """Mean price by day of the month and its 95 % interval."""
+    return rounded(evaluate.mean_t_interval(table(spark, d, "orders").withColumn("day", F.dayofmonth("o_orderdate")), ["day"], "o_totalprice"), "mean", "half_width", digits=4)
+
+
+_LABELS = {"plain": ["STANDARD", "ECONOMY"], "sized": ["SMALL", "MEDIUM", "LARGE"]}
+_MARK = "WITH x AS (SELECT DISTINCT upper(replace(p_brand, '-', '')) || p_size AS feature, CASE WHEN p_type IN ('STANDARD', 'ECONOMY') THEN 'plain' ELSE 'sized' END AS label FROM part WHERE p_type <> 'PROMO')"
+
+
+def _markers(spark, d):
+    listed = table(spark, d, "part").select(F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("name"), "p_type")
+    return markers.from_lists(listed, "name", "p_type")
+
+
+@register(_MARK + " SELECT feature, bool_or(label = 'plain') AS plain, bool_or(label = 'sized') AS sized FROM x GROUP BY 1")
+def marker_flags(spark, d):
+    """Brands and sizes of parts by the parts' types, under two labels."""
+    return markers.flags(markers.mapped(_markers(spark, d), _LABELS), list(_LABELS))
+
+
+@register(_MARK + " SELECT feature, min(label) AS label FROM x GROUP BY 1 HAVING count(*) = 1")
+def marker_exclusive(spark, d):
+    return markers.mapped(_markers(spark, d), _LABELS, exclusive=True)

@@ -100,3 +100,51 @@ def test_assays_and_layers_with_empty_lines(spark):
     obs = spark.createDataFrame([(1, 8.0), (2, 0.0)], "row_id long, total_reads double")
     got = {r.row_id: (r.mapped_reads, r.pct_mapped_reads, r.pct_MT_reads) for r in modalities.annotate_reads(obs, m.cells.where("row_id = 1"), F.col("col_id") == 1).collect()}
     assert got == {1: (5.0, 0.625, 0.4), 2: (0.0, 0.0, 0.0)}
+
+
+def test_t_quantiles(spark):
+    from countloom.functions.elementwise import t_quantile
+
+    known = {1: 12.7062, 2: 4.3027, 4: 2.7764, 5: 2.5706, 10: 2.2281, 30: 2.0423, 120: 1.9799}  # printed tables
+    x = spark.createDataFrame([(k,) for k in [0, *known]], "n long").select("n", t_quantile(0.975, F.col("n")).alias("t"))
+    got = {r.n: r.t for r in x.collect()}
+    assert got.pop(0) is None and got == pytest.approx(known, abs=4e-4)
+    y = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("c", None)], "k string, v double")
+    rows = {r.k: (r.n, r.mean, r.half_width) for r in evaluate.mean_t_interval(y, ["k"], "v").collect()}
+    assert rows["a"] == pytest.approx((2, 2.0, 12.7062), abs=1e-3) and rows["b"] == (1, 5.0, None) and rows["c"] == (0, None, None)
+
+
+def test_markers(spark):
+    from countloom.operators import markers
+
+    wide = spark.createDataFrame([("Cd-3", 1, 0), ("CD19", None, 1), (None, 1, 1)], "gene string, t int, b int")
+    w = markers.from_flags(wide, "gene", ["t", "b"])
+    assert {tuple(r) for r in w.collect()} == {("CD3", "t"), ("CD19", "b")}
+    text = spark.createDataFrame([("cd3", "t: 4.5; nk: 2"), ("X", None), ("cd19", "b|t")], "gene string, said string")
+    listed = markers.from_lists(text, "gene", "said")
+    assert {tuple(r) for r in listed.collect()} == {("CD3", "t"), ("CD3", "nk"), ("CD19", "b"), ("CD19", "t")}
+    assert {tuple(r) for r in markers.combined(listed, [w]).collect()} == {("CD3", "t"), ("CD19", "b")}
+    assert markers.combined(w, [listed], how="union").count() == 4
+    names = {"T": ["t", "nk"], "B": ["b"]}
+    assert {tuple(r) for r in markers.mapped(listed, names).collect()} == {("CD3", "T"), ("CD19", "B"), ("CD19", "T")}
+    assert [tuple(r) for r in markers.mapped(listed, names, exclusive=True).collect()] == [("CD3", "T")]
+    assert {tuple(r) for r in markers.flags(markers.mapped(listed, names), ["T", "B"]).collect()} == {("CD3", True, False), ("CD19", True, True)}
+    for bad in ({}, {"T": []}, {"T": ["t"], "B": ["t"]}):
+        with pytest.raises(ValueError):
+            markers.mapped(listed, bad)
+    with pytest.raises(ValueError):
+        markers.combined(listed, how="other")
+
+
+def test_spread_of_submatrices(spark):
+    from countloom.operators import fit, spectrum
+    from countloom.sources import simulate
+
+    m = simulate.counts(spark, 40, 20, rank=2, library=400.0, seed=5)
+    fits = fit.quadratic_fits(m, side=15, n_subsamples=2, qits=4)
+    minima = fit.minimisers(fits).collect()
+    got = fit.spread(fit.minimisers(fits)).first()
+    assert [r.submatrix for r in minima] == [0, 1]
+    assert got.bhat_mean == pytest.approx(np.mean([r.bhat for r in minima])) and got.chat_var == pytest.approx(np.var([r.chat for r in minima]))
+    s = spark.range(30).select(F.col("id").cast("int").alias("component"))
+    assert {(r.component, r.signal) for r in spectrum.around_rank(s, 3, 5).collect()} == {(i, i < 3) for i in range(8)}
