@@ -112,6 +112,20 @@ def stability(m: CountMatrix, *, share: float = 0.75, repeats: int = 3, seed: in
     return spark.createDataFrame(rows, "repeat int, rank int, sigma double, ks double")
 
 
+def parameter_table(samples: dict[str, CountMatrix], metric=None, **options) -> DataFrame:
+    """(sample, rows, columns, rank, sigma, ks, bhat, chat, b, c): one fit for each sample, whose names and results are few.
+
+    A ``metric``, a function of (matrix, fit) to a number, adds a column of that name. What a fit does not estimate is null.
+    """
+    rows, names = [], ("bhat", "chat", "b", "c")
+    for name, m in sorted(samples.items()):
+        f = fitting.fit(m, **options)
+        found = [None if f.parameters.get(k) is None else float(f.parameters[k]) for k in names]
+        rows.append((name, *m.shape, f.rank, float(f.sigma), float(f.kst), *found, *([] if metric is None else [float(metric(m, f))])))
+    schema = "sample string, rows long, columns long, rank int, sigma double, ks double, " + ", ".join(f"{k} double" for k in names)
+    return next(iter(samples.values())).cells.sparkSession.createDataFrame(rows, schema + ("" if metric is None else f", {metric.__name__} double"))
+
+
 def depth_correlation(m: CountMatrix, k: int = 5) -> DataFrame:
     """(component, r): Pearson correlation of each component's scores with the rows' totals."""
     depth = m.cells.groupBy("row_id").agg(F.sum("value").alias("depth"))

@@ -148,3 +148,18 @@ def test_spread_of_submatrices(spark):
     assert got.bhat_mean == pytest.approx(np.mean([r.bhat for r in minima])) and got.chat_var == pytest.approx(np.var([r.chat for r in minima]))
     s = spark.range(30).select(F.col("id").cast("int").alias("component"))
     assert {(r.component, r.signal) for r in spectrum.around_rank(s, 3, 5).collect()} == {(i, i < 3) for i in range(8)}
+
+
+def test_parameter_table(spark):
+    from countloom.operators import experiments, fit
+    from countloom.sources import simulate
+
+    m = simulate.counts(spark, 30, 12, rank=2, library=400.0, seed=9)
+
+    def signal(matrix, fitted):
+        return fitted.rank / 2
+
+    got = experiments.parameter_table({"one": m}, signal, parameters={"bhat": 1.0, "chat": 0.0}).collect()
+    f = fit.fit(m, {"bhat": 1.0, "chat": 0.0})
+    assert [(r["sample"], r["rows"], r["columns"], r["rank"]) for r in got] == [("one", *m.shape, f.rank)]
+    assert got[0].sigma == pytest.approx(f.sigma) and got[0].signal == f.rank / 2
