@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, surrogates as _surrogates, warc as _warc
+from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, prefix_bpe as _prefix, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, surrogates as _surrogates, warc as _warc
 from countloom.session import scratch
 
 
@@ -91,6 +91,17 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, _secrets.BASE_KINDS), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secret_spans")).alias("spans"))
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = _prefix.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, packed=True).select("doc_id", "ids")
+    return _prefix.decode(coded, vocabulary).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -102,6 +113,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_prefix_bpe": op11_prefix_bpe,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
