@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from countloom.llm import bpe as _bpe, decontaminate as _decon, jaccard as _jaccard, prefix_bpe as _prefix, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, surrogates as _surrogates, warc as _warc
+from countloom.llm import bpe as _bpe, conversation_trie as _trie, decontaminate as _decon, jaccard as _jaccard, prefix_bpe as _prefix, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, surrogates as _surrogates, warc as _warc
 from countloom.session import scratch
 
 
@@ -102,6 +102,10 @@ def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trie.trie(_trie.rebuilt(_read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -114,6 +118,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
     "op11_prefix_bpe": op11_prefix_bpe,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -162,4 +167,16 @@ SQL: dict[str, str] = {
         e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
         k AS (SELECT e.doc_id, count(c.pos) AS n_removed, string_agg(CASE WHEN c.pos IS NULL THEN word END, ' ' ORDER BY e.pos) AS kept FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.pos = e.pos GROUP BY 1)
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op13_conversation_trie": """
+        WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        k AS (SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS h FROM t),
+        p AS (SELECT k.conv_id, list_concat(coalesce(b.ts, [])[1 : h], k.ts[h + 1 :]) AS ts FROM k LEFT JOIN t b ON b.conv_id = k.conv_id - k.conv_id % 5),
+        n AS MATERIALIZED (SELECT conv_id, depth, md5(CAST(to_json(ts[1 : depth]) AS VARCHAR)) AS id, CASE WHEN depth > 0 THEN md5(CAST(to_json(ts[1 : depth - 1]) AS VARCHAR)) END AS up, CASE WHEN depth > 0 THEN strlen(ts[depth].x) ELSE 0 END AS bytes, depth = len(ts) AS ends
+            FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS depth FROM p)),
+        g AS MATERIALIZED (SELECT id, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM n GROUP BY 1),
+        c AS (SELECT up AS id, count(*) AS n_children FROM g GROUP BY 1),
+        s AS (SELECT n.id, sum(g.own) AS saved_tokens, sum(CASE WHEN c.id IS NULL THEN 1 ELSE 0 END) AS n_leaves FROM g JOIN n ON n.conv_id = g.conv_id AND n.depth <= g.depth LEFT JOIN c ON c.id = g.id GROUP BY 1)
+        SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(g.n_convs AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, g.ends_sha256
+        FROM g LEFT JOIN g u ON u.id = g.up LEFT JOIN c ON c.id = g.id JOIN s ON s.id = g.id""",
 }

@@ -103,7 +103,7 @@ def test_op1(spark, docs):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel = con.execute(queries.SQL[name])
     names = [x[0] for x in rel.description]
