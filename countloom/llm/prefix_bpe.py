@@ -38,7 +38,7 @@ from countloom.llm.bpe import PATTERN, _id_array, _mapped
 from countloom.llm.common import byte_column
 
 #: Pieces and pairs that a worker remembers (the lately met ones, twice), and characters of a text that are split at once.
-PIECES, PAIRS, SLICE = 400_000, 500_000, 1 << 20
+PIECES, PAIRS, SLICE = 200_000, 500_000, 1 << 20
 
 
 class Recent(dict):
