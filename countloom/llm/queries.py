@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from countloom.llm import bpe as _bpe, conversation_trie as _trie, decontaminate as _decon, jaccard as _jaccard, prefix_bpe as _prefix, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, surrogates as _surrogates, warc as _warc
+from countloom.llm import bpe as _bpe, conversation_trie as _trie, decontaminate as _decon, jaccard as _jaccard, prefix_bpe as _prefix, quality as _quality, secrets as _secrets, sharding as _sharding, substring_dedup as _substring, suffix_dedup as _suffix, surrogates as _surrogates, token_alignment as _align, warc as _warc
 from countloom.session import scratch
 
 
@@ -102,6 +104,12 @@ def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, a, b = _read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = _align.align(docs, a, b, digest=lambda said: hashlib.sha256(said.encode()).hexdigest())
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce("groups", F.lit("")).alias("groups_sha256"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trie.trie(_trie.rebuilt(_read(spark, sf_dir, "conversations")))
 
@@ -118,6 +126,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scans": op10_secret_scans,
     "op11_prefix_bpe": op11_prefix_bpe,
+    "op12_token_alignment": op12_token_alignment,
     "op13_conversation_trie": op13_conversation_trie,
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
