@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -101,9 +101,6 @@ def spread(minima: DataFrame) -> DataFrame:
     return minima.agg(*(f(c).alias(f"{c}_{n}") for c in ("bhat", "chat") for n, f in (("mean", F.avg), ("var", F.var_pop))))
 
 
-#: Components that a partial spectrum begins with; it grows by half until not all of them are signal.
-START_COMPONENTS = 200
-
 
 def shrunk(s: np.ndarray, m: int, n: int, sigma: float, shrinker: str = "frobenius") -> np.ndarray:
     """Optimally shrunk singular values of an m x n matrix, m <= n; those below the edge are 0."""
@@ -215,23 +212,6 @@ def _weighted(w: DataFrame, values: np.ndarray) -> DataFrame:
     return w.select(line, F.transform("w", lambda x, j: x * F.element_at(F.lit([float(v) for v in values]), j + 1)).alias("values"))
 
 
-def spectrum_of(y: CountMatrix, k: int | None = None) -> tuple[spectrum.Factors, float, int]:
-    """(factors, sigma, rank): all values, or as many leading ones as it takes until more of them leave the rank as it is.
-
-    Of a partial spectrum the noise is told by its smallest value, which has to be noise itself.
-    """
-    small, large = sorted(y.shape)
-    k = k or (None if small <= spectrum.GRAM_LIMIT else min(START_COMPONENTS, small))
-    before = None
-    while True:
-        f = spectrum.svd(y, k)
-        sigma = spectrum.noise_scale(f.s, small, large)
-        rank = spectrum.mp_rank(f.s, small, large, sigma)
-        if f.whole or rank == before and rank < len(f.s):
-            return f, sigma, rank
-        before, k = rank, min(small, -(-len(f.s) * 3 // 2))
-
-
 def fit(m: CountMatrix, parameters: dict | None = None, *, k: int | None = None, tol: float = 1e-6, n_iter: int = 500, refit: bool = True, **options) -> Fitted:
     """Scale, factorise and rank; without ``parameters`` (bhat, chat) the quadratic variance is fitted first.
 
@@ -243,9 +223,7 @@ def fit(m: CountMatrix, parameters: dict | None = None, *, k: int | None = None,
     u, v, _ = scaling.fit(m, quadratic_variance_2param("value", p["bhat"], p["chat"]), tol=tol, n_iter=n_iter)
     u, v = cut(u, "u"), cut(v, "v")
     y = m.with_cells(cut(scaling.scale(m, u, v).cells, "scaled"))
-    f, sigma, rank = spectrum_of(y, k)
-    small, large = sorted(m.shape)
-    kst = spectrum.ks(f.s, small, large, sigma)
+    f, sigma, rank, kst = spectrum.spectrum_of(y, k)
     q, before = convex_of(p["bhat"], p["chat"])
     p = p | {"q": q, "sigma": before, "sigma_residual": sigma}
     if refit:
@@ -254,5 +232,5 @@ def fit(m: CountMatrix, parameters: dict | None = None, *, k: int | None = None,
         p |= {"sigma": before * sigma, "bhat": bhat, "chat": chat, "b": b, "c": c}
         v = v.withColumn("v", F.col("v") / float(sigma * sigma))
         y = y.map_values(F.col("value") / float(sigma))
-        f, sigma = spectrum.Factors(f.s / sigma, f.v, f.names, f.transposed, f.shape), 1.0
+        f, sigma = replace(f, s=f.s / sigma), 1.0
     return Fitted(m, u, v, y, f, sigma, rank, kst, p)

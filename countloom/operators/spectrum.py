@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from countloom.bundle import CountMatrix
+from countloom.operators import lanczos
 from countloom.session import cut
 
-#: Largest small axis for a Gram matrix on the driver (200 MB); larger ones take the range finder.
+#: Largest small axis for a Gram matrix on the driver (200 MB); larger ones take products with few vectors (lanczos).
 GRAM_LIMIT = 5000
 #: Most bytes of a factor (small axis x components) that the driver and a broadcast hold.
 FACTOR_BYTES = 256 << 20
-#: Passes of the range finder over the matrix.
-RANGE_PASSES = 5
+#: Random starts times length of the small axis, for the density of eigenvalues: its error is about half the root's inverse.
+STARTS = 160_000
 #: Cells that a kernel makes or takes at once.
 CELLS = 1 << 20
 
@@ -73,8 +74,13 @@ def _summed(parts: DataFrame, d: int, width: int) -> np.ndarray:
                 out[i] = out[i] + x if i in out else x
         yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["i", "values"])
 
-    out = np.zeros((d, width))
-    for i, v in parts.repartition("i").mapInArrow(add, "i long, values binary").toLocalIterator():
+    out, added = np.zeros((d, width)), parts.repartition("i").mapInArrow(add, "i long, values binary")
+    if width <= 64:  # a block of vectors comes at once
+        lines = added.toArrow()
+        if lines.num_rows:
+            out[lines.column("i").to_numpy()] = np.frombuffer(b"".join(lines.column("values").to_pylist())).reshape(-1, width)
+        return out
+    for i, v in added.toLocalIterator():
         out[i] = np.frombuffer(v)
     return out
 
@@ -116,6 +122,7 @@ class Factors:
     names: pa.Array
     transposed: bool
     shape: tuple[int, int]
+    residuals: np.ndarray | None = None  # |X'X v - s^2 v|, where the values are leading ones of a long axis
 
     @property
     def whole(self) -> bool:
@@ -129,10 +136,10 @@ class Factors:
 
 
 def svd(m: CountMatrix, k: int | None = None, seed: int = 42) -> Factors:
-    """Through the Gram matrix of the smaller axis; where that is longer than GRAM_LIMIT, by a seeded range finder.
+    """Through the Gram matrix of the smaller axis; where that is longer than GRAM_LIMIT, by a subspace grown until its residuals are small.
 
-    All singular values, or the leading ``k``; the range finder needs a ``k``. Raises if k is no rank of the matrix, or if
-    a factor would take more than FACTOR_BYTES.
+    All singular values, or the leading ``k``; a long axis needs a ``k``. Raises if k is no rank of the matrix, if
+    factors would take more than FACTOR_BYTES, or if the residuals stay large.
     """
     rows, cols = m.shape
     if k is not None and not 0 < k <= min(rows, cols):
@@ -142,7 +149,8 @@ def svd(m: CountMatrix, k: int | None = None, seed: int = 42) -> Factors:
     if min(rows, cols) > GRAM_LIMIT:
         if k is None:
             raise ValueError(f"the small axis has more than {GRAM_LIMIT} entries: say how many components (k)")
-        return _randomized(x, k, seed, flip, (rows, cols))
+        names, product = products(x)
+        return _leading(lanczos.leading(_space(product, names, seed), k=k), names, flip, (rows, cols))
     g, names = gram(x)
     lam, vec = np.linalg.eigh(g)
     order = np.argsort(-np.abs(lam), kind="stable")[: k or len(lam)]
@@ -181,16 +189,14 @@ def right_factor(m: CountMatrix, f: Factors, j: int) -> DataFrame:
     return w.crossJoin(F.broadcast(top)).select("col_id", (F.col("w") * F.col("sign")).alias("w"))
 
 
-def _randomized(x: CountMatrix, k: int, seed: int, flip: bool, shape: tuple[int, int]) -> Factors:
-    """Right factors by subspace iteration: a pass over sparse row blocks gives X' X Q, whose QR the driver makes."""
+def products(x: CountMatrix) -> tuple[pa.Array, lanczos.Product]:
+    """The columns' names, and X'X times a block of vectors: a pass over sparse row blocks, whose partial lines are added by Spark."""
     names = names_of(x)
-    d, width = len(names), min(len(names), k + max(10, k // 10))
-    if d * width * 8 > FACTOR_BYTES:
-        raise ValueError(f"{width} components of {d} entries take more than {FACTOR_BYTES} bytes")
+    d = len(names)
     rows = cut(sparse_rows(x, names), "rows")
 
     def product(q: np.ndarray) -> np.ndarray:
-        held = rows.sparkSession.sparkContext.broadcast(q)
+        held, width = rows.sparkSession.sparkContext.broadcast(q), q.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, total = held.value, np.zeros((d, width))
@@ -201,16 +207,46 @@ def _randomized(x: CountMatrix, k: int, seed: int, flip: bool, shape: tuple[int,
                         total[:, c] += np.bincount(j, v * y[owner, c], d)
             yield from _lines(total)
 
-        return _summed(rows.mapInArrow(run, "i long, values binary"), d, width)
+        out = _summed(rows.mapInArrow(run, "i long, values binary"), d, width)
+        held.destroy()
+        return out
+
+    return names, product
+
+
+def _space(product: lanczos.Product, names: pa.Array, seed: int) -> lanczos.Subspace:
+    return lanczos.Subspace(product, len(names), seed=seed, room=FACTOR_BYTES)
+
 
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, width)))[0]
-    for _ in range(RANGE_PASSES):
-        z = product(q)
-        lam, vec = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-        v = q @ vec
-        q = np.linalg.qr(z)[0]
-    order = np.argsort(-lam)[:k]
-    return Factors(np.sqrt(np.abs(lam[order])), _signed(v[:, order]), names, flip, shape)
+def _leading(found: lanczos.Leading, names: pa.Array, flip: bool, shape: tuple[int, int]) -> Factors:
+    return Factors(np.sqrt(np.abs(found.values)), _signed(found.vectors), names, flip, shape, found.residuals)
+
+
+def spectrum_of(m: CountMatrix, k: int | None = None, seed: int = 42) -> tuple[Factors, float, int, float]:
+    """(factors, sigma, rank, KS): the noise told by the median of all values, how many exceed the law's edge, and the distance from the law.
+
+    On a small axis within GRAM_LIMIT from all values, or the leading ``k``. Beyond it no step takes all values: those far above the others are
+    taken out first, the distribution of the rest (hence median and distance) comes from random chains, and every value above the edge
+    that follows is computed with its residual, which goes with the factors. Raises where a value is too close to the edge to be told.
+    """
+    small, large = sorted(m.shape)
+    if small <= GRAM_LIMIT:
+        f = svd(m, k, seed)
+        sigma = noise_scale(f.s, small, large)
+        return f, sigma, mp_rank(f.s, small, large, sigma), ks(f.s, small, large, sigma)
+    rows, cols = m.shape
+    x, gamma = (m.transpose() if cols > rows else m), small / large
+    names, product = products(x)
+    space = _space(product, names, seed)
+    known, vectors = lanczos.outliers(space)
+    law = lanczos.density(product, small, known=known, vectors=vectors, chains=max(8, -(-STARTS // small)), seed=seed)
+    sigma = math.sqrt(law.quantile(0.5) / (large * mp_ppf(0.5, gamma)))
+    unit = large * sigma * sigma
+    found = lanczos.leading(space, above=unit * (1 + math.sqrt(gamma)) ** 2)
+    rank = len(found.values)
+    if k is not None and k != rank:
+        found = lanczos.leading(space, k=k)
+    return _leading(found, names, cols > rows, (rows, cols)), sigma, min(rank, len(found.values)), law.distance(lambda p: mp_cdf(p / unit, gamma))
 
 
 # --- the Marchenko-Pastur law on the driver (of singular values, which it holds)

@@ -29,9 +29,8 @@ def _scaled(spark, d):
 def spectrum_scaled(spark, d):
     """Singular values and scaled eigenvalues of the scaled counts."""
     m, y = _scaled(spark, d)
-    f = spectrum.svd(y)
-    small, large = sorted(m.shape)
-    sigma = spectrum.noise_scale(f.s, small, large)
+    f, sigma, _, _ = spectrum.spectrum_of(y)
+    large = max(m.shape)
     rows = [(i, round(float(s), 6), round(float(s * s / (large * sigma * sigma)), 6)) for i, s in enumerate(f.s)]
     return spark.createDataFrame(rows, "component int, s double, eigenvalue double")
 
@@ -39,10 +38,8 @@ def spectrum_scaled(spark, d):
 @register()
 def mp_rank(spark, d):
     m, y = _scaled(spark, d)
-    f = spectrum.svd(y)
-    small, large = sorted(m.shape)
-    sigma = spectrum.noise_scale(f.s, small, large)
-    row = (spectrum.mp_rank(f.s, small, large, sigma), round(sigma, 6), round(spectrum.ks(f.s, small, large, sigma), 6))
+    _, sigma, rank, kst = spectrum.spectrum_of(y)
+    row = (rank, round(sigma, 6), round(kst, 6))
     return spark.createDataFrame([row], "rank int, sigma double, ks double")
 
 

@@ -1,12 +1,14 @@
 """The estimator, and the registered queries without SQL, against NumPy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.bundle import subsample
-from countloom.operators import experiments as X, fit, scaling, spectrum
+from countloom.bundle import CountMatrix, subsample
+from countloom.operators import experiments as X, fit, lanczos, scaling, spectrum
 from countloom.plans import catalog
+from countloom.session import cut
 from countloom.sources import simulate
 
 SF = "/root/testdata/sf0.001"
@@ -65,10 +67,9 @@ def m(spark):
 @pytest.mark.parametrize("limit", [5000, 6])
 @pytest.mark.parametrize("flip", [False, True])
 def test_transform(spark, m, monkeypatch, limit, flip):
-    """Both orientations, by the Gram matrix and by the range finder."""
+    """Both orientations, by the Gram matrix and by products with few vectors."""
     monkeypatch.setattr(spectrum, "GRAM_LIMIT", limit)
-    monkeypatch.setattr(fit, "START_COMPONENTS", 2)
-    monkeypatch.setattr(spectrum, "RANGE_PASSES", 25)
+    monkeypatch.setattr(spectrum, "STARTS", 25 * 400)
     monkeypatch.setattr(spectrum, "CELLS", 100)
     c = m.transpose() if flip else m
     rows, cols = axes(c)
@@ -130,10 +131,9 @@ def test_predict(spark, m, flip, axis):
     assert np.abs([got[i] for i in some]) == pytest.approx(np.abs(near * want.shrunk()), abs=1e-5)
 
 
-def test_range_finder_raises_rather_than_cut(spark, m, monkeypatch):
+def test_long_axes_raise_rather_than_cut(spark, m, monkeypatch):
     x = dense(m.cells, *axes(m))
     monkeypatch.setattr(spectrum, "GRAM_LIMIT", 10)
-    monkeypatch.setattr(spectrum, "RANGE_PASSES", 30)
     with pytest.raises(ValueError, match="components"):
         spectrum.svd(m)
     for bad in (0, 26):
@@ -148,6 +148,43 @@ def test_range_finder_raises_rather_than_cut(spark, m, monkeypatch):
         spectrum.svd(m, 4)
 
 
+@pytest.mark.parametrize("planted", [10, 0])
+def test_spectrum_of_a_long_axis(spark, monkeypatch, planted):
+    """Noise and components on an axis ten times the limit: rank as NumPy's, sigma within a hundredth, residuals as they are."""
+    rng = np.random.default_rng(planted)
+    x = rng.normal(size=(600, 1000))
+    x += (rng.normal(size=(600, planted)) * np.linspace(2, 0.5, max(planted, 1))[:planted]) @ rng.normal(size=(planted, 1000))
+    at, to = np.indices(x.shape)
+    cells = spark.createDataFrame(pa.table({"row_id": at.ravel(), "col_id": to.ravel(), "value": x.ravel()}))
+    c = CountMatrix(cut(cells, "noise"), spark.range(600).select(F.col("id").alias("row_id")), spark.range(1000).select(F.col("id").alias("col_id")))
+    s = np.linalg.svd(x, compute_uv=False)
+    sigma = spectrum.noise_scale(s, 600, 1000)
+    monkeypatch.setattr(spectrum, "GRAM_LIMIT", 60)
+    monkeypatch.setattr(spectrum, "STARTS", 600 * 100)
+    f, got, rank, kst = spectrum.spectrum_of(c)
+    assert got == pytest.approx(sigma, rel=0.01) and rank == spectrum.mp_rank(s, 600, 1000, sigma) == planted
+    assert kst == pytest.approx(spectrum.ks(s, 600, 1000, sigma), abs=0.02)
+    assert f.s == pytest.approx(s[:planted], rel=1e-6) and len(f.residuals) == planted
+    assert not planted or f.residuals == pytest.approx(np.linalg.norm(x @ (x.T @ f.v) - f.v * f.s**2, axis=0), abs=1e-4 * s[0])
+    few = spectrum.svd(c, 3)
+    assert few.s == pytest.approx(s[:3], rel=1e-6)
+
+
+def test_unsettled_spectra_raise():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 400))
+    s = np.linalg.svd(x, compute_uv=False)
+    space = lanczos.Subspace(lambda q: x @ (x.T @ q), 300)
+    with pytest.raises(RuntimeError):
+        lanczos.leading(space, above=s[3] ** 2 * (1 + 1e-12), passes=3)
+    whole = lanczos.Subspace(lambda q: x[:5, :5] @ x[:5, :5].T @ q, 5)
+    assert len(lanczos.leading(whole, above=0.0).values) == 5
+    with pytest.raises(ValueError, match="only"):
+        lanczos.leading(whole, k=6)
+    with pytest.raises(ValueError, match="bytes"):
+        lanczos.Subspace(lambda q: q, 1000, room=1000)
+
+
 def test_join_loop_agrees_with_the_block_loop(spark, m, monkeypatch):
     near = [{r[0]: r[1] for r in t.collect()} for t in scaling.fit(m, F.col("value"), tol=1e-9)[:2]]
     monkeypatch.setattr(scaling, "CHUNK", 4)
