@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +40,26 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def private(*names: str):
+    """For an operator on ``docs`` that uses columns of these names itself: the caller's columns of such names (in any case) stand aside under others meanwhile."""
+    mine = {n.lower() for n in names}
+
+    def guard(f):
+        @wraps(f)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            clash = [c for c in docs.columns if c.lower() in mine]
+            if not clash:
+                return f(docs, *args, **options)
+            longest = max(map(len, docs.columns))
+            aside = {c: f"aside_{i}_".ljust(longest + 8, "x") for i, c in enumerate(clash)}  # longer than any of the caller's
+            options = {k: aside.get(v, v) if isinstance(v, str) and k.endswith("_col") else v for k, v in options.items()}
+            return f(docs.withColumnsRenamed(aside), *args, **options).withColumnsRenamed({v: k for k, v in aside.items()})
+
+        return run
+
+    return guard
+
+
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     col = batch.column(batch.schema.get_field_index(name))

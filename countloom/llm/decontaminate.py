@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from countloom.llm.common import MULT, WordHashes, byte_column, spans_of
+from countloom.llm.common import MULT, WordHashes, byte_column, private, spans_of
 from countloom.session import cut
 
 _KEEP = re.compile(rb"[0-9a-z\x80-\xff]")
@@ -134,6 +134,7 @@ def _scanned(docs: DataFrame, block: list, n: int, text_col: str) -> DataFrame:
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *_HITS]))
 
 
+@private("_text", "_spans", "_items")
 def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with ``n_words`` (long), ``hit_spans`` (array of word ranges, end exclusive) and ``hit_items`` (sorted strings)."""
     blocks = _blocks(benchmark, item_col, item_text_col, n, max(1, index_bytes // WORD_BYTES))
@@ -187,5 +188,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documen
         return found.where(F.size("hit_items") == 0).select(*docs.columns)
     if mode != "spans":
         raise ValueError("mode is 'documents' or 'spans'")
-    cleaned = F.udf(_without, "string")(F.col(text_col), F.col("hit_spans"))
-    return found.withColumn(text_col, F.when(F.size("hit_items") > 0, cleaned).otherwise(F.col(text_col))).select(*docs.columns)
+    names = found.columns
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.column(i) for i, c in enumerate(names)}
+            texts = [_without(x, spans) for x, spans in zip(at[text_col].to_pylist(), at["hit_spans"].to_pylist())]
+            yield pa.RecordBatch.from_pydict(at | {text_col: pa.array(texts, at[text_col].type)})
+
+    # texts without a hit do not pass through Python
+    hit = F.size("hit_items") > 0
+    return found.where(hit).mapInArrow(clean, found.schema).unionByName(found.where(~hit)).select(*docs.columns)

@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from countloom.llm.common import private
 from countloom.session import cut
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -56,6 +57,7 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW + 1, F.lit(0).cast("long")).otherwise(let(hashes, counted))
 
 
+@private("_w", "_l")
 def statistics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the counts BASE and MORE (long) of the whole text."""
     made = (*BASE, *MORE)

@@ -20,6 +20,8 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from countloom.llm.common import private
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -204,14 +206,16 @@ def _running(col: str) -> Column:
     return run
 
 
+@private("_key", "_spans", "_low")
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``secret_spans``, a sorted array (empty if there are none)."""
-    kept = with_key(docs.drop("secret_spans", "_key", "_spans"), id_col, text_col)
+    kept = with_key(docs.drop("secret_spans"), id_col, text_col)
     found = spans(docs, rules, id_col=id_col, text_col=text_col).withColumnRenamed("spans", "_spans")
     empty = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint>>)")
     return kept.join(found, "_key", "left").withColumn("secret_spans", F.coalesce("_spans", empty)).drop("_key", "_spans")
 
 
+@private("_key", "_spans", "_low", "_runs", "_edges", "secret_spans")
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """``docs`` with each run of overlapping or touching spans replaced by ``mark``."""
     found = scan(docs, rules, id_col=id_col, text_col=text_col)

@@ -76,7 +76,15 @@ def _counted(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _shuffled(table: pa.Table, seed: int, id_col: str, before: np.ndarray) -> pa.Table:
     """One bucket: canonical order, then Fisher-Yates."""
     ids = table.column(id_col).fill_null(0).to_numpy() if pa.types.is_integer(table.schema.field(id_col).type) else np.array([str(x) for x in table.column(id_col).to_pylist()])
-    order = np.lexsort((table.column("size").to_numpy(), table.column("text_crc32").to_numpy(), ids))
+    keys = [table.column("size").to_numpy(), table.column("text_crc32").to_numpy(), ids]
+    order = np.lexsort(keys)
+    same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    if same.any():  # what is equal so far goes by all its columns, so that the order does not depend on arrival
+        tied = np.zeros(len(order), bool)
+        tied[order[1:][same]] = tied[order[:-1][same]] = True
+        more = np.full(len(order), "", object)
+        more[tied] = [repr(list(r.values())) for r in table.filter(pa.array(tied)).to_pylist()]
+        order = np.lexsort([more.astype(str), *keys])
     bucket = table.column("bucket")[0].as_py()
     rng = np.random.Generator(np.random.PCG64([seed, bucket]))
     rng.shuffle(order)  # in place, from the last slot down

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from countloom.llm.anchors import COUNTS, RANGES, SHIPMENT_BYTES, SHIPPED, Filters, Shipment, anchors, batch_counts, chosen, context_hash, covered, decided, packed, ranges_of, united
-from countloom.llm.common import WordHashes, byte_column, require_integer, spans_of
+from countloom.llm.common import WordHashes, byte_column, private, require_integer, spans_of
 from countloom.session import cut
 
 GRAM = 16
@@ -219,9 +219,10 @@ def _applied(base: DataFrame, joined: DataFrame, text_col: str) -> DataFrame:
     return joined.mapInArrow(apply, schema)
 
 
-_MADE = ("n_words", "removed", "kept", "_key", "_pieces")
+_MADE = ("n_words", "removed", "kept")
 
 
+@private("_key", "_pieces", "_id")
 def dedup(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
     """``docs`` with ``n_words``, ``removed`` (sorted word ranges, end exclusive) and ``kept`` (the other words, joined by blanks)."""
     require_integer(docs, id_col)
@@ -242,6 +243,7 @@ def _automata(texts: tuple[bytes, ...]) -> list[Automaton]:
     return shards
 
 
+@private("_pieces")
 def against(docs: DataFrame, reference: DataFrame, *, window: int = 50, text_col: str = "text", reference_col: str = "text", reference_words: int = REFERENCE_WORDS) -> DataFrame:
     """As ``dedup``, but words go that are covered by a window of a text of ``reference``, whose automata are broadcast.
 

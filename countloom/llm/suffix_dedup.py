@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from countloom.llm.anchors import COUNTS, RANGES, SHIPMENT_BYTES, SHIPPED, Filters, Shipment, anchors, batch_counts, chosen, context_hash, covered, decided, packed, ranges_of, united
-from countloom.llm.common import byte_column
+from countloom.llm.common import byte_column, private
 from countloom.session import cut
 
 GRAM = 80
@@ -182,9 +182,10 @@ def _applied(base: DataFrame, joined: DataFrame, length: int, text_col: str) ->
     return joined.mapInArrow(apply, schema)
 
 
+@private("_key", "_pieces")
 def dedup(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
     """``docs`` with ``removed``: sorted, disjoint byte ranges (start, end) to take out of the UTF-8 text."""
-    base = docs.drop("removed", "_key", "_pieces")
+    base = docs.drop("removed")
     keyed = base.withColumn("_key", F.xxhash64(id_col, text_col))
     return _applied(base, keyed.join(removals(keyed, length=length, k=gram, text_col=text_col), "_key", "left"), length, text_col)
 

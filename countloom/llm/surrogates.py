@@ -2,7 +2,7 @@
 
 Detected: e-mail addresses (domains in any script), IPv4 and IPv6 addresses, card-like numbers (13 to 19 digits), bank
 account numbers (country, two check digits), phone numbers, numbers of the form 000-00-0000, and names after a form of
-address; the words of such a name are then found in the same text without it as well. An entity is known by its kind and
+address; the words of such a name are then found in the same text without it as well, in every case with a capital. An entity is known by its kind and
 *canonical form* (digits of a number, lower case of an address or name), so its spellings corefer, under whichever title.
 Each distinct entity of the corpus gets one canonical surrogate, drawn by HMAC-SHA256 under the caller's key:
 
@@ -30,13 +30,16 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from countloom.llm.common import private
 from countloom.session import cut
 
 #: Forms of address by the gender that they tell (fixed values).
@@ -50,7 +53,7 @@ _OCTET = rf"(?:{_is(2)}{_is(5)}{_is(*range(6))}|{_is(2)}{_is(*range(5))}\d|{_is(
 #: A word of a name; a possessive ending is none of it.
 _NAME = r"\p{Lu}(?:\p{L}+|(?=['’]))(?:[-'’](?!s\b)\p{L}+)*"
 PATTERN = regex.compile(
-    r"(?P<email>[^\W_][\w.+-]*+@(?P<domain>[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+))"
+    r"(?P<email>[^\W_][\w.+-]*+@(?P<domain>[\p{L}\p{M}\p{N}-]+(?:\.[\p{L}\p{M}\p{N}-]+)+))"
     rf"|(?<![\w.])(?P<ip>(?:{_OCTET}\.){{3}}{_OCTET})(?![\d]|\.\d)"
     r"|(?<![\w:.])(?P<ipv6>(?=[0-9A-Fa-f:]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39})(?![\w:.])"
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,4})?)(?!\w)"
@@ -100,7 +103,7 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int, str]]:
                 one = ("surname", _surname(w)) if i == len(words) - 1 else ("given", w.lower().replace("’", "'"))
                 found.append((*one, at, at + len(w), _GENDER[m["title"]] if one[0] == "given" else "x"))
                 if len(w) > 1:
-                    people.setdefault(w, one[:2])
+                    people.setdefault(w.lower().replace("’", "'"), one[:2])
                 at += len(w) + 1
         elif kind == "ipv6":
             try:
@@ -117,10 +120,11 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int, str]]:
     if people:  # the same words elsewhere in the text
         taken = sorted(x[2:4] for x in found)
         ends = [b for _, b in taken]
-        for m in regex.finditer(rf"(?<![\w@.'’-])(?:{'|'.join(map(regex.escape, sorted(people, key=len, reverse=True)))})(?![\w@]|[-'’](?!s\b)\p{{L}})", text):
-            i = bisect_right(ends, m.start())
-            if i == len(taken) or taken[i][0] >= m.end():
-                found.append((*people[m[0]], *m.span(), "x"))
+        words = "|".join(regex.escape(w).replace("'", "['’]") for w in sorted(people, key=len, reverse=True))
+        for m in regex.finditer(rf"(?<![\w@.'’-])(?i:{words})(?![\w@]|[-'’](?!s\b)\p{{L}})", text):
+            i, one = bisect_right(ends, m.start()), people.get(m[0].lower().replace("’", "'"))
+            if one and m[0][0].isupper() and (i == len(taken) or taken[i][0] >= m.end()):  # any case but that of other words
+                found.append((*one, *m.span(), "x"))
         found.sort(key=lambda x: x[2])
     yield from found
 
@@ -151,8 +155,15 @@ _SCRIPTS = {"LATIN": ("bdfglmnprstv", "aeio"), "CYRILLIC": ("бвгдзклмн
 
 
 def _script(word: str) -> str:
-    c = word[0]
-    return "CYRILLIC" if "Ѐ" <= c <= "ӿ" else "GREEK" if "Ͱ" <= c <= "Ͽ" else "LATIN"
+    """The first word of the Unicode name of the first letter: LATIN, HEBREW, CJK ..."""
+    return unicodedata.name(word[0], "LATIN").partition(" ")[0]
+
+
+@lru_cache(maxsize=4096)
+def _letters(c: str) -> str:
+    """Letters like ``c``: of its script and kind, from the same 256 places of Unicode."""
+    first = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == unicodedata.category(c) and _script(x) == _script(c))
 
 
 def canonical_surrogate(key: bytes, kind: str, value: str, attempt: int, gender: str = "x") -> str:
@@ -178,6 +189,8 @@ def canonical_surrogate(key: bytes, kind: str, value: str, attempt: int, gender:
         check = f"{98 - number(body + value[:2] + '00'):02d}" if number(value[4:] + value[:4]) == 1 else f"{s.below(100):02d}"
         return value[:2] + check + body
     if kind in ("given", "surname"):
+        if _script(value) not in _SCRIPTS:  # no syllables are known: letters alone
+            return "".join(_letter(s, c) if c.isalpha() else c for c in value) + "".join(_letter(s, value[0]) for _ in range(attempt // 4))
         hard, soft = _SCRIPTS[_script(value)]
 
         def word(part: str) -> str:
@@ -193,7 +206,10 @@ def canonical_surrogate(key: bytes, kind: str, value: str, attempt: int, gender:
 
 def _letter(s: _Stream, c: str) -> str:
     script = _script(c)
-    return chr(97 + s.below(26)) if script == "LATIN" else "".join(_SCRIPTS[script])[s.below(15)]
+    if script == "LATIN":
+        return chr(97 + s.below(26))
+    known = "".join(_SCRIPTS[script]) if script in _SCRIPTS else _letters(c)
+    return known[s.below(len(known))]
 
 
 def _like(surrogate: str, original: str) -> str:
@@ -253,9 +269,10 @@ def surrogate_table(known: DataFrame, key: bytes, *, max_rounds: int = 64) -> Da
     raise ValueError(f"a kind has too few surrogates: {open_.first()}")
 
 
+@private("_key", "_map")
 def replace(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every entity replaced by its surrogate, and ``n_entities`` (long)."""
-    base = docs.drop("n_entities", "_key", "_map")
+    base = docs.drop("n_entities")
     may = F.coalesce(F.col(text_col).rlike(TRIGGER), F.lit(False))
     keyed = cut(base.where(may).withColumn("_key", F.xxhash64(id_col, text_col)), "suspects")  # a small part, read twice
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
