@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from countloom.functions.elementwise import t_quantile, two_sided
+from countloom.operators import ranks, sampling
 
 #: Points of a query block and of a block that it is held against.
 QUERIES, POINTS = 4096, 16384
@@ -171,27 +172,32 @@ def silhouette_of_all(points: DataFrame) -> DataFrame:
     return _silhouette(mean)
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """``df`` with ``rank``: average ranks of ``value`` within ``by``, from counts of distinct values."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("rank", F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).select(*by, value, "rank")
-    return df.join(ranks, [*by, value])
+def _rank_sums(df: DataFrame, by: list[str], value: str, positive: str) -> DataFrame:
+    """(by, n_pos, n_neg, u, ties) from the ranks of distinct values and how many of either class have them: rows are not sorted."""
+    of = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    x = ranks.ranks(df, by, value, {"pos": of(F.col(positive)), "neg": of(~F.col(positive))})
+    s = x.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("rank"))).alias("r"), F.sum(F.pow("n", 3) - F.col("n")).alias("ties"))
+    return s.select(*by, "n_pos", "n_neg", (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0).alias("u"), "ties")
 
 
 def auc(df: DataFrame, by: list[str], value: str, positive: str) -> DataFrame:
     """Area under the ROC curve from rank sums, and the Mann-Whitney U."""
-    r = average_ranks(df, by, value).groupBy(*by).agg(
-        F.sum(F.when(F.col(positive), F.col("rank"))).alias("r"), F.count(F.when(F.col(positive), 1)).alias("n_pos"), F.count(F.when(~F.col(positive), 1)).alias("n_neg")
-    )
-    u = F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
-    return r.select(*by, "n_pos", "n_neg", u.alias("u"), F.try_divide(u, (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
+    return _rank_sums(df, by, value, positive).select(*by, "n_pos", "n_neg", "u", F.try_divide("u", (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
+
+
+def balanced_auc(df: DataFrame, by: list[str], value: str, positive: str, id_col: str, *, seed: int = 42) -> DataFrame:
+    """``auc`` on as many rows of either class in each group: of the larger class a keyed sample of exactly the smaller one's size.
+
+    The sample is those rows whose seeded hash of ``id_col`` is smallest, so every run takes the same; ids tell rows of a group apart.
+    """
+    held = df.where(F.col(value).isNotNull() & F.col(positive).isNotNull())
+    sizes = held.groupBy(*by).agg(F.least(F.count_if(F.col(positive)), F.count_if(~F.col(positive))).alias("keep_"))
+    return auc(sampling.quota(held, [*by, positive], sizes, by, "keep_", id_col, seed=seed), by, value, positive)
 
 
 def mann_whitney_z(df: DataFrame, by: list[str], value: str, positive: str) -> DataFrame:
     """U with its tie-corrected normal score."""
-    ties = df.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
-    x = auc(df, by, value, positive).join(ties, by)
+    x = _rank_sums(df, by, value, positive)
     n = F.col("n_pos") + F.col("n_neg")
     sd = F.sqrt(F.col("n_pos") * F.col("n_neg") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
     return x.select(*by, "u", F.try_divide(F.col("u") - F.col("n_pos") * F.col("n_neg") / 2.0, sd).alias("z"))
@@ -199,8 +205,7 @@ def mann_whitney_z(df: DataFrame, by: list[str], value: str, positive: str) -> D
 
 def mann_whitney_p(df: DataFrame, by: list[str], value: str, positive: str) -> DataFrame:
     """(by, p, p_adjusted): two-sided p of the normal score (ties and continuity corrected), and times the number of groups, at most 1."""
-    ties = df.groupBy(*by, value).agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
-    x = auc(df, by, value, positive).join(ties, by)
+    x = _rank_sums(df, by, value, positive)
     n, both = F.col("n_pos") + F.col("n_neg"), F.col("n_pos") * F.col("n_neg")
     sd = F.sqrt(both / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = F.try_divide(F.greatest(F.abs(F.col("u") - both / 2.0) - 0.5, F.lit(0.0)), sd)
@@ -209,6 +214,11 @@ def mann_whitney_p(df: DataFrame, by: list[str], value: str, positive: str) -> D
     return p.crossJoin(F.broadcast(groups)).select(*by, "p", F.least(F.lit(1.0), F.col("p") * F.col("groups")).alias("p_adjusted"))  # one row
 
 
+def significant(p: DataFrame, level: float = 0.01, col: str = "p_adjusted") -> DataFrame:
+    """(n_tests, n_significant): how many p values fall below ``level``."""
+    return p.agg(F.count("*").alias("n_tests"), F.count_if(F.col(col) < level).alias("n_significant"))
+
+
 def gaussian_affinity(distances: DataFrame, sigma: float) -> DataFrame:
     return distances.select("a", "b", F.exp(-F.col("d2") / (2 * sigma * sigma)).alias("w"))
 

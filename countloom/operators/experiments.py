@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from countloom.bundle import CountMatrix, subsample
-from countloom.operators import evaluate, fit as fitting, spectrum
+from countloom.operators import evaluate, fit as fitting, ranks, spectrum
 from countloom.operators.marginals import moments
 
 
@@ -153,7 +153,7 @@ def scaled(cells: DataFrame, most: float = 10.0) -> DataFrame:
 
 def truncate_quantile(cells: DataFrame, q: float, axis: str = "col_id") -> DataFrame:
     """Values below the absolute q-quantile of their column (or row) become zero and are dropped."""
-    t = cells.groupBy(axis).agg(F.abs(F.percentile("value", q)).alias("t"))
+    t = ranks.quantiles(cells, [axis], "value", [q], ["t"]).withColumn("t", F.abs("t"))
     return cells.join(t, axis).where(F.col("value") > F.col("t")).drop("t")
 
 

@@ -99,7 +99,7 @@ def bound_holds(m: CountMatrix, axis: int, k: int) -> bool:
 def auto_stabilize(m: CountMatrix, step: int | None = None, most: int = 1000) -> CountMatrix:
     """Remove the sparsest lines of a failing axis until the bound holds for every k up to half of either axis.
 
-    Without ``step``, as many lines go at once as the worst k needs.
+    Without ``step``, as many lines go at once as the worst k needs. Raises if ``most`` rounds do not suffice.
     """
     m = stabilize(m, 1)
     for _ in range(most):
@@ -113,7 +113,7 @@ def auto_stabilize(m: CountMatrix, step: int | None = None, most: int = 1000) ->
             m = m.submatrix(rows=m.obs.join(gone, key, "left_anti")) if axis == 1 else m.submatrix(cols=m.var.join(gone, key, "left_anti"))
         m = stabilize(m, 1)
         m = CountMatrix(cut(m.cells, "stable"), cut(m.obs, "stable"), cut(m.var, "stable"), m.uns)
-    return m
+    raise RuntimeError(f"the bound does not hold after {most} rounds")
 
 
 def _excess(m: CountMatrix, axis: int, d: int) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from countloom.bundle import CountMatrix, subsample
 from countloom.functions.elementwise import convex_of, hat_parameters, quadratic_variance_2param, raw_parameters
-from countloom.operators import scaling, spectrum
+from countloom.operators import ranks, scaling, spectrum
 from countloom.session import cut
 
 
@@ -33,6 +33,8 @@ def local_fit(x: np.ndarray, q: float, *, tol: float = 1e-6, n_iter: int = 500)
         u = n / (v @ w)
         if i % 10 == 9 and np.abs(w * (v.T @ u) - m).max() < tol:
             break
+    else:
+        raise RuntimeError(f"the scaling of a submatrix has not converged after {n_iter} iterations (q = {q:.3g})")
     y = np.sqrt(u)[:, None] * x * np.sqrt(w)
     s = np.linalg.svd(y, compute_uv=False)
     sigma = spectrum.noise_scale(s, m, n)
@@ -194,13 +196,13 @@ class Fitted:
             else:
                 key = "col_id" if truncation_axis == 0 else "row_id"
                 cells = cut(cells, "low-rank")
-                cells = cells.join(cells.groupBy(key).agg(F.abs(F.percentile("value", truncate)).alias("t")), key).where("value > t").drop("t")
+                cells = cells.join(ranks.quantiles(cells, [key], "value", [truncate], ["t"]), key).where("value > abs(t)").drop("t")
         if unscale:
             cells = scaling.unscale(self.m.with_cells(cells), u, v).cells
         if library_normalize is not False:
             size = library_normalize
             if library_normalize is True:
-                size = self.m.cells.groupBy("row_id").agg(F.sum("value").alias("s")).agg(F.median("s")).first()[0]
+                size = ranks.quantiles(self.m.cells.groupBy("row_id").agg(F.sum("value").alias("s")), [], "s", [0.5], rows=self.m.shape[0]).first()[0]
             cells = cut(cells, "low-rank")
             sums = cells.groupBy("row_id").agg(F.sum("value").alias("s"))
             cells = cells.join(sums, "row_id").select("row_id", "col_id", (F.col("value") / F.col("s") * F.lit(float(size))).alias("value"))

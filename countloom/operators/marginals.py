@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from countloom.bundle import CountMatrix
+from countloom.operators import ranks
 
 AXIS = {0: "col_id", 1: "row_id"}
 
@@ -64,7 +65,7 @@ def extremes(m: CountMatrix, axis: int) -> DataFrame:
 
 
 def library_size_median(m: CountMatrix) -> DataFrame:
-    return sums(m, 1).agg(F.percentile("total", 0.5).alias("median_total"))
+    return ranks.quantiles(sums(m, 1), [], "total", [0.5], ["median_total"], rows=m.shape[0])
 
 
 def qc(m: CountMatrix, flag: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from countloom.bundle import CountMatrix
+from countloom.operators import ranks
 from countloom.operators.marginals import moments, sums
 
 
@@ -16,7 +17,7 @@ def _target(m: CountMatrix, target: float | None) -> DataFrame:
     """One row: the target library size, by default the median of the rows' sums."""
     if target is not None:
         return m.cells.sparkSession.range(1).select(F.lit(float(target)).alias("target"))
-    return sums(m, 1).agg(F.percentile("total", 0.5).alias("target"))
+    return ranks.quantiles(sums(m, 1), [], "total", [0.5], ["target"], rows=m.shape[0])
 
 
 def library_normalize(m: CountMatrix, target: float | None = None) -> DataFrame:
@@ -92,11 +93,13 @@ def dispersion(m: CountMatrix, bins: int = 20) -> DataFrame:
     Bins are equal in width of the mean's rank; a bin without spread gives 0.
     """
     d = moments(m, 0).where("mean > 0").select("col_id", "mean", "variance", (F.col("variance") / F.col("mean")).alias("dispersion"))
-    edges = d.agg(F.percentile("mean", F.lit([i / bins for i in range(1, bins)])).alias("edges"))
-    binned = d.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("mean")))).drop("edges")
-    med = binned.groupBy("bin").agg(F.percentile("dispersion", 0.5).alias("med"))
+    n = m.shape[1]
+    cuts = [i / bins for i in range(1, bins)]
+    edges = ranks.quantiles(d, [], "mean", cuts, rows=n).select(F.array(*(F.col(f"q{i}") for i in range(1, bins))).alias("edges"))
+    binned = d.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("mean")))).drop("edges")
+    med = ranks.quantiles(binned, ["bin"], "dispersion", [0.5], ["med"], rows=n)
     dev = binned.join(med, "bin").withColumn("dev", F.abs(F.col("dispersion") - F.col("med")))
-    mad = dev.groupBy("bin").agg(F.percentile("dev", 0.5).alias("mad"))
+    mad = ranks.quantiles(dev, ["bin"], "dev", [0.5], ["mad"], rows=n)
     spread = F.col("mad") / 0.6744897501960817
     return dev.join(mad, "bin").select("col_id", "mean", "variance", "dispersion", "bin", F.coalesce(F.try_divide(F.col("dispersion") - F.col("med"), spread), F.lit(0.0)).alias("normalized"))
 

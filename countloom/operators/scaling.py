@@ -43,13 +43,15 @@ def fit(m: CountMatrix, variance: Column, *, tol: float = 1e-6, n_iter: int = 50
     m = m.settled()
     spark = m.cells.sparkSession
     r, c = _targets(m, row_sum, col_sum)
+    if stop not in ("sums", "ratio"):
+        raise ValueError("stop is sums or ratio")
     low = m.cells.agg(F.min("value")).first()[0]
     if low is not None and low < 0:
         raise ValueError("the matrix has negative values")
     held = m.var.select("col_id").limit(VECTOR_LIMIT + 1).toArrow().column("col_id").sort()
     n = len(held)
     if n > VECTOR_LIMIT:
-        return _fit_joins(m, variance, r, c, tol, n_iter)
+        return _fit_joins(m, variance, r, c, tol, n_iter, stop)
     index = spark.createDataFrame(pa.table({"col_id": held, "j": pa.array(np.arange(n), pa.int32())}))
     cells = m.cells.select("row_id", "col_id", variance.alias("w")).join(F.broadcast(index), "col_id")
     blocks = cells.groupBy("row_id").agg(F.collect_list("j").alias("j"), F.collect_list("w").alias("w"))
@@ -99,19 +101,26 @@ def fit(m: CountMatrix, variance: Column, *, tol: float = 1e-6, n_iter: int = 50
     return u, cols, {"iterations": done, "error": error}
 
 
-def _fit_joins(m: CountMatrix, variance: Column, r: float, c: float, tol: float, n_iter: int) -> tuple[DataFrame, DataFrame, dict]:
-    """The same loop for axes too long for a broadcast: two joins and two sums an iteration, cut each time."""
+def _fit_joins(m: CountMatrix, variance: Column, r: float, c: float, tol: float, n_iter: int, stop: str) -> tuple[DataFrame, DataFrame, dict]:
+    """The same loop for axes too long for a broadcast: two joins and two sums an iteration, cut each time.
+
+    An iteration's column sums, under the row scalers before it, are what the scalers it makes are the target over: so how far the last
+    column scalers were off, or have changed, is told by a join of two iterations' scalers, without another pass over the cells.
+    """
     w = cut(m.cells.select("row_id", "col_id", variance.alias("w")), "variance")
-    u = m.obs.select("row_id", F.lit(1.0).alias("u"))
-    error, done = float("inf"), 0
+    columns = lambda u: cut(w.join(u, "row_id").groupBy("col_id").agg((F.lit(c) / F.sum(F.col("w") * F.col("u"))).alias("v")), "v")
+    cols, error, done = columns(m.obs.select("row_id", F.lit(1.0).alias("u"))), float("inf"), 0
     for done in range(1, n_iter + 1):
-        cols = cut(w.join(u, "row_id").groupBy("col_id").agg((F.lit(c) / F.sum(F.col("w") * F.col("u"))).alias("v")), "v")
         u = cut(w.join(cols, "col_id").groupBy("row_id").agg((F.lit(r) / F.sum(F.col("w") * F.col("v"))).alias("u")), "u")
-        if done % 10 == 0 or done == n_iter:
-            got = w.join(u, "row_id").groupBy("col_id").agg(F.sum(F.col("w") * F.col("u")).alias("s")).join(cols, "col_id")
-            error = got.agg(F.max(F.abs(F.col("s") * F.col("v") - c))).first()[0]
-            if error < tol:
-                break
+        after = columns(u)
+        ratio = F.col("v") / F.col("x")  # column sums over the target, of the scalers before
+        off = F.abs(F.lit(c) * ratio - c) if stop == "sums" else F.abs(1 / ratio - 1)
+        error = cols.join(after.withColumnRenamed("v", "x"), "col_id").agg(F.max(off)).first()[0]
+        if error is None or not np.isfinite(error):
+            raise FloatingPointError("the scaling diverged")
+        if error < tol:
+            break
+        cols = after if done < n_iter else cols
     if tol > 0 and error >= tol:
         raise RuntimeError(f"not converged after {done} iterations: {error:.3g}")
     return u, cols, {"iterations": done, "error": error}

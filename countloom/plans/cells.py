@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from countloom.bundle import CountMatrix, subsample
-from countloom.operators import filters, marginals
+from countloom.operators import filters, marginals, ranks, sampling
 from countloom.plans.catalog import AXES, CM, DENSE, SB, SM, UE, UH, customer_month, register, rounded, supplier_brand, supplier_month, table, user_event, user_hour
 
 
@@ -175,7 +175,7 @@ def boolean_reductions(spark, d):
 
 @register(UH + DENSE + " SELECT col_id, quantile_cont(value, 0.9) AS q90, quantile_cont(value, 0.5) AS q50 FROM dense GROUP BY 1")
 def axis_quantiles(spark, d):
-    return user_hour(spark, d).densify().groupBy("col_id").agg(F.percentile("value", 0.9).alias("q90"), F.percentile("value", 0.5).alias("q50"))
+    return ranks.quantiles(user_hour(spark, d).densify(), ["col_id"], "value", [0.9, 0.5], ["q90", "q50"])
 
 
 @register(UE + " SELECT row_id, col_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY value DESC, col_id) AS BIGINT) AS place FROM cells")
@@ -205,7 +205,7 @@ def unpivot_scores(spark, d):
 @register("SELECT c_mktsegment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def label_encoding(spark, d):
     seg = table(spark, d, "customer").select("c_mktsegment").distinct()
-    return seg.select("c_mktsegment", (F.dense_rank().over(Window.orderBy("c_mktsegment")) - 1).cast("long").alias("code"))
+    return ranks.numbered(seg, [], ["c_mktsegment"], "code")
 
 
 @register("SELECT n_name AS name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) INTERSECT SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 0)")
@@ -258,6 +258,12 @@ def stratified_quota(spark, d):
     return table(spark, d, "part").withColumn("k", F.row_number().over(w)).where("k <= 5").select("p_brand", "p_partkey")
 
 
+@register()
+def quota_with_top_up(spark, d):
+    """Forty parts of each brand, as evenly over types as they allow."""
+    return sampling.with_top_up(table(spark, d, "part").select("p_brand", "p_type", "p_partkey"), "p_brand", "p_type", 40, "p_partkey")
+
+
 @register()
 def seeded_subsample(spark, d):
     """The same rows on every run: those of smallest seeded hash."""

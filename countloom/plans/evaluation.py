@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from countloom.operators import evaluate
+from countloom.operators import evaluate, ranks
 from countloom.plans.catalog import register, rounded, table
 
 _STEP = 25
@@ -110,6 +110,20 @@ def mann_whitney_p(spark, d):
     return rounded(evaluate.mann_whitney_p(_ranked(spark, d), ["p_brand"], "v", "pos").drop("p"), "p_adjusted", digits=5)
 
 
+@register("WITH q AS (" + _P.replace(" SELECT p_brand, round(", " SELECT p_brand, (").replace(", 5) AS p_adjusted", ") AS p_adjusted") + ") SELECT count(*) AS n_tests, count(*) FILTER (p_adjusted < 0.01) AS n_significant FROM q")
+def significant_groups(spark, d):
+    """How many adjusted p values fall below 0.01."""
+    return evaluate.significant(evaluate.mann_whitney_p(_ranked(spark, d), ["p_brand"], "v", "pos"))
+
+
+@register()
+def balanced_auc(spark, d):
+    """AUC with as many rows of either class in each group, by a keyed sample."""
+    pos = F.col("p_type").like("%BRASS") | (F.col("p_partkey") % 3 == 0)
+    x = table(spark, d, "part").select("p_brand", F.col("p_size").alias("v"), pos.alias("pos"), "p_partkey")
+    return rounded(evaluate.balanced_auc(x, ["p_brand"], "v", "pos", "p_partkey"), "auc")
+
+
 @register("SELECT p_brand, round(log2((1 + avg(p_retailprice) FILTER (p_size > 25)) / (1 + avg(p_retailprice) FILTER (p_size <= 25))), 6) + 0.0 AS log2fc FROM part GROUP BY 1")
 def log2_fold_change(spark, d):
     hi, lo = (F.avg(F.when(c, F.col("p_retailprice"))) for c in (F.col("p_size") > 25, F.col("p_size") <= 25))
@@ -124,9 +138,9 @@ def pearson_depth(spark, d):
 @register("WITH x AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part) SELECT round(corr(a, b), 6) + 0.0 AS rho FROM x")
 def spearman(spark, d):
     """Correlation of average ranks."""
-    p = table(spark, d, "part").select(F.lit(0).alias("g"), "p_size", "p_retailprice")
-    x = evaluate.average_ranks(p, ["g"], "p_size").withColumnRenamed("rank", "a")
-    y = evaluate.average_ranks(x, ["g"], "p_retailprice").withColumnRenamed("rank", "b")
+    p = table(spark, d, "part").select("p_size", "p_retailprice")
+    x = ranks.average_ranks(p, [], "p_size").withColumnRenamed("rank", "a")
+    y = ranks.average_ranks(x, [], "p_retailprice").withColumnRenamed("rank", "b")
     return rounded(y.agg(F.corr("a", "b").alias("rho")), "rho")
 
 
@@ -183,9 +197,9 @@ def kde_grid(spark, d):
 
 @register("SELECT p_brand, round(quantile_cont(p_retailprice, 0.25), 6) AS q1, round(quantile_cont(p_retailprice, 0.5), 6) AS q2, round(quantile_cont(p_retailprice, 0.75), 6) AS q3, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY 1")
 def box_statistics(spark, d):
-    q = F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    x = table(spark, d, "part").groupBy("p_brand").agg(q.alias("q"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
-    return rounded(x.select("p_brand", *(F.col("q")[i].alias(f"q{i + 1}") for i in range(3)), "low", "high"), "q1", "q2", "q3")
+    p = table(spark, d, "part")
+    ends = p.groupBy("p_brand").agg(F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+    return rounded(ranks.quantiles(p, ["p_brand"], "p_retailprice", [0.25, 0.5, 0.75]).join(ends, "p_brand"), "q1", "q2", "q3")
 
 
 @register("SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(1.959963984540054 * stddev_samp(l_quantity) / sqrt(count(*)), 6) AS half_width FROM lineitem GROUP BY 1")
@@ -196,14 +210,15 @@ def mean_interval(spark, d):
 
 @register("SELECT c_mktsegment, c_custkey, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) - 1) * 1.0 / count(*) OVER (PARTITION BY c_mktsegment) AS DOUBLE) AS cdf FROM customer")
 def rank_as_cdf(spark, d):
-    w = Window.partitionBy("c_mktsegment")
-    c = table(spark, d, "customer")
-    return c.select("c_mktsegment", "c_custkey", ((F.row_number().over(w.orderBy("c_acctbal", "c_custkey")) - 1) / F.count("*").over(w)).alias("cdf"))
+    c = table(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
+    n = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return ranks.numbered(c, ["c_mktsegment"], ["c_acctbal", "c_custkey"]).join(n, "c_mktsegment").select("c_mktsegment", "c_custkey", (F.col("number") / F.col("n")).alias("cdf"))
 
 
 @register("WITH m AS (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS med FROM orders GROUP BY 1) SELECT o_orderpriority, round(any_value(med), 6) AS median, round(quantile_cont(abs(o_totalprice - med), 0.5) / 0.6744897501960817, 6) AS mad FROM orders JOIN m USING (o_orderpriority) GROUP BY 1")
 def median_mad(spark, d):
     o = table(spark, d, "orders")
-    m = o.groupBy("o_orderpriority").agg(F.percentile("o_totalprice", 0.5).alias("med"))
-    x = o.join(F.broadcast(m), "o_orderpriority")  # one row a priority
-    return rounded(x.groupBy("o_orderpriority").agg(F.first("med").alias("median"), (F.percentile(F.abs(F.col("o_totalprice") - F.col("med")), 0.5) / 0.6744897501960817).alias("mad")), "median", "mad")
+    m = ranks.quantiles(o, ["o_orderpriority"], "o_totalprice", [0.5], ["median"])
+    x = o.join(m, "o_orderpriority").select("o_orderpriority", F.abs(F.col("o_totalprice") - F.col("median")).alias("off"))
+    mad = ranks.quantiles(x, ["o_orderpriority"], "off", [0.5], ["off"])
+    return rounded(m.join(mad, "o_orderpriority").select("o_orderpriority", "median", (F.col("off") / 0.6744897501960817).alias("mad")), "median", "mad")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from countloom.operators import experiments as X, normalise
+from countloom.operators import experiments as X, normalise, ranks
 from countloom.bundle import CountMatrix
 from countloom.plans.catalog import CM, DENSE, SM, UE, UH, customer_month, register, rounded, supplier_month, table, user_event, user_hour
 from countloom.sources import modalities
@@ -86,15 +86,15 @@ def kth_largest(spark, d):
 @register("WITH e AS (SELECT quantile_cont(c_acctbal, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM customer) SELECT CAST(len(list_filter(q, lambda x: x < c_acctbal)) AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM customer CROSS JOIN e GROUP BY 1")
 def decile_bins(spark, d):
     c = table(spark, d, "customer")
-    e = c.agg(F.percentile("c_acctbal", F.lit([i / 10 for i in range(1, 10)])).alias("q"))
-    return c.join(F.broadcast(e)).groupBy(F.size(F.filter("q", lambda x: x < F.col("c_acctbal"))).alias("bin")).agg(F.count("*").alias("n"))
+    e = ranks.quantiles(c, [], "c_acctbal", [i / 10 for i in range(1, 10)]).select(F.array(*(F.col(f"q{i}") for i in range(1, 10))).alias("q"))
+    return c.crossJoin(F.broadcast(e)).groupBy(F.size(F.filter("q", lambda x: x < F.col("c_acctbal"))).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @register("SELECT name, row_number() OVER (PARTITION BY name ORDER BY k) - 1 AS copy FROM (SELECT p_type AS name, p_partkey AS k FROM part)")
 def make_unique(spark, d):
     """Numbers by which equal names are told apart."""
-    w = Window.partitionBy("name").orderBy("k")
-    return table(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("k")).select("name", (F.row_number().over(w) - 1).cast("long").alias("copy"))
+    p = table(spark, d, "part").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("k"))
+    return ranks.numbered(p, ["name"], ["k"], "copy").select("name", "copy")
 
 
 @register(SM + " SELECT round(sum(abs(a.value - b.value)), 4) AS l1, round(sum(pow(a.value - b.value, 2)), 4) AS l2 FROM cells a JOIN cells b ON a.col_id = b.col_id AND b.row_id = a.row_id + 1")

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from countloom.bundle import CountMatrix
+from countloom.operators import ranks
+from countloom.session import cut
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -48,23 +50,50 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", *, inde
     return out.withColumnRenamed(names[0], index) if index else out
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(number, value): the lines of one text file with their places from 0.
+
+    Places within a split of the file are known to its task; how many lines stand before it comes from a count a split.
+    """
+    files = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    found = files.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("id").alias("first")).orderBy("start").collect()
+    if len({r["file"] for r in found}) > 1:
+        raise ValueError("lines are numbered in one file at a time")
+    before, rows = 0, []
+    for r in found:
+        rows.append((r["start"], before - r["first"]))
+        before += r["n"]
+    offsets = spark.createDataFrame(rows, "start long, offset long")
+    return files.join(F.broadcast(offsets), "start").select((F.col("id") + F.col("offset")).alias("number"), "value")  # a row a split
+
+
 def read_matrix_market(spark: SparkSession, path: str) -> CountMatrix:
-    """Coordinate MatrixMarket (.mtx, .mtx.gz), 1-based in the file and 0-based here; rows and columns as the size line says."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    parts = F.split(F.trim("value"), r"\s+")
-    size = next(r[0].split() for r in spark.read.text(path).limit(10_000).toLocalIterator() if not r[0].startswith("%") and r[0].strip())
-    pattern = spark.read.text(path).first()[0].lower().find("pattern") > 0
-    cells = lines.select(parts.alias("p"), F.col("value").alias("line")).where(F.col("line") != " ".join(size)) if pattern else lines.select(parts.alias("p")).where(F.size("p") == 3)
+    """Coordinate MatrixMarket (.mtx, .mtx.gz, or a folder that ``write_matrix_market`` made), 1-based in the file and 0-based here.
+
+    Rows and columns are as many as the size line says, which is the first that is neither empty nor a comment. Raises if the file holds another number of cells than it says.
+    """
+    if _exists(spark, f"{path}/cells") and _exists(spark, f"{path}/header"):
+        lines, head = spark.read.text(f"{path}/cells"), [r[0] for r in spark.read.text(f"{path}/header").collect()]  # two lines
+        pattern, size = "pattern" in head[0].lower(), head[-1].split()
+    else:
+        numbered = numbered_lines(spark, path).where(F.trim("value") != "")
+        said = numbered.where(~F.col("value").startswith("%")).agg(F.min(F.struct("number", "value")).alias("m")).first()["m"]
+        banner = numbered.agg(F.min(F.struct("number", "value"))).first()[0]
+        if said is None:
+            raise ValueError("the file has no size line")
+        pattern, size = "pattern" in banner["value"].lower() and banner["value"].startswith("%%"), said["value"].split()
+        lines = numbered.where((F.col("number") > said["number"]) & ~F.col("value").startswith("%")).select("value")
     rows, cols, stored = map(int, size)
-    value = F.lit(1.0) if pattern else F.col("p")[2].cast("double")
-    cells = cells.select((F.col("p")[0].cast("long") - 1).alias("row_id"), (F.col("p")[1].cast("long") - 1).alias("col_id"), value.alias("value"), F.concat_ws(" ", "p").alias("_l"))
-    first = F.lit(f"{rows} {cols} {stored}")
-    cells = cells.where(F.col("_l") != first).drop("_l")
+    p = F.split(F.trim("value"), r"\s+")
+    value = F.lit(1.0) if pattern else p[2].cast("double")
+    cells = lines.where(F.trim("value") != "").select((p[0].cast("long") - 1).alias("row_id"), (p[1].cast("long") - 1).alias("col_id"), value.alias("value"))
+    if (held := cells.count()) != stored:
+        raise ValueError(f"the size line says {stored} cells, the file holds {held}")
     return CountMatrix(cells, spark.range(rows).select(F.col("id").alias("row_id")), spark.range(cols).select(F.col("id").alias("col_id")))
 
 
 def write_matrix_market(m: CountMatrix, path: str) -> None:
-    """Cells with 1-based ids (ids must be numbers from 0) as text parts; the size line is in ``path``/header."""
+    """Cells with 1-based ids (ids must be numbers from 0) as text parts below ``path``/cells; banner and size line are in ``path``/header."""
     rows, cols = m.shape
     spark = m.cells.sparkSession
     n = m.cells.count()
@@ -72,6 +101,52 @@ def write_matrix_market(m: CountMatrix, path: str) -> None:
     spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{rows} {cols} {n}",)], "line string").coalesce(1).write.text(f"{path}/header")
 
 
+def _first(spark: SparkSession, folder: str, names: list[str]) -> str:
+    for name in names:
+        for end in ("", ".gz"):
+            if _exists(spark, f"{folder}/{name}{end}"):
+                return f"{folder}/{name}{end}"
+    raise FileNotFoundError(f"{folder} holds none of {', '.join(names)}")
+
+
+def read_10x(spark: SparkSession, folder: str, *, unique: bool = False) -> CountMatrix:
+    """A folder of matrix.mtx, barcodes.tsv and features.tsv (or genes.tsv), each perhaps .gz: rows are barcodes, columns features.
+
+    ``obs`` has the barcode as row_id; ``var`` the feature's id as col_id, its ``name`` and ``feature_type`` where they are there. Or a folder that ``write_10x`` made.
+    With ``unique`` repeated names get a number from the second on.
+    """
+    if _exists(spark, f"{folder}/names"):
+        place = lambda kind: spark.read.parquet(f"{folder}/names/{kind}")
+        barcodes, features, m = place("barcodes"), place("features"), read_matrix_market(spark, f"{folder}/matrix")
+    else:
+        m = read_matrix_market(spark, _first(spark, folder, ["matrix.mtx"]))
+        parts = F.split("value", "\t")
+        barcodes = numbered_lines(spark, _first(spark, folder, ["barcodes.tsv"])).select("number", parts[0].alias("barcode"))
+        some = lambda i: F.when(F.size(parts) > i, parts[i])
+        features = numbered_lines(spark, _first(spark, folder, ["features.tsv", "genes.tsv"])).select("number", parts[0].alias("feature"), some(1).alias("name"), some(2).alias("feature_type"))
+    if (barcodes.count(), features.count()) != (m.shape[1], m.shape[0]):
+        raise ValueError("barcodes and features are not as many as the matrix has columns and rows")
+    if unique:
+        copy = ranks.numbered(features, ["name"], ["number"], "copy")
+        features = copy.withColumn("name", F.when(F.col("copy") > 0, F.concat_ws("-", "name", "copy")).otherwise(F.col("name"))).drop("copy")
+    cells = m.cells.join(features.select(F.col("number").alias("row_id"), F.col("feature").alias("f")), "row_id").join(barcodes.select(F.col("number").alias("col_id"), F.col("barcode").alias("b")), "col_id")
+    return CountMatrix(cells.select(F.col("b").alias("row_id"), F.col("f").alias("col_id"), "value"), barcodes.select(F.col("barcode").alias("row_id")), features.select(F.col("feature").alias("col_id"), "name", "feature_type"))
+
+
+def write_10x(m: CountMatrix, folder: str) -> None:
+    """The matrix with the names of rows and columns, in their order, as ``read_10x`` reads it."""
+    barcodes = cut(ranks.numbered(m.obs.select(F.col("row_id").cast("string").alias("barcode")), [], ["barcode"]), "barcodes")
+    extra = [F.col(c).cast("string") if c in m.var.columns else F.lit(None).cast("string").alias(c) for c in ("name", "feature_type")]
+    features = cut(ranks.numbered(m.var.select(F.col("col_id").cast("string").alias("feature"), *extra), [], ["feature"]), "features")
+    cells = m.cells.select(F.col("row_id").cast("string").alias("barcode"), F.col("col_id").cast("string").alias("feature"), "value")
+    at = cells.join(features.select("feature", F.col("number").alias("r")), "feature").join(barcodes.select("barcode", F.col("number").alias("c")), "barcode")
+    spark = m.cells.sparkSession
+    rows, cols = features.count(), barcodes.count()
+    write_matrix_market(CountMatrix(at.select(F.col("r").alias("row_id"), F.col("c").alias("col_id"), "value"), spark.range(rows).select(F.col("id").alias("row_id")), spark.range(cols).select(F.col("id").alias("col_id"))), f"{folder}/matrix")
+    barcodes.write.parquet(f"{folder}/names/barcodes")
+    features.write.parquet(f"{folder}/names/features")
+
+
 def zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """(archive, member, line): the text lines of zip members; archives are dealt over tasks, one in memory at a time."""
 
