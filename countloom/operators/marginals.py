@@ -75,14 +75,16 @@ def qc(m: CountMatrix, flag: Column) -> DataFrame:
     return _all(agg, m.obs.select("row_id"), "row_id").withColumn("subset_share", F.coalesce(F.try_divide("subset_total", "total"), F.lit(0.0)))
 
 
-def sampling_probability(m: CountMatrix) -> DataFrame:
-    """Rank-one observation probabilities of the cells: least(row share * column share / overall share, 1).
-
-    A cell is unobserved where it holds NaN.
-    """
+def sampling_shares(m: CountMatrix) -> tuple[DataFrame, DataFrame, float]:
+    """(row_id, row_p), (col_id, col_p) and the overall share of observed cells; a cell is unobserved where it holds NaN."""
     rows, cols = m.shape
     lost = m.cells.where(F.isnan("value"))
     r = _all(lost.groupBy("row_id").agg(F.count("*").alias("lost_r")), m.obs.select("row_id"), "row_id").select("row_id", (1 - F.col("lost_r") / cols).alias("row_p"))
     c = _all(lost.groupBy("col_id").agg(F.count("*").alias("lost_c")), m.var.select("col_id"), "col_id").select("col_id", (1 - F.col("lost_c") / rows).alias("col_p"))
-    share = 1 - lost.count() / (rows * cols)
+    return r, c, 1 - lost.count() / (rows * cols)
+
+
+def sampling_probability(m: CountMatrix) -> DataFrame:
+    """Rank-one observation probabilities of the cells: least(row share * column share / overall share, 1)."""
+    r, c, share = sampling_shares(m)
     return m.cells.join(r, "row_id").join(c, "col_id").select("row_id", "col_id", F.least(F.col("row_p") * F.col("col_p") / share, F.lit(1.0)).alias("p"))
