@@ -14,12 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from countloom.functions.elementwise import t_quantile, two_sided
-from countloom.operators import ranks, sampling
+from countloom.operators import neighbours, ranks, sampling
+from countloom.operators.neighbours import _CELLS, _approximate, _exact, _values
 
 #: Points of a query block and of a block that it is held against.
 QUERIES, POINTS = 4096, 16384
-#: Cells of a distance matrix that are in memory at once.
-_CELLS = 1 << 22
 
 def squared_distances(points: DataFrame, queries: DataFrame, col: str = "values") -> DataFrame:
     """(a, b, d2) of every query a with every other point b; both tables are (id, values, ...)."""
@@ -79,23 +78,6 @@ def _silhouette(mean: DataFrame) -> DataFrame:
     return s.select("a", F.when(F.col("own").isNull() | (F.greatest("own", "other") == 0), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other")).alias("silhouette"))
 
 
-def _values(t: pa.Table, name: str) -> np.ndarray:
-    col = t.column(name).combine_chunks()
-    return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
-
-
-def _approximate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared distances through products, and the size that their errors go by."""
-    xx, yy = (x * x).sum(1), (y * y).sum(1)
-    return np.maximum(xx[:, None] + yy - 2 * (x @ y.T), 0), float(xx.max(initial=0) + yy.max(initial=0))
-
-
-def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of rows, summed in the order of the columns."""
-    d = (x - y).T
-    return (d * d).sum(0)
-
-
 def block_pairs(points: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
     """``run`` on each pair of a query block and a block of all points: (id, values, *columns) on both sides."""
     n = points.count()
@@ -120,30 +102,15 @@ def nearest_of_all(points: DataFrame, k: int) -> DataFrame:
 
 
 def _nearest_lists(points: DataFrame, k: int) -> DataFrame:
-    """(a, la, fa, near): per point the k nearest (d2, b, lb) of other folds."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y = _values(left, "values"), _values(right, "values")
-        fx, fy, ids, labels = left.column("fold").to_numpy(), right.column("fold").to_numpy(), right.column("id").to_numpy(), right.column("label").to_numpy()
-        found = []
-        step = max(1, _CELLS // max(1, len(y)))
-        for at in range(0, len(x) if len(y) else 0, step):
-            d, size = _approximate(x[at : at + step], y)
-            d[fx[at : at + step, None] == fy] = np.inf
-            edge = (np.partition(d, k - 1, axis=1)[:, k - 1] if len(y) > k else np.full(len(d), np.inf)) + 1e-9 * size
-            for row, e in zip(range(at, at + len(d)), edge):
-                c = np.flatnonzero((d[row - at] <= e) & (d[row - at] < np.inf))
-                z = _exact(x[row], y[c])
-                order = np.lexsort((ids[c], z))[:k]
-                found.append((row, z[order], ids[c][order], labels[c][order]))
-        rows = np.array([f[0] for f in found], int)
-        lists = lambda i, kind: pa.array([f[i] for f in found], pa.list_(kind))
-        return pa.table({"a": left.column("id").take(rows), "la": left.column("label").take(rows), "fa": left.column("fold").take(rows), "d2": lists(1, pa.float64()), "b": lists(2, pa.int64()), "lb": lists(3, pa.int32())})
+    """(a, la, fa, near): per point the k nearest (d2, b, lb) of other folds.
 
+    Up to a few blocks, every block against every other; beyond, only cells of points that may hold one of the k (``neighbours``).
+    """
     p = points.select(F.col("id").cast("long").alias("id"), "values", F.col("label").cast("int").alias("label"), F.col("fold").cast("long").alias("fold"))
-    parts = block_pairs(p, ["label", "fold"], run, "a long, la int, fa long, d2 array<double>, b array<long>, lb array<int>")
-    best = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("d2", "b", "lb")))), 1, k)
-    return parts.groupBy("a", "la", "fa").agg(best.alias("near"))
+    if p.limit(neighbours.SMALL + 1).count() > neighbours.SMALL:
+        return neighbours.nearest_lists(p, k)
+    parts = block_pairs(p, ["label", "fold"], neighbours.kernel(k), neighbours.LISTS)
+    return neighbours.merged(parts, k)
 
 
 def silhouette_of_all(points: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Queries on distances, neighbours, rank statistics and graphs.
 
 Neighbour searches and ``silhouette`` take as queries every vector whose id is divisible by a stated number, against all
-vectors; ``silhouette_of_all`` scores every vector, in blocks. Graph queries are over the class centroids or the stated
+vectors; statistics of neighbours and ``silhouette_of_all`` are of every vector. Graph queries are over the class centroids or the stated
 query set, so no table of all pairs of a corpus is made.
 """
 
@@ -14,6 +14,7 @@ from countloom.plans.catalog import register, rounded, table
 
 _STEP = 25
 _E = f"WITH p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT * FROM p WHERE id % {_STEP} = 0)"
+_ALL = _E.replace(f" WHERE id % {_STEP} = 0", "")  # statistics are of every point
 _D = ", d AS (SELECT q.id AS a, p.id AS b, list_sum(list_transform(list_zip(q.v, p.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2 FROM q JOIN p ON q.id <> p.id)"
 _NN = ", nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(d2, 9), b) AS rank FROM d) WHERE rank <= 10)"
 
@@ -31,6 +32,10 @@ def _nn(spark, d):
     return evaluate.nearest(_distances(spark, d), 10)
 
 
+def _nn_all(spark, d):
+    return evaluate.nearest_of_all(_points(spark, d), 10)
+
+
 @register(_E + _D + " SELECT a, b, round(sqrt(d2), 5) AS distance FROM d")
 def euclidean_distances(spark, d):
     return rounded(_distances(spark, d).select("a", "b", F.sqrt("d2").alias("distance")), "distance", digits=5)
@@ -41,28 +46,28 @@ def knn_graph(spark, d):
     return _nn(spark, d).select("a", "b", "rank")
 
 
-@register(_E + _D + _NN + " SELECT round(avg(CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM nn JOIN p x ON x.id = a JOIN p y ON y.id = b")
+@register(_ALL + _D + _NN + " SELECT round(avg(CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM nn JOIN p x ON x.id = a JOIN p y ON y.id = b")
 def knn_label_agreement(spark, d):
-    return rounded(evaluate.agreement(_nn(spark, d), _points(spark, d)), "agreement")
+    return rounded(evaluate.agreement(_nn_all(spark, d), _points(spark, d)), "agreement")
 
 
 _VOTES = ", votes AS (SELECT a, label, count(*) AS n FROM nn JOIN p ON p.id = b GROUP BY 1, 2), best AS (SELECT a, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, label) AS k FROM votes) WHERE k = 1)"
 
 
-@register(_E + _D + _NN + _VOTES + " SELECT a, predicted FROM best")
+@register(_ALL + _D + _NN + _VOTES + " SELECT a, predicted FROM best")
 def knn_majority_label(spark, d):
-    return evaluate.majority(_nn(spark, d), _points(spark, d))
+    return evaluate.majority(_nn_all(spark, d), _points(spark, d))
 
 
-@register(_E + _D + _NN + _VOTES + " SELECT round(avg(r), 6) AS balanced_accuracy FROM (SELECT label, avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS r FROM best JOIN p ON p.id = a GROUP BY 1)")
+@register(_ALL + _D + _NN + _VOTES + " SELECT round(avg(r), 6) AS balanced_accuracy FROM (SELECT label, avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS r FROM best JOIN p ON p.id = a GROUP BY 1)")
 def knn_balanced_accuracy(spark, d):
-    return rounded(evaluate.balanced_accuracy(evaluate.majority(_nn(spark, d), _points(spark, d)), _points(spark, d)), "balanced_accuracy")
+    return rounded(evaluate.balanced_accuracy(evaluate.majority(_nn_all(spark, d), _points(spark, d)), _points(spark, d)), "balanced_accuracy")
 
 
-@register(_E + _D + _NN + ", s AS (SELECT label, count(*) * 1.0 / (SELECT count(*) FROM p) AS share FROM p GROUP BY 1), g AS (SELECT a, s.label, share, (SELECT count(*) FROM nn x JOIN p ON p.id = x.b WHERE x.a = k.a AND p.label = s.label) AS seen FROM (SELECT DISTINCT a FROM nn) k CROSS JOIN s) SELECT a, round(sum((seen - 10 * share) * (seen - 10 * share) / (10 * share)), 6) AS chi2, sum((seen - 10 * share) * (seen - 10 * share) / (10 * share)) < 16.919 AS mixed FROM g GROUP BY 1")
+@register(_ALL + _D + _NN + ", s AS (SELECT label, count(*) * 1.0 / (SELECT count(*) FROM p) AS share FROM p GROUP BY 1), g AS (SELECT a, s.label, share, (SELECT count(*) FROM nn x JOIN p ON p.id = x.b WHERE x.a = k.a AND p.label = s.label) AS seen FROM (SELECT DISTINCT a FROM nn) k CROSS JOIN s) SELECT a, round(sum((seen - 10 * share) * (seen - 10 * share) / (10 * share)), 6) AS chi2, sum((seen - 10 * share) * (seen - 10 * share) / (10 * share)) < 16.919 AS mixed FROM g GROUP BY 1")
 def knn_batch_mixing(spark, d):
     p = _points(spark, d)
-    return rounded(evaluate.mixing(_nn(spark, d), p, 16.919), "chi2")
+    return rounded(evaluate.mixing(_nn_all(spark, d), p, 16.919), "chi2")
 
 
 @register(_E + _D + ", c AS (SELECT a, x.label AS la, y.label AS lb, avg(sqrt(round(d2, 9))) AS m FROM d JOIN p x ON x.id = a JOIN p y ON y.id = b GROUP BY 1, 2, 3), s AS (SELECT a, min(m) FILTER (la = lb) AS own, min(m) FILTER (la <> lb) AS other FROM c GROUP BY 1) SELECT a, CASE WHEN own IS NULL THEN 0.0 ELSE round((other - own) / greatest(own, other), 5) END AS silhouette FROM s")
