@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from countloom.bundle import CountMatrix, subsample
 from countloom.operators import evaluate, fit as fitting, ranks, spectrum
 from countloom.operators.marginals import moments
+from countloom.session import cut
 
 
 def scores(m: CountMatrix, k: int) -> DataFrame:
@@ -139,11 +140,29 @@ def low_rank_moments(m: CountMatrix, k: int) -> DataFrame:
     return moments(m.with_cells(spectrum.reconstruct(m, f, f.s[:k])), 0)
 
 
-def regress_out(m: CountMatrix, covariate: DataFrame) -> DataFrame:
-    """Residuals of the dense matrix on one covariate (row_id, c) by ordinary least squares per column."""
-    d = m.densify().join(covariate, "row_id")
-    slope = d.groupBy("col_id").agg(F.coalesce(F.try_divide(F.covar_samp("value", "c"), F.var_samp("c")), F.lit(0.0)).alias("slope"), F.avg("value").alias("mv"), F.avg("c").alias("mc"))
-    return d.join(slope, "col_id").select("row_id", "col_id", (F.col("value") - F.col("mv") - F.col("slope") * (F.col("c") - F.col("mc"))).alias("value"))
+def regress_out(m: CountMatrix, covariates: DataFrame) -> DataFrame:
+    """Residuals of the dense matrix on covariates (row_id, c1, c2, ...) and a constant by least squares, per column; rows without covariates are left out.
+
+    The normal equations' matrix is shared: sums over rows once, of a few covariates, inverted (pseudo-inverse, so covariates that depend on
+    others do no harm) on the driver. Their right sides come from the stored cells alone, as centred covariates add up to nothing.
+    """
+    names = [c for c in covariates.columns if c != "row_id"]
+    c = cut(covariates.select("row_id", F.array(*(F.col(n).cast("double") for n in names)).alias("c")).join(m.obs.select("row_id"), "row_id"), "covariates")
+    p = range(len(names))
+    at = lambda x, i: F.col(x)[i]
+    first = c.agg(F.count("*").alias("n"), *(F.avg(at("c", i)) for i in p)).first()
+    if not first[0]:
+        return m.cells.limit(0).select("row_id", "col_id", "value")
+    mean = list(first[1:])
+    gram = np.array(c.agg(*(F.sum((at("c", i) - mean[i]) * (at("c", j) - mean[j])) for i in p for j in p)).first(), float).reshape(len(names), len(names))
+    unit = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    inverse = np.linalg.pinv(gram / np.outer(unit, unit), rcond=1e-9, hermitian=True) / np.outer(unit, unit)
+    inner = m.submatrix(rows=c)
+    sides = inner.cells.join(c, "row_id").groupBy("col_id").agg((F.sum("value") / first[0]).alias("mv"), *(F.sum(F.col("value") * (at("c", i) - mean[i])).alias(f"b{i}") for i in p))
+    slope = F.array(*(sum((F.col(f"b{j}") * float(inverse[i, j]) for j in p), F.lit(0.0)) for i in p)).alias("slope")
+    d = inner.densify().join(c, "row_id").join(sides.select("col_id", "mv", slope), "col_id", "left")  # columns without a cell are 0 and stay so
+    fitted = sum((at("slope", i) * (at("c", i) - mean[i]) for i in p), F.col("mv"))
+    return d.select("row_id", "col_id", F.coalesce(F.col("value") - fitted, F.lit(0.0)).alias("value"))
 
 
 def scaled(cells: DataFrame, most: float = 10.0) -> DataFrame:
@@ -157,9 +176,54 @@ def truncate_quantile(cells: DataFrame, q: float, axis: str = "col_id") -> DataF
     return cells.join(t, axis).where(F.col("value") > F.col("t")).drop("t")
 
 
-def low_rank_threshold(m: CountMatrix, k: int, q: float = 0.001) -> DataFrame:
-    """Rank-k values above the absolute q-quantile of their column, zeros elsewhere; known non-zeros are kept."""
-    f = spectrum.svd(m, k)
+def noise_run(m: CountMatrix, seed: int = 42) -> CountMatrix:
+    """The matrix with seeded random signs: of the same sizes cell by cell, but without what rows or columns have in common."""
+    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "row_id", "col_id"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    return m.map_values(F.col("value") * sign)
+
+
+def choose_rank(s: np.ndarray, top: float, energy: float, margin: float = 1.05) -> int:
+    """How many leading singular values exceed ``top``, the largest one of a noise run, by the ``margin``.
+
+    The noise run has the energy (sum of squares) of the whole matrix, components included: so what is found is taken out of it, and
+    ``top`` falls as the root of what is left, until nothing more is found.
+    """
+    found, k = -1, 0
+    while energy and k > found:
+        found = k
+        edge = margin * top * math.sqrt(max(energy - (s[:found] ** 2).sum(), 0.0) / energy)
+        k = max(found, int((s > edge).cumprod().sum()))
+    return k
+
+
+def gap_rank(s: np.ndarray, *, noise_share: float = 0.2, deviations: float = 6.0) -> int:
+    """The last gap between neighbouring singular values that exceeds the mean gap of the tail (``noise_share``) by ``deviations`` standard deviations.
+
+    Gaps at the edge of pure noise are larger than those within, so weak noise values may count; ``choose_rank`` has no such fault.
+    """
+    gaps = -np.diff(s)
+    tail = gaps[int(len(s) * (1 - noise_share)) :]
+    if len(tail) < 2:
+        raise ValueError("too few singular values to tell noise")
+    out = np.flatnonzero(gaps > tail.mean() + deviations * tail.std(ddof=1))
+    return int(out[-1]) + 1 if len(out) else 0
+
+
+#: Leading singular values among which a rank is chosen.
+CHOICE = 100
+
+
+def low_rank_threshold(m: CountMatrix, k: int | None = None, q: float = 0.001) -> DataFrame:
+    """Rank-k values above the absolute q-quantile of their column, zeros elsewhere; known non-zeros are kept.
+
+    Without ``k`` it is chosen among the leading CHOICE singular values by a noise run (at least 1; raises if all of them exceed it and there are more).
+    """
+    f = spectrum.svd(m, k or min(CHOICE, *m.shape))
+    if k is None:
+        k = choose_rank(f.s, float(spectrum.svd(noise_run(m), 1).s[0]), m.cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0])
+        if k == len(f.s) < min(m.shape):
+            raise ValueError(f"more than {k} components: say how many (k)")
+        k = max(1, k)
     low = spectrum.reconstruct(m, f, f.s[:k])
     kept = truncate_quantile(low, q).withColumnRenamed("value", "z")
     known = m.cells.withColumnRenamed("value", "x")

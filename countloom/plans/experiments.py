@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from countloom.operators import experiments as X, normalise, ranks
 from countloom.bundle import CountMatrix
-from countloom.plans.catalog import CM, DENSE, SM, UE, UH, customer_month, register, rounded, supplier_month, table, user_event, user_hour
+from countloom.plans.catalog import CM, DENSE, SM, UE, UH, customer_month, register, rounded, supplier_brand, supplier_month, table, user_event, user_hour
 from countloom.sources import modalities
 
 _SPATIAL = ", o AS (SELECT row_id, sum(value) AS total_counts, CAST(count(*) AS BIGINT) AS total_genes FROM cells GROUP BY 1)"
@@ -38,6 +38,18 @@ def regress_out(spark, d):
     return rounded(X.regress_out(m, m.cells.groupBy("row_id").agg(F.sum("value").alias("c"))), "value", digits=5)
 
 
+@register(
+    UH + DENSE + ", t AS (SELECT row_id, sum(value) AS c, CAST(row_id % 7 AS DOUBLE) AS e FROM cells GROUP BY 1), a AS (SELECT avg(c) AS mc, avg(e) AS me, var_pop(c) AS cc, var_pop(e) AS ee, covar_pop(c, e) AS ce FROM t),"
+    " x AS (SELECT row_id, col_id, value, c - mc AS c, e - me AS e FROM dense JOIN t USING (row_id) CROSS JOIN a), s AS (SELECT col_id, avg(value) AS mv, covar_pop(value, c) AS xc, covar_pop(value, e) AS xe FROM x GROUP BY 1)"
+    " SELECT row_id, col_id, round(value - mv - c * (xc * ee - xe * ce) / (cc * ee - ce * ce) - e * (xe * cc - xc * ce) / (cc * ee - ce * ce), 5) + 0.0 AS value FROM x JOIN s USING (col_id) CROSS JOIN a"
+)
+def regress_out_covariates(spark, d):
+    """Two covariates at once, and one that both of them determine."""
+    m = user_hour(spark, d)
+    c = m.cells.groupBy("row_id").agg(F.sum("value").alias("c")).withColumn("e", (F.col("row_id") % 7).cast("double"))
+    return rounded(X.regress_out(m, c.withColumn("both", F.col("c") - 2 * F.col("e"))), "value", digits=5)
+
+
 @register(CM + DENSE + ", s AS (SELECT col_id, avg(value) AS mean, stddev_pop(value) AS sd FROM dense GROUP BY 1) SELECT row_id, col_id, round(least((value - mean) / CASE WHEN sd < 1e-12 THEN 1 ELSE sd END, 2.0), 6) + 0.0 AS value FROM dense JOIN s USING (col_id)")
 def scaled_with_limit(spark, d):
     return rounded(X.scaled(normalise.zscore(customer_month(spark, d)), 2.0), "value")
@@ -170,6 +182,19 @@ def silhouette_by_components(spark, d):
     return rounded(X.silhouette_by_components(m, labels, [2, 4]), "silhouette", digits=5)
 
 
+@register()
+def low_rank_threshold_chosen(spark, d):
+    """The rank is told by a noise run."""
+    return rounded(X.low_rank_threshold(supplier_month(spark, d)), "value", digits=5)
+
+
+@register()
+def parameter_table(spark, d):
+    """Fits of two matrices of the same suppliers."""
+    found = X.parameter_table({"brand": supplier_brand(spark, d), "month": supplier_month(spark, d)})
+    return rounded(found, "sigma", "ks", "bhat", "chat", "b", "c", digits=5)
+
+
 @register()
 def low_rank_threshold(spark, d):
     return rounded(X.low_rank_threshold(supplier_month(spark, d), 2), "value", digits=5)

@@ -94,6 +94,25 @@ def fold_in_projection(spark, d):
 _POISSON = {"bhat": 1.0, "chat": 0.0}
 
 
+@register()
+def spectrum_around_rank(spark, d):
+    """The singular values next to the rank's edge, and the side each is on."""
+    _, y = _scaled(spark, d)
+    f, _, rank, _ = spectrum.spectrum_of(y)
+    values = spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(f.s)], "component int, s double")
+    return spectrum.around_rank(values, rank)
+
+
+@register()
+def missing_entries_fit(spark, d):
+    """The rank and the noise where a tenth of the stored cells, told by a hash, is missing."""
+    m = supplier_month(spark, d)
+    lost = F.pmod(F.xxhash64("row_id", "col_id"), F.lit(10)) == 0
+    f = fitting.fit(m.map_values(F.when(lost, F.lit(float("nan"))).otherwise(F.col("value"))), {"bhat": 1.0, "chat": 0.0})
+    row = (f.rank, round(f.parameters["sigma_residual"], 6), round(f.observed.share, 6), round(float(f.kst), 6))
+    return spark.createDataFrame([row], "rank int, sigma double, observed double, ks double")
+
+
 @register()
 def estimator_transform(spark, d):
     """The denoised counts: unscaled, and with rows brought to the median row sum."""

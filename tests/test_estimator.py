@@ -280,3 +280,40 @@ def test_subsample_and_stabilise_queries(spark):
     a, b = (sorted(r[0] for r in subsample(ids.repartition(n), "id", 9, 3).collect()) for n in (1, 7))
     assert a == b and len(a) == 9
     assert query(spark, "auto_stabilize").count() > 0
+
+
+def test_registered_fits_of_this_kind(spark, months):
+    """Missing entries, values around the rank, the chosen rank and the table of fits, against NumPy."""
+    m, rows, cols, x = months
+    s = np.linalg.svd(x, compute_uv=False)
+    noise = np.linalg.svd(dense(X.noise_run(m).cells, rows, cols), compute_uv=False)
+    assert (np.abs(dense(X.noise_run(m).cells, rows, cols)) == x).all()
+    k = max(1, X.choose_rank(s[: X.CHOICE], noise[0], (x**2).sum()))
+    u, w, vt = np.linalg.svd(x, full_matrices=False)
+    low = (u[:, :k] * w[:k]) @ vt[:k]
+    edge = np.abs(np.quantile(low, 0.001, axis=0))
+    want = np.where(low > edge, low, np.where(x != 0, x, 0))
+    assert dense(query(spark, "low_rank_threshold_chosen"), rows, cols) == pytest.approx(want, abs=1e-4)
+
+    u, v = sinkhorn(x)
+    y = np.sqrt(u)[:, None] * x * np.sqrt(v)
+    s = np.linalg.svd(y, compute_uv=False)
+    rank = spectrum.mp_rank(s, *sorted(x.shape), spectrum.noise_scale(s, *sorted(x.shape)))
+    got = {r["component"]: (r["s"], r["signal"]) for r in query(spark, "spectrum_around_rank").collect()}
+    assert got and all(got[i] == (pytest.approx(s[i], abs=1e-4), i < rank) for i in got) and set(got) == set(range(max(0, rank - 10), min(len(s), rank + 10)))
+
+    lost = {(r[0], r[1]) for r in m.cells.where(F.pmod(F.xxhash64("row_id", "col_id"), F.lit(10)) == 0).collect()}
+    seen = np.array([[(i, j) not in lost for j in cols] for i in rows])
+    share = seen.mean()
+    p = np.minimum(np.outer(seen.mean(1), seen.mean(0)) / share, 1)
+    z = np.where(seen, x, 0)
+    var = p * z + (1 - p) * z * z
+    u, v = sinkhorn(var, 3000)
+    s = np.linalg.svd(np.sqrt(u)[:, None] * z * np.sqrt(v), compute_uv=False)
+    sigma = spectrum.noise_scale(s, *sorted(x.shape))
+    got = query(spark, "missing_entries_fit").first()
+    assert got["observed"] == pytest.approx(share, abs=1e-6) and got["sigma"] == pytest.approx(sigma, rel=1e-4) and got["rank"] == spectrum.mp_rank(s, *sorted(x.shape), sigma)
+
+    table = {r["sample"]: r for r in query(spark, "parameter_table").collect()}
+    f = fit.fit(m)
+    assert set(table) == {"brand", "month"} and table["month"]["rank"] == f.rank and table["month"]["bhat"] == pytest.approx(f.parameters["bhat"], abs=1e-4)

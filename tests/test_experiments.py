@@ -99,6 +99,40 @@ def test_regress_out_leaves_no_slope(spark, m):
     assert r.agg(F.max(F.abs("s"))).first()[0] < 1e-6
 
 
+def test_regress_out_of_several(spark, m):
+    """Residuals as NumPy's least squares, also where covariates depend on each other."""
+    rows, cols = (sorted(r[0] for r in t.collect()) for t in (m.obs.select("row_id"), m.var.select("col_id")))
+    rng = np.random.default_rng(0)
+    c = {r: [float(v) for v in rng.normal(size=2)] for r in rows}
+    c = {r: [a, b, 3 * a - b, 7.0] for r, (a, b) in c.items()}
+    x = {(r[0], r[1]): r[2] for r in m.cells.select("row_id", "col_id", "value").collect()}
+    y = np.array([[x.get((i, j), 0.0) for j in cols] for i in rows])
+    design = np.array([[1.0, *c[i]] for i in rows])
+    want = y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    got = X.regress_out(m, spark.createDataFrame([(i, *c[i]) for i in rows], "row_id long, a double, b double, d double, e double")).collect()
+    at = {k: i for i, k in enumerate(rows)}, {k: i for i, k in enumerate(cols)}
+    assert len(got) == y.size and all(r["value"] == pytest.approx(want[at[0][r["row_id"]], at[1][r["col_id"]]], abs=1e-6) for r in got)
+
+
+@pytest.mark.parametrize("planted", [0, 1, 7, 20])
+def test_choose_rank(planted):
+    rng = np.random.default_rng(planted)
+    x = rng.normal(size=(300, 200))
+    x += (rng.normal(size=(300, planted)) * np.linspace(2, 1, max(planted, 1))[:planted]) @ rng.normal(size=(planted, 200))
+    s, noise = (np.linalg.svd(z, compute_uv=False) for z in (x, x * rng.choice([-1, 1], x.shape)))
+    assert X.choose_rank(s, noise[0], (x**2).sum()) == planted
+    assert X.choose_rank(np.zeros(3), 0.0, 0.0) == 0
+
+
+@pytest.mark.parametrize("planted", [1, 7, 20])
+def test_gap_rank(planted):
+    noise = 30 - 0.1 * np.arange(100 - planted) + np.random.default_rng(1).uniform(0, 0.02, 100 - planted)
+    s = np.concatenate((40 + 2.0 * np.arange(planted)[::-1], noise))
+    assert X.gap_rank(s) == planted and X.gap_rank(noise) == 0
+    with pytest.raises(ValueError):
+        X.gap_rank(s[:3])
+
+
 def votes(ids, x, labels, fold, ks):
     """(k, fold): accuracy by brute force, ties by id."""
     hits = {}
