@@ -32,7 +32,7 @@ from countloom.llm.common import byte_column
 #: The piece pattern of this family of vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks are cut where this many bits of the rolling hash are zero, but no sooner than MIN_CHUNK bytes.
-CHUNK_BITS, MIN_CHUNK, TABLE_BYTES = 9, 128, 64 << 20
+CHUNK_BITS, MIN_CHUNK, TABLE_BYTES = 9, 128, 32 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -169,6 +169,7 @@ def _mapped(df: DataFrame, made: dict[str, T.DataType], work) -> DataFrame:
                 new = work(part)
                 old = {c: part.column(i) for i, c in enumerate(cols) if c not in made}
                 yield pa.RecordBatch.from_pydict(old | new)
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     return df.mapInArrow(run, schema)
 

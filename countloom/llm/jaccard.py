@@ -180,6 +180,7 @@ def live_sets(docs: DataFrame, *, n: int, num: int, den: int, text_col: str) ->
             out = pa.RecordBatch.from_arrays([pa.array(node[first][ok]), pa.array(size[first][ok].astype(np.int64)), grams, pa.array(score[ok])], schema=schema)
             for at in range(0, out.num_rows, SLICE):
                 yield out.slice(at, SLICE)
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     size = 1 << bits
     first = docs.select(text_col).mapInArrow(entries, _PACKED).repartitionById(size, F.col("bucket"))
