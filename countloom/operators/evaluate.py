@@ -107,10 +107,10 @@ def _nearest_lists(points: DataFrame, k: int) -> DataFrame:
     Up to a few blocks, every block against every other; beyond, only cells of points that may hold one of the k (``neighbours``).
     """
     p = points.select(F.col("id").cast("long").alias("id"), "values", F.col("label").cast("int").alias("label"), F.col("fold").cast("long").alias("fold"))
+    blocks = lambda: neighbours.merged(block_pairs(p, ["label", "fold"], neighbours.kernel(k), neighbours.LISTS), k)
     if p.limit(neighbours.SMALL + 1).count() > neighbours.SMALL:
-        return neighbours.nearest_lists(p, k)
-    parts = block_pairs(p, ["label", "fold"], neighbours.kernel(k), neighbours.LISTS)
-    return neighbours.merged(parts, k)
+        return neighbours.nearest_lists(p, k, otherwise=blocks)
+    return blocks()
 
 
 def silhouette_of_all(points: DataFrame) -> DataFrame:

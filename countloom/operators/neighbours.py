@@ -112,8 +112,12 @@ def _exploded(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return q.select(*cols).groupBy("cell", "i", "j").cogroup(p.select(*cols).groupBy("cell", "i", "j")).applyInArrow(kernel(k), LISTS)
 
 
-def nearest_lists(points: DataFrame, k: int, *, pivots: int | None = None, seed: int = 42) -> DataFrame:
-    """(a, la, fa, near) of every point: its k nearest (d2, b, lb) of other folds; ``points`` are (id, values, label, fold) of one length, ids unique."""
+def nearest_lists(points: DataFrame, k: int, *, pivots: int | None = None, seed: int = 42, otherwise=None) -> DataFrame:
+    """(a, la, fa, near) of every point: its k nearest (d2, b, lb) of other folds; ``points`` are (id, values, label, fold) of one length, ids unique.
+
+    ``otherwise``: what makes the same lists from blocks of all points; it is called where points would be sent to more cells than there are
+    blocks (times four), which is counted before any is sent.
+    """
     spark = points.sparkSession
     points = cut(points, "points")
     n = points.count()
@@ -148,7 +152,7 @@ def nearest_lists(points: DataFrame, k: int, *, pivots: int | None = None, seed:
     reach = found.select(F.col("a").alias("id"), F.when(F.size("near") == k, F.sqrt(F.element_at(F.col("near")["d2"], k))).alias("reach"))
     rest = dealt.join(reach, "id", "left")
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visit(batches: Iterator[pa.RecordBatch], count: bool = False) -> Iterator[pa.RecordBatch]:
         pivot = held.value
         for batch in batches:
             for a in range(0, batch.num_rows, max(1, _CELLS // (4 * many))):
@@ -167,10 +171,17 @@ def nearest_lists(points: DataFrame, k: int, *, pivots: int | None = None, seed:
                 near = np.maximum(np.maximum(d - high, low - d), (d - d[np.arange(len(d)), cell][:, None]) / 2)
                 go = (near <= t[:, None]) & np.isfinite(low)
                 go[np.arange(len(d)), cell] = False
+                if count:
+                    yield pa.RecordBatch.from_arrays([pa.array([int(go.sum())], pa.int64())], names=["n"])
+                    continue
                 i, c = np.nonzero(go)
                 take = pa.array(i)
                 yield pa.RecordBatch.from_arrays([*(part.column(name).take(take) for name in ("id", "values", "label", "fold")), pa.array(c)], names=["id", "values", "label", "fold", "cell"])
 
+    if otherwise is not None:
+        sent = rest.select("id", "values", "label", "fold", "cell", "reach").mapInArrow(lambda batches: visit(batches, True), "n long").agg(F.sum("n")).first()[0] or 0
+        if sent > 4 * n * math.ceil(n / POINTS):
+            return otherwise()
     visits = cut(rest.select("id", "values", "label", "fold", "cell", "reach").mapInArrow(visit, f"{_POINT}, cell long"), "visits")
     everywhere = dealt.select(F.col("id").alias("a"), F.col("label").alias("la"), F.col("fold").alias("fa"))
     none = everywhere.select("a", "la", "fa", *(F.array().cast(kind).alias(c) for c, kind in (("d2", "array<double>"), ("b", "array<long>"), ("lb", "array<int>"))))
