@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from countloom.operators import evaluate, ranks
+from countloom.operators import evaluate, linkage, ranks
 from countloom.plans.catalog import register, rounded, table
 
 _STEP = 25
@@ -227,3 +227,15 @@ def median_mad(spark, d):
     x = o.join(m, "o_orderpriority").select("o_orderpriority", F.abs(F.col("o_totalprice") - F.col("median")).alias("off"))
     mad = ranks.quantiles(x, ["o_orderpriority"], "off", [0.5], ["off"])
     return rounded(m.join(mad, "o_orderpriority").select("o_orderpriority", "median", (F.col("off") / 0.6744897501960817).alias("mad")), "median", "mad")
+
+
+@register()
+def single_linkage(spark, d):
+    """Merges of all vectors by single linkage."""
+    return rounded(linkage.single_linkage(_points(spark, d))[0], "height", digits=9)
+
+
+@register()
+def linkage_leaves(spark, d):
+    """The order of leaves under single linkage."""
+    return linkage.single_linkage(_points(spark, d))[1]
