@@ -245,6 +245,18 @@ def kde(points: DataFrame, grid: DataFrame, bandwidth: float) -> DataFrame:
     return points.join(F.broadcast(grid)).groupBy("g").agg(F.avg(k).alias("density"))
 
 
+def kde_scott(points: DataFrame, grid: DataFrame) -> DataFrame:
+    """``kde`` by Scott's rule: the bandwidth is the sample's standard deviation times n to the power of -1/5.
+
+    Null points are left out; without at least two different values there is no bandwidth, and densities are null.
+    """
+    p = points.where(F.col("x").isNotNull()).select("x")
+    h = p.agg((F.stddev_samp("x") * F.pow(F.count("x"), F.lit(-0.2))).alias("h"))
+    z = F.try_divide(F.col("g") - F.col("x"), F.col("h"))
+    k = F.try_divide(F.exp(-z * z / 2), F.col("h") * F.sqrt(2 * F.pi()))
+    return p.join(F.broadcast(h)).join(F.broadcast(grid)).groupBy("g").agg(F.avg(k).alias("density"))  # one row, and the grid
+
+
 def mean_t_interval(df: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
     """(by, n, mean, half_width): the interval of the mean by Student's t; one value has no width (null)."""
     x = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))

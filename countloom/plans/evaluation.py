@@ -200,6 +200,12 @@ def kde_grid(spark, d):
     return rounded(evaluate.kde(table(spark, d, "customer").select(F.col("c_acctbal").alias("x")), grid, 300.0), "density", digits=9)
 
 
+@register("WITH g AS (SELECT CAST(n_nationkey * 500.0 - 1000 AS DOUBLE) AS g FROM nation), s AS (SELECT stddev_samp(c_acctbal) * pow(count(c_acctbal), -0.2) AS h FROM customer) SELECT g, round(avg(exp(-pow((g - c_acctbal) / h, 2) / 2) / (h * sqrt(2 * pi()))), 9) AS density FROM customer CROSS JOIN s CROSS JOIN g GROUP BY 1")
+def kde_scott(spark, d):
+    grid = table(spark, d, "nation").select((F.col("n_nationkey") * 500.0 - 1000).alias("g"))
+    return rounded(evaluate.kde_scott(table(spark, d, "customer").select(F.col("c_acctbal").alias("x")), grid), "density", digits=9)
+
+
 @register("SELECT p_brand, round(quantile_cont(p_retailprice, 0.25), 6) AS q1, round(quantile_cont(p_retailprice, 0.5), 6) AS q2, round(quantile_cont(p_retailprice, 0.75), 6) AS q3, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY 1")
 def box_statistics(spark, d):
     p = table(spark, d, "part")

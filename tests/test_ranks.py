@@ -96,3 +96,15 @@ def test_quota_and_top_up(spark):
     assert sum(1 for r in got if r["g"] == "x" and r["pass"] == 1) == 23
     assert sorted(got) == sorted(sampling.with_top_up(df.repartition(2), "g", "s", 30, "id").collect())
     assert sampling.with_top_up(df, "g", "s", 1000, "id").count() == len(rows)
+
+
+def test_scott_bandwidth(spark):
+    grid = spark.createDataFrame([(0.0,), (1.5,)], "g double")
+    x = np.array([0.0, 1.0, 1.0, 4.0, 9.0])
+    h = x.std(ddof=1) * len(x) ** -0.2
+    got = {r["g"]: r["density"] for r in evaluate.kde_scott(spark.createDataFrame([(v, 1.0) for v in x.tolist()] + [(None, 1.0)], "x double, h double"), grid).collect()}
+    for g, v in got.items():
+        assert v == pytest.approx(np.exp(-(((g - x) / h) ** 2) / 2).mean() / (h * np.sqrt(2 * np.pi)))
+    assert len(got) == 2
+    for rows in ([(3.0,), (3.0,)], [(3.0,)]):
+        assert all(r["density"] is None for r in evaluate.kde_scott(spark.createDataFrame(rows, "x double"), grid).collect())
