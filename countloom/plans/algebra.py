@@ -136,8 +136,8 @@ def affinity_sparse(spark, d):
 def laplacian_score_sparse(spark, d):
     """Every dimension of the vectors over the graph of their ten nearest."""
     v = _vectors(spark, d)
-    graph = evaluate.normalized_graph(evaluate.sparse_affinity(v, 10))
-    return rounded(evaluate.laplacian_scores(v.select("id", F.posexplode("values").alias("feature", "value")), graph), "score", digits=4)
+    graph = evaluate.normalized_graph(cut(evaluate.sparse_affinity(v, 10), "affinity"))
+    return rounded(evaluate.laplacian_scores_of_vectors(v, graph), "score", digits=4)
 
 
 # --- several assays, several layers
