@@ -65,7 +65,7 @@ def update_join_new_over_old(spark, d):
 def split_by_annotation(spark, d):
     """A matrix of suppliers for each region, stacked again under the region's key."""
     region = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("row_id"), F.col("n_regionkey").alias("batch"))
-    m = supplier_month(spark, d)
+    m = supplier_month(spark, d).settled()
     parts = algebra.split(CountMatrix(m.cells, m.obs.join(region, "row_id"), m.var), "batch")
     return algebra.stack({k: p.cells for k, p in parts.items()}, "batch")
 
