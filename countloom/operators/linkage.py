@@ -75,9 +75,9 @@ def _outside(p: DataFrame, comp: DataFrame, pairs: DataFrame, ends: DataFrame) -
     ask = cut(lost.where(F.col("least").isNull() | (F.col("end") <= F.col("least"))).select("id"), "asked")
     if ask.isEmpty():
         return held, ends
-    whole = cut(p.join(comp, "id").select("id", "values", F.lit(0).alias("label"), F.col("comp").alias("fold"), F.lit(0).cast("long").alias("cell")), "points")
+    whole = cut(p.join(comp, "id").select("id", "values", F.lit(0).alias("label"), F.col("comp").alias("fold")), "points")
     asked = cut(whole.join(ask, "id", "left_semi"), "asked")
-    found = cut(neighbours.merged(neighbours._exploded(asked, whole, KNOWN), KNOWN), "found")
+    found = cut(neighbours.block_lists(asked, whole, KNOWN), "found")
     new, new_ends = _known(found)
     ends = cut(ends.join(ask.select(F.col("id").alias("a")), "a", "left_anti").unionByName(new_ends), "ends")
     return cut(held.unionByName(split(new)), "outside"), ends
