@@ -112,3 +112,43 @@ def test_other_models_raise(monkeypatch):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Odd)
     with pytest.raises(ValueError):
         align.Pair(A, B)
+
+
+def test_units_remembered_are_bounded_by_bytes(monkeypatch):
+    """Few long units weigh as much as many short ones."""
+    monkeypatch.setattr(align, "UNIT_BYTES", 1 << 20, raising=False)
+    pair, sp = align.Pair(A, B), sentencepiece.SentencePieceProcessor(model_file=B)
+    texts = [f"{i}-" + "xyz" * 10_000 for i in range(60)] + ["1-" + "xyz" * 10_000, "a few words", "a few c▁d words", "two a"]
+    for x in texts:
+        ids = pair.encode_b([x])[0].tolist()
+        assert ids == ([] if "▁" in x else sp.encode(x))
+        assert sum(len(k) + len(v) for part in (pair.units, pair.older) for k, v in part.items()) < 2 << 20
+
+
+def test_a_block_is_aligned_in_slices(spark, monkeypatch):
+    """A worker holds the tokens of a slice, and what it stores does not depend on the slices; counts come back without lists in the JVM."""
+    import pyarrow as pa
+
+    taken = []
+
+    class Taken(Exception):
+        pass
+
+    def take(df, run, schema):
+        taken.append(run)
+        raise Taken
+
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert "collect_list" not in align.align(df, A, B)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(type(df), "mapInArrow", take)
+    monkeypatch.setattr(align, "TaskContext", type("", (), {"get": staticmethod(lambda: type("", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    with pytest.raises(Taken):
+        align.align(df, A, B)
+    sizes, encode = [], align.Pair.encode_a
+    monkeypatch.setattr(align.Pair, "encode_a", lambda pair, texts: sizes.append(sum(map(len, texts))) or encode(pair, texts))
+    long = pa.RecordBatch.from_pydict({"doc_id": range(300), "text": [f"{i} some words " * 400 for i in range(300)]})
+    assert len(list(taken[0](iter([long])))) == 1 and max(sizes) < 1 << 19
+    odd = [pa.RecordBatch.from_pydict({"doc_id": range(len(TEXTS)), "text": TEXTS})] * 2
+    whole = list(taken[0](iter(odd)))
+    monkeypatch.setattr(align, "SLICE", 20)
+    assert len(whole) == 1 and list(taken[0](iter(odd))) == whole
